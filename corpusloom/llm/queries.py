@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, toxicity
+from . import licenses, media, packing, quality, resharding, simhash, spencode, toxicity, urlfilter, warc
 from .common import held_out, table, written
 
 try:
@@ -21,6 +21,23 @@ def tokenizer_path(name: str) -> str:
     return f"{TOKENIZER_DIR}/{name}"
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, decoded again."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = spencode.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = spencode.decoded(rows, model)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, laid out in five shards and then resharded to eight of nearly equal bytes."""
+    old = resharding.laid_out(resharding.sized(table(spark, sf_dir, "documents")), 5)
+    rows = resharding.slotted(resharding.resharded(spark, old, 8))
+    digests = {"size": F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1, "text_crc32": F.crc32(F.coalesce("text", F.lit("")))}
+    return rows.withColumns(digests).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
     tokens = written(packing.tokenized(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), "packing-tokens")
@@ -34,6 +51,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.n_sentences", "toxicity.worst_sentence", "toxicity.offending")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each licence passage in any document."""
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.inline("hits"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality.statistics(table(spark, sf_dir, "documents")).select("doc_id", "rules"), "quality-statistics")
     model = quality.fit(stats, table(spark, sf_dir, "labels"))
@@ -45,5 +68,55 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_toxicity, op6_quality, op7_simhash)}
-ORACLES: dict[str, str] = {}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = written(media.listed(docs), "media-manifest")
+    found = media.verified(rows, media.stored(docs, rows))
+    return rows.select("doc_id", "n_bytes", "medium").join(found, "medium").drop("medium")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.bundled(warc.decided(table(spark, sf_dir, "pages")))
+    return warc.read_back(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda key: F.substring_index(key, ".", 1).isin(urlfilter.LISTED)
+    return urlfilter.judged(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+URLFILTER_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM cut
+), split AS (
+  SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM parts
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM split
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN len(list_intersect(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])) > 0 THEN 'block'
+    ELSE 'allow' END AS verdict FROM ruled
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (html)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_packing, op4_toxicity, op5_licenses, op6_quality, op7_simhash, op8_media, op9_warc, op10_urlfilter)}
+#: op9's SHA-1 in base 32 isn't SQL, so its SQL above serves a test of the other columns.
+ORACLES: dict[str, str] = {"op10_urlfilter": URLFILTER_SQL}
