@@ -1,4 +1,6 @@
 """The registered queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalogues, corpora, runs, texts  # noqa: F401  they register
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
