@@ -33,9 +33,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, laid out in five shards and then resharded to eight of nearly equal bytes."""
     old = resharding.laid_out(resharding.sized(table(spark, sf_dir, "documents")), 5)
-    rows = resharding.slotted(resharding.resharded(spark, old, 8))
-    digests = {"size": F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1, "text_crc32": F.crc32(F.coalesce("text", F.lit("")))}
-    return rows.withColumns(digests).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    whole = F.coalesce("text", F.lit(""))
+    stored = resharding.resharded(spark, old, 8).select("doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole).alias("text_crc32"), "shard")
+    rows = resharding.slotted(stored)  # slots need no texts
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
