@@ -29,19 +29,20 @@ from pyspark.sql import functions as F
 
 
 MARK = "▁"
+PART = 500  # texts whose words a worker holds at a time
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class PieceTrie:
     """pieces: text -> (id, score). bytes_: the id of each byte piece, or None; then unknown characters get `unknown`."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], bytes_: list[int] | None, unknown: int = 0, kind: str = "bpe", limit: int = 600_000):
+    def __init__(self, pieces: dict[str, tuple[int, float]], bytes_: list[int] | None, unknown: int = 0, kind: str = "bpe", limit: int = 500_000):
         self.pieces, self.bytes_, self.unknown, self.kind, self.limit = pieces, bytes_, unknown, kind, limit
         self.longest = max(map(len, pieces), default=1)
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
         self.pairs: dict[str, dict[str, bool]] = {}
+        self.coded = {p: i.to_bytes(4, "little") for p, (i, _) in pieces.items()}
         self.known: dict[str, bytes] = {}
-        self.ends: dict[str, list[str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The definition of BPE: the best pair, the leftmost of equals, is merged until none is left."""
@@ -59,23 +60,18 @@ class PieceTrie:
 
     def fits(self, before: str, piece: str) -> bool:
         """Whether `piece` may follow `before` ("" at the start) in an encoding."""
-        row = self.pairs.get(before)
-        if row is None:
-            row = self.pairs[before] = {}
-        found = row.get(piece)
-        if found is None:
-            found = row[piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return found
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
 
     def forward(self, words: list[str]):
         """(word, its pieces) of sorted words: depth first over their trie."""
         previous, last, score = "", [""], [0.0]
-        pieces, longest, viterbi = self.pieces, self.longest, self.kind == "unigram"
+        follows = [self.pairs.setdefault("", {})]  # of each prefix: which pieces may follow its last one
+        pieces, longest, viterbi, pairs = self.pieces, self.longest, self.kind == "unigram", self.pairs
         for w in words:
             shared, most = 0, min(len(previous), len(w))
             while shared < most and previous[shared] == w[shared]:
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :], follows[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
                 if viterbi:
                     best, choice = score[end - 1] + self.worst, w[end - 1]
@@ -84,15 +80,23 @@ class PieceTrie:
                         if found and score[start] + found[1] > best:
                             best, choice = score[start] + found[1], w[start:end]
                     score.append(best)
-                else:
-                    choice = None
-                    for start in range(max(0, end - longest), end):
-                        piece = w[start:end]
-                        if (piece in pieces or start == end - 1) and self.fits(last[start], piece):
+                    last.append(choice)
+                    continue
+                choice = w[end - 1]  # a character without a piece stands alone
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = w[start:end]
+                    if piece in pieces:
+                        ok = follows[start].get(piece)
+                        if ok is None:
+                            ok = follows[start][piece] = self.fits(last[start], piece)
+                        if ok:
                             choice = piece
                             break
-                    score.append(0.0)
                 last.append(choice)
+                row = pairs.get(choice)
+                if row is None:
+                    row = pairs[choice] = {}
+                follows.append(row)
             out, end = [], len(w)
             while end:
                 out.append(last[end])
@@ -101,16 +105,11 @@ class PieceTrie:
             yield w, out[::-1]
 
     def ids(self, parts: list[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            found = self.pieces.get(p)
-            if found:
-                out.append(found[0])
-            elif self.bytes_:
-                out += [self.bytes_[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return b"".join(i.to_bytes(4, "little") for i in out)
+        coded = self.coded
+        return b"".join([coded[p] if p in coded else self._unknown(p) for p in parts])
+
+    def _unknown(self, char: str) -> bytes:
+        return b"".join(self.bytes_[b].to_bytes(4, "little") for b in char.encode()) if self.bytes_ else self.unknown.to_bytes(4, "little")
 
     def encode(self, some: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -160,7 +159,9 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
         import pandas as pd
 
         model = loaded(model_path)
-        return pd.Series(model.encode([x or "" for x in column]), dtype=object)
+        some = [x or "" for x in column]
+        out = [ids for k in range(0, len(some), PART) for ids in model.encode(some[k : k + PART])]
+        return pd.Series(out, dtype=object)
 
     return docs.withColumn(ids, encode(F.col(text).cast("string")))
 
