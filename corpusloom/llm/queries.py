@@ -23,11 +23,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, decoded again."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    rows = spencode.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = spencode.decoded(rows, model)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    return spencode.checked(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

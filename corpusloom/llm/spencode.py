@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 
 MARK = "▁"
-PART = 500  # texts whose words a worker holds at a time
+PART = 1_500  # texts whose words a worker holds at a time
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class PieceTrie:
     """pieces: text -> (id, score). bytes_: the id of each byte piece, or None; then unknown characters get `unknown`."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], bytes_: list[int] | None, unknown: int = 0, kind: str = "bpe", limit: int = 500_000):
+    def __init__(self, pieces: dict[str, tuple[int, float]], bytes_: list[int] | None, unknown: int = 0, kind: str = "bpe", limit: int = 400_000):
         self.pieces, self.bytes_, self.unknown, self.kind, self.limit = pieces, bytes_, unknown, kind, limit
         self.longest = max(map(len, pieces), default=1)
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
@@ -225,3 +225,32 @@ def decoded(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "dec
         return pd.Series([model.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in column])
 
     return rows.withColumn(text, decode(ids))
+
+
+CHECKED = "n_ids long, ids array<int>, round_trip boolean"
+
+
+def checked(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_ids, ids and round_trip (whether they decode to the text again) of each whole text: encoding and decoding
+    in one pass over parts of PART rows, so that a worker holds few texts and ids at a time."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = loaded(model_path)
+        if model_path not in _DECODERS:
+            _DECODERS[model_path] = PieceTexts(model_path)
+        back = _DECODERS[model_path]
+        for batch in batches:
+            for k in range(0, batch.num_rows, PART):
+                part = batch.slice(k, PART)
+                some = [x or "" for x in part.column(1).to_pylist()]
+                ids = model.encode(some)
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                same = pa.array([back.decode(x) == t for x, t in zip(ids, some)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, same], names=[key, "n_ids", "ids", "round_trip"])
+
+    return docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {CHECKED}")

@@ -45,6 +45,10 @@ def test_pieces_equal_the_library(edge, docs):
     for frame in (edge, docs):
         for r in spencode.decoded(spencode.encoded(frame, path), path).collect():
             assert r["ids"] == sp.encode(r["text"] or "") and r["decoded"] == sp.decode(r["ids"])
+        known = frame.select("doc_id", "text").distinct()
+        for r in spencode.checked(frame, path).join(known, "doc_id").collect():
+            assert r["ids"] == sp.encode(r["text"] or "") and r["n_ids"] == len(r["ids"])
+            assert r["round_trip"] == (sp.decode(r["ids"]) == (r["text"] or ""))
 
 
 def test_unigram_pass_is_viterbi():
