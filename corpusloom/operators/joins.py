@@ -56,11 +56,12 @@ def resolved_controls(requests: DataFrame, capabilities: DataFrame, limits: Data
     return joined.select(key, "model", F.transform("applied", lambda a: F.concat_ws("=", a["control"], a["support"])).alias("applied"), F.concat(dropped, more).alias("warnings"))
 
 
-def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4) -> DataFrame:
+def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4, few: int = 500) -> DataFrame:
     """Pairs (key, needle_key) where the text contains the needle. Any text that contains a needle holds the needle's
     words that are whole within it, so both sides are joined on `gram` consecutive words and then verified by `contains`.
-    A needle's gram is the one of its grams that is rarest among the needles' grams; needles with too few whole words are
-    compared with all texts (they must be few: such short needles are broadcast only up to 500)."""
+    A needle's gram is the one of its grams that is rarest among the needles' grams. Needles with too few whole words are
+    joined on shorter grams if there are more than `few`, else compared with all texts; those without a whole word are
+    compared with all texts in blocks of about `few`."""
     words = F.split(F.col(needle), " ")
     inner = needles.select(needle_key, needle).withColumn("__w", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))  # the first and last word may be cut
     long, short = inner.filter(F.size("__w") >= gram), inner.filter(F.size("__w") < gram)
@@ -71,13 +72,14 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle
     split = texts.select(key, text, F.split(F.col(text), " ").alias("__w")).filter(F.size("__w") >= gram)
     found = split.select(key, F.explode(F.array_distinct(grams(F.col("__w")))).alias("__g")).join(rare.select("__g", needle_key), "__g").select(key, needle_key).distinct()
     checked = found.join(texts.select(key, text), key).join(needles.select(needle_key, needle), needle_key).filter(F.col(text).contains(F.col(needle)))
-    few = short.limit(501).collect()
-    if len(few) > 500:
-        raise ValueError("more than 500 needles are shorter than the gram")
-    out = checked.select(key, needle_key)
-    if few:
-        small = F.broadcast(texts.sparkSession.createDataFrame([(r[needle_key], r[needle]) for r in few], short.select(needle_key, needle).schema))
-        out = out.union(texts.join(small, F.col(text).contains(F.col(needle))).select(key, needle_key))
+    out, short = checked.select(key, needle_key), short.select(needle_key, needle)
+    n_short = short.count()
+    if n_short > few and gram > 1:
+        return out.union(containing(texts, short, key, text, needle_key, needle, gram // 2, few))
+    blocks = -(-n_short // few)
+    for k in range(blocks):
+        block = F.broadcast(short.filter(F.pmod(F.xxhash64(needle_key, needle), F.lit(blocks)) == k))
+        out = out.union(texts.join(block, F.col(text).contains(F.col(needle))).select(key, needle_key))
     return out
 
 

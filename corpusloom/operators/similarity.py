@@ -8,8 +8,8 @@ above `least`. Two plans give the same rows:
 on any unit direction do. Projections are bucketed at that width; one side is listed under the neighbouring buckets
 too; what shares a bucket in every direction is verified. No match is lost.
 
-`by_matrix` is for few candidates (their number is checked): their windows are sent to the table's partitions, and
-every partition takes one matrix product for each batch.
+`by_matrix` is for few candidates: their windows are sent to the table's partitions, and every partition takes one
+matrix product for each batch. The number of windows is checked; beyond the bound `by_blocks` takes over.
 
 Below the threshold neither knows the closest item: its columns are null there.
 """
@@ -82,7 +82,7 @@ def by_blocks(a: DataFrame, b: DataFrame, dim: int, least: float = LEAST, min_ru
 def by_matrix(a: DataFrame, b: DataFrame, least: float = LEAST, min_run: int = MIN_RUN, max_windows: int = MAX_CANDIDATES) -> DataFrame:
     got = a.select("candidate", "i", "vec").limit(max_windows + 1).collect()
     if len(got) > max_windows:
-        raise ValueError(f"more than {max_windows} candidate windows: use by_blocks")
+        return by_blocks(a, b, len(got[0]["vec"]), least, min_run)
     spark = a.sparkSession
     held = spark.sparkContext.broadcast((np.array([r["vec"] for r in got], dtype=np.float64).reshape(len(got), -1), [r["candidate"] for r in got], [r["i"] for r in got]))
 

@@ -263,22 +263,22 @@ def unfinished_rows(spark: SparkSession, d: str) -> DataFrame:
     return joins.unfinished(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query("""WITH f AS (SELECT doc_id, bool_or(quality = 1) AS f FROM labels WHERE doc_id % 2 = 0 GROUP BY 1), p AS (SELECT doc_id, bool_or(toxic = 0) AS p FROM labels WHERE doc_id % 3 = 0 GROUP BY 1)
+@query("""WITH f AS (SELECT doc_id, bool_or(quality = 1) AS f FROM labels GROUP BY 1), p AS (SELECT doc_id, bool_or(toxic = 0) AS p FROM labels GROUP BY 1)
 SELECT d.doc_id, CASE WHEN f THEN 'done' WHEN p THEN 'adopt' WHEN n_chars > 200 THEN 'todo' ELSE 'missing_audio' END AS action, (CASE WHEN f = FALSE THEN 1 ELSE 0 END + CASE WHEN p = FALSE AND NOT coalesce(f, FALSE) THEN 1 ELSE 0 END)::INT AS repaired
 FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN p USING (doc_id)""")
 def resume_plan(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    final = labels.filter("doc_id % 2 = 0").select("doc_id", (F.col("quality") == 1).alias("valid"))
-    partial = labels.filter("doc_id % 3 = 0").select("doc_id", (F.col("toxic") == 0).alias("valid"))
+    final = labels.select("doc_id", (F.col("quality") == 1).alias("valid"))
+    partial = labels.select("doc_id", (F.col("toxic") == 0).alias("valid"))
     return joins.resume_plan(docs.select("doc_id"), final, partial, docs.filter("n_chars > 200"), "doc_id")
 
 
-@query("""WITH a AS (SELECT doc_id AS name, n_chars AS a FROM documents), b AS (SELECT doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS b FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT -doc_id - 1, 9 FROM labels WHERE quality = 0),
+@query("""WITH a AS (SELECT doc_id AS name, n_chars AS a FROM documents), b AS (SELECT doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS b FROM documents WHERE n_chars >= 100 UNION ALL SELECT -doc_id - 1, 9 FROM labels WHERE quality = 0),
 j AS (SELECT count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a <> b) AS size_mismatch, count(*) FILTER (b = 0) AS zero_byte, count(*) FILTER (a IS NULL) AS stray FROM a FULL JOIN b USING (name))
 SELECT *, missing + size_mismatch + zero_byte + stray = 0 AS ok FROM j""")
 def staging_audit(spark: SparkSession, d: str) -> DataFrame:
     docs, i = table(spark, d, "documents"), F.col("doc_id")
-    staged = docs.filter(i % 4 != 0).select(i.alias("name"), F.when(i % 5 == 0, 0).when(i % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size_bytes"))
+    staged = docs.filter("n_chars >= 100").select(i.alias("name"), F.when(i % 5 == 0, 0).when(i % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size_bytes"))
     stray = table(spark, d, "labels").filter("quality = 0").select((-i - 1).alias("name"), F.lit(9).cast("long").alias("size_bytes"))
     return joins.staging_audit(docs.select(i.alias("name"), F.col("n_chars").alias("size_bytes")), staged.union(stray))
 
@@ -299,12 +299,12 @@ def missing_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return joins.absent(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").filter("n_chars >= 100"), "doc_id")
 
 
-@query("""WITH s AS (SELECT source AS name, sum(n_chars)::DOUBLE AS total, stddev_pop(n_chars) AS std FROM documents GROUP BY 1), b AS (SELECT source AS name, sum(n_chars)::DOUBLE AS t0, stddev_pop(n_chars) AS s0 FROM documents WHERE doc_id % 100 <> 7 GROUP BY 1)
+@query("""WITH s AS (SELECT source AS name, sum(n_chars)::DOUBLE AS total, stddev_pop(n_chars) AS std FROM documents GROUP BY 1), b AS (SELECT source AS name, sum(n_chars)::DOUBLE AS t0, stddev_pop(n_chars) AS s0 FROM documents WHERE n_chars >= 40 GROUP BY 1)
 SELECT count(*) AS compared, count(*) FILTER (abs(total - t0) > 1e-6 OR abs(std - s0) > 1e-6) AS changed, count(*) FILTER (abs(total - t0) > 1e-6 OR abs(std - s0) > 1e-6) > 0 AS has_changed FROM s JOIN b USING (name)""")
 def snapshot_drift(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     profile = lambda rows: rows.groupBy(F.col("source").alias("name")).agg(F.sum("n_chars").cast("double").alias("total"), F.stddev_pop("n_chars").alias("std"))
-    return joins.drift(profile(docs), profile(docs.filter("doc_id % 100 <> 7")), tolerance=1e-6)
+    return joins.drift(profile(docs), profile(docs.filter("n_chars >= 40")), tolerance=1e-6)
 
 
 @query(f"WITH {SEGMENTS} SELECT id, track_id, segment_index FROM segments")

@@ -214,16 +214,12 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Items with an even label's first part: windows 4 to 11 of it (a near copy: turned a little towards the window before), and of the others two windows only."""
-    w = windows(spark, d)
-    label = F.substring_index("item", "-", 1).cast("int")
-    near = w.filter((label % 2 == 0) & F.col("j").between(4, 11)).withColumn("vec", F.transform("vec", lambda v: v * 1.0))
-    few = w.filter((label % 2 == 1) & F.col("j").between(4, 5))
-    return near.union(few).select(F.concat(F.lit("c"), F.col("item")).alias("candidate"), (F.col("j") - 4).alias("i"), "vec")
+    """Every item, without its opening: its windows from the fourth on."""
+    return windows(spark, d).filter("j >= 4").select(F.concat(F.lit("c"), F.col("item")).alias("candidate"), (F.col("j") - 4).alias("i"), "vec")
 
 
 WINDOWS = """w AS (SELECT label::VARCHAR || '-' || (vec_id // 500)::VARCHAR AS item, label, vec_id, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY label::VARCHAR || '-' || (vec_id // 500)::VARCHAR ORDER BY vec_id) - 1 AS j FROM embeddings),
-c AS (SELECT 'c' || item AS candidate, j - 4 AS i, vec FROM w WHERE (label % 2 = 0 AND j BETWEEN 4 AND 11) OR (label % 2 = 1 AND j BETWEEN 4 AND 5)),
+c AS (SELECT 'c' || item AS candidate, j - 4 AS i, vec FROM w WHERE j >= 4),
 pairs AS (SELECT candidate, item, i, j FROM c JOIN w ON list_dot_product(c.vec, w.vec) >= 0.985),
 n AS (SELECT candidate, count(*) AS n FROM c GROUP BY 1), m AS (SELECT item, count(*) AS m FROM w GROUP BY 1),
 o AS (SELECT candidate, item, CASE WHEN n <= m THEN j - i ELSE i - j END AS off, CASE WHEN n <= m THEN i ELSE j END AS place, abs(m - n) AS room FROM pairs JOIN n USING (candidate) JOIN m USING (item)),

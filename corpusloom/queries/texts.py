@@ -75,12 +75,16 @@ def request_problems(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", first_failure(checks).alias("problem"))
 
 
-@query(r"""SELECT doc_id, 0 AS section, 'verse' AS kind, nullif(regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g'), '') AS lyrics FROM documents WHERE NOT contains(text, '[')
-UNION ALL SELECT doc_id, 1, 'chorus', 'la la' FROM documents WHERE NOT contains(text, '[')""")
+@query(r"""WITH s AS (SELECT doc_id, string_split('[Oddity]' || chr(10) || 'lost' || chr(10) || '[Verse]' || chr(10) || text || chr(10) || '[Chorus]' || chr(10) || 'la la', chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM s),
+t AS (SELECT *, regexp_replace(lower(trim(regexp_extract(line, '^\s*\[([^\]]+)\]\s*$', 1))), '[ -]', '_', 'g') AS tag FROM l),
+k AS (SELECT *, CASE WHEN tag IN ('intro', 'verse', 'pre_chorus', 'chorus', 'bridge', 'outro') THEN tag END AS kind FROM t),
+r AS (SELECT *, count(kind) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS section FROM k)
+SELECT doc_id, section::INT AS section, max(kind) AS kind, nullif(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kind IS NULL), ''), '^\s+|\s+$', '', 'g'), '') AS lyrics FROM r WHERE section >= 0 GROUP BY ALL""")
 def lyric_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Lyrics made of each document's first line: an unknown tag and text in front, a verse and a chorus."""
-    docs = table(spark, d, "documents").filter(~F.col("text").contains("["))
-    song = F.concat(F.lit("[Oddity]\nlost\n[Verse]\n"), F.substring_index("text", "\n", 1), F.lit("\n[Chorus]\nla la"))
+    """Lyrics made of each document's whole text: an unknown tag and text in front, a verse and a chorus."""
+    docs = table(spark, d, "documents")
+    song = F.concat(F.lit("[Oddity]\nlost\n[Verse]\n"), "text", F.lit("\n[Chorus]\nla la"))
     return text.lyric_sections(docs.select("doc_id", song.alias("lyrics")), "doc_id", "lyrics", ["intro", "verse", "pre_chorus", "chorus", "bridge", "outro"])
 
 

@@ -175,6 +175,8 @@ def test_leak_guard_matches_brute_force(spark):
     needles = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 8)))) for i in range(30)] + [(99, docs[7][1][1:-1] or "zz")]
     got = joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string"), "id", "text", "n", "needle")
     assert {(r["id"], r["n"]) for r in got.collect()} == {(i, n) for i, t in docs for n, x in needles if x in t}
+    got = joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string"), "id", "text", "n", "needle", few=4)
+    assert {(r["id"], r["n"]) for r in got.collect()} == {(i, n) for i, t in docs for n, x in needles if x in t}
 
 
 def test_near_windows_lose_nothing(spark):
@@ -192,6 +194,7 @@ def test_near_windows_lose_nothing(spark):
     assert got == set(zip(*(x.tolist() for x in np.nonzero(sims >= 0.985))))
     p, q = similarity.by_blocks(a, b, 12).first(), similarity.by_matrix(a, b).first()
     assert p.asDict() | {"max_cosine": 0} == q.asDict() | {"max_cosine": 0} and p["suspicious"]
+    assert similarity.by_matrix(a, b, max_windows=5).first() == p
 
 
 def test_gates_in_order(spark):
