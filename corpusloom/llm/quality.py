@@ -6,9 +6,9 @@ score for each family of statistics (symbols, repetition, word shape), and each
 from rows with a quality label. A family that doesn't tell good from bad rows gets no threshold; so rare but
 good rows (long lists, refrains) stay.
 
-Bounds: the forests are fitted on `fit_rows` rows and calibrated on `label_rows` labelled rows, both taken by
-smallest hash of the row's id over all rows, so any partitioning gives the same model. Statistics and
-verdicts cover all rows.
+Each tree's subsample of `SAMPLE` rows is drawn by place from all rows, and thresholds are calibrated on all labelled
+rows outside the held-out fold; neither depends on the partitioning. The driver gets the subsamples (`trees` times
+SAMPLE rows) and counts of `CELLS` cells.
 
 Defined cases: a null text is an empty text; empty and short texts fail the base rule (n_words < 50), as
 every table without words does; without usable labels the threshold keeps every row that passes the base
@@ -23,13 +23,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, held_out
+from .common import ascii_words, cell, held_out, written
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MIN_WORDS = 50
+NAMES = [x.split()[0] for x in STATISTICS.split(", ")]
+MIN_WORDS, SAMPLE, CELLS = 50, 256, 1024
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -95,9 +96,10 @@ class IsolationForest:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
     @classmethod
-    def fit(cls, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> IsolationForest:
+    def fit(cls, parts: list[np.ndarray], seed: int = 7) -> IsolationForest:
+        """A tree for each of the equally large subsamples."""
         rng = np.random.default_rng(seed)
-        size = min(sample, len(rows))
+        size = len(parts[0])
         limit = int(np.ceil(np.log2(max(size, 2))))
         feature, value, child, roots = [], [], [], []
 
@@ -117,8 +119,8 @@ class IsolationForest:
                 child[at] = grow(part[~left], depth + 1)  # the left child follows its parent
             return at
 
-        for _ in range(trees):
-            roots.append(grow(rows[rng.choice(len(rows), size, replace=False)], 0))
+        for part in parts:
+            roots.append(grow(part, 0))
         return cls(np.array(feature), np.array(value), np.array(child), np.array(roots), max(cls.usual_depth(size), 1e-9))
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -154,43 +156,83 @@ class QualityModel:
         return worst
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, lost: float = 0.002, caught: float = 0.05) -> float:
+def subsamples(open_: DataFrame, trees: int, seed: int = 7) -> list[np.ndarray]:
+    """For each tree the statistics of SAMPLE rows (all, if there are fewer), drawn without replacement from all rows of
+    open_. Equal statistics share a range of places, so a range is a row whatever its count."""
+    values = open_.select("rules.*").groupBy(*NAMES).agg(F.count("*").alias("n")).withColumn("cell", cell(CELLS, *NAMES))
+    values = written(values, "quality-values")
+    sizes = sorted(tuple(r) for r in values.groupBy("cell").agg(F.sum("n")).collect())
+    total = sum(n for _, n in sizes)
+    if total < 2:
+        return []
+    starts = np.zeros(CELLS, dtype=np.int64)
+    before = 0
+    for at, n in sizes:
+        starts[at], before = before, before + n
+    rng = np.random.default_rng(seed)
+    drawn = np.stack([rng.choice(total, min(SAMPLE, total), replace=False) for _ in range(trees)])
+    places = np.unique(drawn)
+
+    def picked(batches):
+        import pandas as pd
+
+        for b in batches:
+            end = starts[b["cell"].to_numpy()] + b["upto"].to_numpy()
+            first, last = np.searchsorted(places, end - b["n"].to_numpy()), np.searchsorted(places, end)
+            at = np.repeat(np.arange(len(b)), last - first)
+            own = [places[i:j] for i, j in zip(first, last) if j > i]
+            out = b[NAMES].iloc[at].reset_index(drop=True)
+            yield out.assign(place=np.concatenate(own) if own else pd.Series(dtype="int64"))
+
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy(*NAMES).rowsBetween(Window.unboundedPreceding, 0))
+    got = values.withColumn("upto", upto).mapInPandas(picked, f"{STATISTICS}, place long").toPandas().sort_values("place")
+    return list(got[NAMES].to_numpy(dtype=np.int64)[np.searchsorted(places, drawn)])
+
+
+def calibrate(scored: DataFrame, score: str, lost: float = 0.002, cells: int = 4096) -> float:
     """The threshold that rejects most bad rows among those that reject at most a share `lost` of the good
-    ones; of equal ones the highest. Infinity (keep all) if that rejects less than a share `caught` of the bad."""
-    if not good.any() or good.all():
+    ones; of equal ones the highest. Infinity (keep all) if that rejects no larger share of the bad than of the good.
+    scored: scores and how many good and bad rows have them."""
+    goods, bads, low, high = scored.agg(F.sum("good"), F.sum("bad"), F.min(score), F.max(score)).first()
+    if not goods or not bads:
         return float("inf")
-    cuts = np.unique(scores)
-    cuts = (cuts[1:] + cuts[:-1]) / 2
-    goods, bads = np.sort(scores[good]), np.sort(scores[~good])
-    hit = 1 - np.searchsorted(bads, cuts, side="right") / len(bads)
-    fair = (1 - np.searchsorted(goods, cuts, side="right") / len(goods) <= lost) & (hit >= caught)
-    if not fair.any():
+    left = int(lost * goods + 1e-9)  # so many good scores may lie above the threshold: find the next one
+    while low < high:  # each round counts the cells of a narrower range
+        at = F.least(F.floor((F.col(score) - low) / (high - low) * cells), F.lit(cells - 1))
+        counts = scored.filter(F.col(score).between(low, high)).groupBy(at.alias("at")).agg(F.sum("good"), F.min(score), F.max(score))
+        for _, n, low, high in sorted(counts.collect(), reverse=True):
+            if n > left:
+                break
+            left -= n
+    above = F.col(score) > low
+    good, bad, cut = scored.filter(above).agg(F.sum("good"), F.sum("bad"), F.min(F.when(F.col("bad") > 0, F.col(score)))).first()
+    if not bad or bad / bads <= (good or 0) / goods:
         return float("inf")
-    return float(cuts[fair & (hit >= hit[fair].max())].max())
+    return (cut + scored.filter(F.col(score) < cut).agg(F.max(score)).first()[0]) / 2
 
 
-def _sample(stats: DataFrame, key: str, rows: int, *more: str) -> np.ndarray:
-    """At most `rows` rows, those with the smallest hash of their id and statistics."""
-    got = stats.select(F.xxhash64(F.lit("quality"), key, "rules").alias("h"), "rules.*", *more).orderBy("h").limit(rows).drop("h").toPandas()
-    return got.to_numpy(dtype=np.int64).reshape(-1, 5 + len(more))
-
-
-def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", fit_rows: int = 20_000, label_rows: int = 20_000, trees: int = 100) -> QualityModel:
+def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", trees: int = 100) -> QualityModel:
     """stats: from `statistics`, best written before. labels: key and quality (1 is good)."""
     open_ = stats.filter(~base_failed(F.col("rules.n_words"), F.col("rules.n_repeat_words"))).select(key, "rules")
-    rows = _sample(open_, key, fit_rows)
-    if len(rows) < 2:
+    parts = [features(x) for x in subsamples(open_, trees)]
+    if not parts:
         return QualityModel({}, {})
-    rows = features(rows)
-    forests = {name: IsolationForest.fit(rows[:, own], trees) for name, own in FAMILIES.items()}
+    forests = {name: IsolationForest.fit([x[:, own] for x in parts]) for name, own in FAMILIES.items()}
     mine = labels.filter(F.col("quality").isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("quality").cast("long").alias("quality"))
-    known = _sample(open_.join(mine, key), key, label_rows, "quality")
-    seen, good = features(known[:, :5]), known[:, 5] == 1
+    good = F.col("quality") == 1
+    known = open_.join(mine, key).select("rules.*", "quality").groupBy(*NAMES).agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+
+    def scores(batches):
+        for b in batches:
+            rows = features(b[NAMES].to_numpy(dtype=np.int64))
+            yield b[["good", "bad"]].assign(**{name: forest.score(rows[:, FAMILIES[name]]) for name, forest in forests.items()})
+
+    left = known.mapInPandas(scores, "good long, bad long, " + ", ".join(f"{name} double" for name in forests))
+    left = written(left.groupBy(*forests).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "quality-scores")
     thresholds = {}
-    for name, forest in forests.items():  # each on what the families before it have left
-        scores = forest.score(seen[:, FAMILIES[name]])
-        thresholds[name] = calibrate(scores, good)
-        seen, good = seen[scores <= thresholds[name]], good[scores <= thresholds[name]]
+    for name in forests:  # each on what the families before it have left
+        thresholds[name] = calibrate(left, name)
+        left = left.filter(F.col(name) <= thresholds[name])
     return QualityModel(forests, thresholds)
 
 

@@ -249,6 +249,50 @@ def test_quality(spark, sf, edge, none):
     assert quality.judged(n, quality.fit(n, labels)).count() == 0
 
 
+def brute_threshold(scores, good, lost=0.002):
+    """By trying every cut."""
+    cuts = np.unique(scores)
+    tried = [(c, (scores[good] > c).mean(), (scores[~good] > c).mean()) for c in (cuts[1:] + cuts[:-1]) / 2]
+    most = max(((hit, c, gone) for c, gone, hit in tried if gone <= lost + 1e-12), default=(0, 0, 1))
+    return most[1] if most[0] > most[2] else float("inf")
+
+
+def test_quality_learns_from_all_rows(spark):
+    """More labelled rows than any former bound, and families that catch but few of the bad ones."""
+    rnd = np.random.default_rng(3)
+    n = 30_000
+    good = rnd.random(n) < 0.8
+    rules = np.stack([rnd.integers(50, 400, n), np.zeros(n, int), rnd.poisson(2, n), np.zeros(n, int), np.zeros(n, int)], axis=1)
+    rules[:, 1] = rules[:, 0] * 5 + rnd.integers(-20, 20, n)
+    odd = ~good & (rnd.random(n) < 0.03)
+    rules[odd, 2] += 300
+    import pandas as pd
+
+    flat = spark.createDataFrame(pd.DataFrame(rules, columns=quality.NAMES).assign(doc_id=np.arange(n), quality=good.astype(int)))
+    stats = flat.select("doc_id", F.struct(*quality.NAMES).alias("rules"))
+    model = quality.fit(stats, flat.select("doc_id", "quality"), trees=10)
+    again = quality.fit(stats.repartition(7), flat.select("doc_id", "quality"), trees=10)
+    assert model.thresholds == again.thresholds
+    mine = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n)])
+    assert mine.sum() > 20_000
+    seen, ok = quality.features(rules[mine]), good[mine]
+    for name, forest in model.forests.items():
+        scores = forest.score(seen[:, quality.FAMILIES[name]])
+        assert model.thresholds[name] == brute_threshold(scores, ok)
+        seen, ok = seen[scores <= model.thresholds[name]], ok[scores <= model.thresholds[name]]
+    assert np.isfinite(model.thresholds["symbols"])
+
+
+def test_subsamples_are_of_all_rows(spark):
+    """A value with a count is drawn as often as its rows, and few rows are all drawn."""
+    rows = spark.range(3000).select(F.struct(*(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias(c) for c in quality.NAMES)).alias("rules"))
+    parts = quality.subsamples(rows, 40)
+    assert all(len(p) == 256 and 0.5 < (p[:, 0] == 7).mean() < 0.85 for p in parts)
+    assert all(len(set(p[p[:, 0] != 7][:, 0])) == (p[:, 0] != 7).sum() for p in parts)
+    few = quality.subsamples(rows.limit(5), 2)
+    assert [len(p) for p in few] == [5, 5]
+
+
 # 7. SimHash
 
 
