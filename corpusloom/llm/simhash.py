@@ -123,25 +123,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """key, the columns of keep, fp (long) and component (the smallest key reachable)."""
-    rows = written(fingerprints(docs, text).select(key, *keep, "fp"), "simhash-rows")
+def verdicts(rows: DataFrame, key: str) -> DataFrame:
+    """fp, root (a fingerprint that names its component) and component (the smallest key reachable) of each distinct
+    fingerprint of rows. Where keys repeat, several roots may have one component's key."""
     fps = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
     found = components(links(fps.select("fp")))
     member = found.select("node", "root").union(found.select(F.col("root"), F.col("root"))).distinct()
     member = fps.join(member, fps["fp"] == member["node"]).select("fp", "root", "least")
     roots = member.groupBy("root").agg(F.min("least").alias("component"))
-    linked = member.select("fp", "root").join(roots, "root").select("fp", "component")
-    alone = fps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
-    verdicts = written(linked.union(alone), "simhash-components")
-    return rows.join(verdicts, "fp")
+    linked = member.select("fp", "root").join(roots, "root").select("fp", "root", "component")
+    alone = fps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component"))
+    return written(linked.union(alone), "simhash-components")
+
+
+def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """key, the columns of keep, fp (long) and component (the smallest key reachable)."""
+    rows = written(fingerprints(docs, text).select(key, *keep, "fp"), "simhash-rows")
+    return rows.join(verdicts(rows, key).drop("root"), "fp")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest key (of several rows with that key, any one), with all
-    columns of docs. Rows with a null key stay only where their component has no key, one for each."""
+    """One row of each component, with all columns of docs: that with the smallest key, of several rows with that key the
+    one with the least hash of its text, then of all its columns. Rows with a null key stay only where their component has
+    no key, one for each."""
     stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # above usual keys
-    named = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), stand_in))
-    rows = clustered(named, "__key", text)
-    wanted = rows.filter("__key = component").select("__key").distinct()
-    return named.join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    order = {"__key": F.coalesce(F.col(key).cast("long"), stand_in), "__text": F.xxhash64(text), "__row": F.xxhash64(*docs.columns)}
+    named = docs.withColumns(order)
+    rows = written(fingerprints(named.select(*order, text), text).select(*order, "fp"), "simhash-rows")
+    best = rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("best")).join(verdicts(rows, "__key"), "fp")
+    wanted = best.groupBy("root").agg(F.min("best").alias("best")).select("best.*")
+    return named.join(wanted, [*order], "left_semi").dropDuplicates([*order]).drop(*order)

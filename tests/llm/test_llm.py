@@ -349,6 +349,19 @@ def test_deduplicated(edge, none):
     assert simhash.deduplicated(none).count() == 0 and set(rows[0].asDict()) == set(edge.columns)
 
 
+def test_deduplicated_with_repeated_ids(spark):
+    """Rows that share an id but no text are no duplicates of each other."""
+    words = [f"w{i}" for i in range(300)]
+    x, y = " ".join(words), " ".join(reversed(words))
+    near = x + " w0"
+    assert (simhash.fingerprint(x) ^ simhash.fingerprint(near)).bit_count() <= simhash.RADIUS
+    rows = [(1, near, "a"), (5, x, "b"), (5, y, "c"), (7, "one other text", "d"), (7, "and a third text", "e"), (7, "and a third text", "f"), (None, y, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(tuple(r) for r in simhash.deduplicated(d).collect()) for d in (docs, docs.repartition(5, "source"), docs.orderBy(F.desc("source")).coalesce(1))]
+    assert got[0] == got[1] == got[2]
+    assert sorted(r[:2] for r in got[0]) == sorted([(1, near), (5, y), (7, "one other text"), (7, "and a third text")])
+
+
 # 8. media
 
 
