@@ -65,29 +65,66 @@ def agreement(settings: DataFrame, run: str, names: list[str], varies: str) -> D
     return counted.select("setting", "n_values", F.when(F.col("setting") == varies, F.col("n_values") == F.col("n_runs")).otherwise(F.col("n_values") == 1).alias("ok"))
 
 
-def _resampled(ids, deltas: np.ndarray, seed: int):
+def _draws(sizes: np.ndarray, at: int, iterations: int, seed: int) -> np.ndarray:
+    """How many of each iteration's sum(sizes) draws fall into cell `at`. The cells are halved down to it, and each halving
+    has its own seed, so the counts of all cells together are one multinomial draw."""
+    low, high, total = 0, len(sizes), int(sizes.sum())
+    got = np.full(iterations, total)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = int(sizes[low:mid].sum())
+        first = np.random.default_rng((seed, low, high)).binomial(got, left / total)
+        got, low, high, total = (first, low, mid, left) if at < mid else (got - first, mid, high, total - left)
+    return got
+
+
+def _resampled(frame, sizes: np.ndarray, iterations: int, seed: int):
+    """The sum over one cell's values (value, n) in every iteration, and as iteration -1 over the values themselves."""
     import pandas as pd
 
-    for f in ids:
-        yield pd.DataFrame({"mean": [deltas[np.random.default_rng((seed, int(i))).integers(0, len(deltas), len(deltas))].mean() for i in f["id"]]})
-
-
-def bootstrap(deltas: DataFrame, column: str = "delta", iterations: int = 10_000, seed: int = 42, max_items: int = 1_000_000) -> DataFrame:
-    """One row: n, mean, the bounds of its 95 % interval, wins, losses (ties too) and a verdict by the interval's sign. Every
-    iteration has its own seed, so partitioning changes nothing. The deltas (one for each compared item) are broadcast up
-    to max_items."""
-    got = np.sort(np.array([r[0] for r in deltas.select(column).limit(max_items + 1).collect()], dtype=float))
-    if len(got) > max_items:
-        raise ValueError(f"more than {max_items} items")
-    spark, n, wins = deltas.sparkSession, len(got), int((got > 0).sum())
-    low = high = float("nan")
-    if n >= 2:
-        held = spark.sparkContext.broadcast(got)
-        means = spark.range(iterations).mapInPandas(lambda ids: _resampled(ids, held.value, seed), "mean double")
-        ordered = sorted(r[0] for r in means.collect())  # `iterations` numbers
-        low, high = ordered[int(0.025 * iterations)], ordered[min(int(0.975 * iterations), iterations - 1)]
+    frame = frame.sort_values("value")
+    at, values, n = int(frame["cell"].iloc[0]), frame["value"].to_numpy(), frame["n"].to_numpy()
+    draws = _draws(sizes, at, iterations, seed)
+    rng = np.random.default_rng((seed, at, at + 1))
+    sums = [(n * values).sum()]
+    for part in range(0, iterations, 250):
+        times = rng.multinomial(draws[part : part + 250], n / n.sum())
+        with np.errstate(invalid="ignore"):
+            sums.extend(np.where(times > 0, times * values, 0.0).sum(axis=1))
+    return pd.DataFrame({"iteration": np.arange(-1, iterations), "cell": at, "s": sums})
+
+
+def bootstrap(deltas: DataFrame, column: str = "delta", iterations: int = 10_000, seed: int = 42, cell_values: int = 2048, buckets: int = 1 << 16) -> DataFrame:
+    """One row: n, mean, the bounds of its 95 % interval, wins, losses (ties too) and a verdict by the interval's sign. Equal
+    deltas are one value with a count. The values stay in cells of about cell_values; each cell sums its share of every
+    iteration's draws, and the driver gets the counts of `buckets` and the iterations' means. All draws are seeded, so
+    partitioning changes nothing."""
+    spark = deltas.sparkSession
+    value = F.coalesce(F.col(column).cast("double"), F.lit(float("nan")))
+    counted = deltas.groupBy(value.alias("value")).agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+    won = F.sum(F.when((F.col("value") > 0) & ~F.isnan("value"), F.col("n")).otherwise(0))
+    found = sorted(tuple(r) for r in counted.groupBy("bucket").agg(F.count("*"), F.sum("n"), won).collect())
+    n, wins, low, high, mean = sum(r[2] for r in found), sum(r[3] for r in found), float("nan"), float("nan"), None
+    if n:
+        cells, sizes, held = [], [0], 0
+        for bucket, m, rows, _ in found:
+            if held >= cell_values:
+                sizes.append(0)
+                held = 0
+            held += m
+            sizes[-1] += rows
+            cells.append((bucket, len(sizes) - 1))
+        placed = counted.join(F.broadcast(spark.createDataFrame(cells, "bucket int, cell int")), "bucket").drop("bucket")  # `buckets` rows at most
+        sizes, times = np.array(sizes), iterations if n >= 2 else 0
+        sums = placed.groupBy("cell").applyInPandas(lambda frame: _resampled(frame, sizes, times, seed), "iteration long, cell long, s double")
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("cell", "s"))), F.lit(0.0), lambda a, x: a + x["s"])  # in one order
+        means = {i: t / n for i, t in sums.groupBy("iteration").agg(total).collect()}  # `iterations` numbers
+        mean = float(means.pop(-1))
+        if means:
+            ordered = sorted(means.values())
+            low, high = ordered[int(0.025 * iterations)], ordered[min(int(0.975 * iterations), iterations - 1)]
     verdict = "improved" if low > 0 else "worse" if high < 0 else "inconclusive"
-    return spark.createDataFrame([(n, float(got.mean()) if n else None, low, high, wins, n - wins, verdict)], "n long, mean double, low double, high double, wins long, losses long, verdict string")
+    return spark.createDataFrame([(n, mean, low, high, wins, n - wins, verdict)], "n long, mean double, low double, high double, wins long, losses long, verdict string")
 
 
 def running(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -148,6 +148,18 @@ def test_bootstrap(spark):
     assert (again["low"], again["high"]) == (r["low"], r["high"])
 
 
+def test_bootstrap_has_no_bound(spark):
+    """More than a million items, of which a third share one delta, and in many cells the interval of the normal law."""
+    many = spark.range(1_200_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise((F.col("id") % 1000).cast("double")).alias("delta"))
+    r = experiments.bootstrap(many, iterations=300, cell_values=50).first()
+    mean, sd = many.agg(F.avg("delta"), F.stddev("delta")).first()
+    half = 1.96 * sd / 1_200_000**0.5
+    assert r["n"] == 1_200_000 and r["wins"] == many.filter("delta > 0").count() and abs(r["mean"] - mean) < 1e-9
+    assert 0.8 * half < mean - r["low"] < 1.25 * half and 0.8 * half < r["high"] - mean < 1.25 * half
+    again = experiments.bootstrap(many.repartition(7), iterations=300, cell_values=50).first()
+    assert (again["mean"], again["low"], again["high"]) == (r["mean"], r["low"], r["high"])
+
+
 def test_review(spark):
     sheet = spark.createDataFrame([("_legend", "1", "2"), ("piano", "5", "N/A"), ("vocal", "", "11"), ("guitar", "3.5", "8")], "track string, prompt_adherence string, vocal_realism string")
     long = review.long_sheet(sheet)
