@@ -171,15 +171,22 @@ def breadth(prompts: DataFrame, per_category: int = 3, held_out: int = 10, held_
 def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, daily: int) -> DataFrame:
     """log with `accepted`: at most per_minute accepted in any 60 s, and a daily quota that runs from a client's first
     accepted request. Only accepted requests count, so the rule is sequential: one pass over each client's requests, in
-    order, whose state is per_minute times at most. log: client, ts, event_id."""
+    order, whose state is per_minute times at most: a client's requests stream through one task, a batch at a time. A
+    request without a time is not accepted. log: client, ts, event_id."""
+
+    def replay(batches):
+        import pyarrow as pa
 
-    def replay(frame):
         from .ratelimit import Limiter
 
-        frame = frame.sort_values([ts, "event_id"])
-        limiter = Limiter(per_minute, daily)
-        frame["accepted"] = [limiter.check(t) for t in frame[ts].astype("int64") / 1e9]
-        return frame
+        last, limiter = None, Limiter(per_minute, daily)
+        for b in batches:
+            accepted = []
+            for who, us in zip(b.column(client).to_pylist(), b.column(ts).cast(pa.int64()).to_pylist()):
+                if who != last:
+                    last, limiter = who, Limiter(per_minute, daily)
+                accepted.append(us is not None and limiter.check(us * 1000 / 1e9))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], names=[*b.schema.names, "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields) + ", accepted boolean"
-    return log.groupBy(client).applyInPandas(replay, schema)
+    return log.repartition(client).sortWithinPartitions(client, ts, "event_id").mapInArrow(replay, schema)

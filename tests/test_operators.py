@@ -1,5 +1,6 @@
 """Operators on small rows made by hand, with results worked out by hand or by brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -84,6 +85,53 @@ def test_assembled_repeats_the_pool(spark):
     assert by == [4, 4, 2]
 
 
+def in_cells(frame):
+    """Whether no row is numbered in a window of its whole group."""
+    specs = [x.split(")")[0] for x in frame._jdf.queryExecution().optimizedPlan().toString().split("row_number() windowspecdefinition(")[1:]]
+    return len(specs) > 0 and all("__cell" in x for x in specs)
+
+
+def test_assembled_numbers_in_cells(spark):
+    """The same places as in one window of a family, of which one holds nearly all rows."""
+    pools = {"a": 3000, "b": 40}
+    rows = spark.createDataFrame([(f, i) for f, n in pools.items() for i in range(n)], "family string, id long")
+    plan = {"a": {"unique": 2900, "repeats": 0, "pool": 3000}, "b": {"unique": 40, "repeats": 60, "pool": 40}}
+    got = select.assembled(rows, "family", "id", plan)
+    assert in_cells(got)
+    want = set()
+    for f, n in pools.items():
+        first = sorted(range(n), key=lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest())
+        want |= {(f, i, 0) for i in first[: plan[f]["unique"]]} | {(f, first[k % n], 1 + k // n) for k in range(plan[f]["repeats"])}
+    assert {(r["family"], r["id"], r["repeat_index"]) for r in got.collect()} == want
+
+
+def test_stratified_numbers_in_cells(spark):
+    """Evenly spread rows of a hot track, of small ones and of none, by an order with nulls."""
+    rnd = random.Random(5)
+    rows = [("hot", rnd.randint(0, 300), i) for i in range(2000)] + [(f"t{i % 9}", None if i % 7 == 0 else i, i) for i in range(60)] + [(None, 1, 1), (None, 1, 2)]
+    frame = spark.createDataFrame(rows, "track string, at int, id long")
+    got = select.stratified(frame, F.col("track"), ["at", "id"], 4)
+    assert in_cells(got) and got.columns == frame.columns
+    want = {r for r in rows if r[0] is None}
+    for t in {r[0] for r in rows} - {None}:
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {own[int(i * (len(own) / 4))] for i in range(4)} if len(own) > 4 else set(own)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_replay_streams_a_client(spark):
+    """A client's requests pass in several batches, and its state with them."""
+    log = spark.range(25_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.when(F.col("id") % 7 == 0, 2).otherwise(1)).alias("client"), F.timestamp_seconds(F.col("id") * 7 % 25_000 * 11).alias("ts"))
+    got = experiments.admitted_requests(log.repartition(3), "client", "ts", 3, 900)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    limiters, want = {}, set()
+    for i in sorted(range(25_000), key=lambda i: (i * 7 % 25_000, i)):
+        client = None if i % 5 == 0 else 2 if i % 7 == 0 else 1
+        if limiters.setdefault(client, Limiter(3, 900)).check(i * 7 % 25_000 * 11):
+            want.add(i)
+    assert {r["event_id"] for r in got.filter("accepted").collect()} == want and 900 < len(want) < 25_000
+
+
 def test_greedy_cover_matches_the_plain_greedy(spark):
     rnd = random.Random(3)
     fams = "ABCDE"
