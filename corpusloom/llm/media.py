@@ -3,18 +3,20 @@
 A payload becomes a medium (8-bit PCM WAV: a header and one sample for each byte). Its samples are cut where a
 rolling gear hash over 32 bytes says so, so equal stretches of different media give equal chunks. Chunk digests
 are deduplicated by Spark; each distinct chunk is stored once, compressed, in a pack file. A manifest keeps, for
-each distinct medium, its header and the ordered list of its chunks, from which it is rebuilt and verified.
+each distinct medium, its number of samples (which gives its header) and the ordered list of its chunks, from which it
+is rebuilt and verified.
 
 Bytes are hardly shuffled. A first pass lists digests only. Digests that occur more than once set bits in a
-filter of `FILTER_BITS` bits (a fixed size; counts of digests never reach the driver). The second pass writes
+filter, `FILTER_RATE` bits for each of them (counted first) and at most `FILTER_BITS`. The second pass writes
 chunks outside the filter, which are certainly unique, straight to packs; only the others are shuffled by
 digest and stored once. A filter that fills up costs shuffling, never correctness.
 
 Reading goes by the index (digest -> pack, offset): chunk lists are joined to places, never to bytes, and tasks
-read ranges of packs.
+read ranges of packs, about `READ_BYTES` of samples each.
 
 Defined cases: a null or empty text is 64 zero bytes; equal texts are one medium; an empty table has no packs;
-very long texts are many chunks; rows with null or repeated ids each get their medium's values.
+very long texts are many chunks; rows with null or repeated ids each get their medium's values; other columns are left
+out, so none clashes.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, scratch, texts, written
+from .common import mix, named, scratch, texts, written
 from .files import Appender, Reader
 
-ALIGN, RATE, LEAST, MOST, MASK = 64, 8_000, 2 << 10, 64 << 10, np.uint32(0xFFF8_0000)  # a cut each 8 KiB after LEAST
-PACK, LEVEL, FILTER_BITS = 64 << 20, 6, 1 << 22
+ALIGN, RATE, LEAST, MOST, MASK = 64, 8_000, 512, 16 << 10, np.uint32(0xFFE0_0000)  # a cut each 2 KiB after LEAST
+PACK, LEVEL, FILTER_RATE, FILTER_BITS, READ_BYTES = 64 << 20, 6, 16, 1 << 28, 16 << 20
 #: A random 32-bit value for each byte, from a rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -96,12 +98,12 @@ def features(samples: bytes) -> str:
     return f"n={len(x)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())};crossings={crossings}"
 
 
-MANIFEST = "n_bytes long, medium string, header binary, chunks array<binary>"
+MANIFEST = "n_bytes long, medium binary, samples long, chunks array<binary>"
 
 
 def listed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """First pass: key, n_bytes, medium (the SHA-256 of the stored form), header and chunk digests of each row."""
-    kind = docs.schema[key].dataType.simpleString()
+    """First pass: key, n_bytes, medium (the SHA-256 of the stored form), samples and chunk digests of each row."""
+    kind = docs.select(named(key)).schema[0].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
@@ -110,30 +112,26 @@ def listed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             rows = []
             for t in texts(batch):
                 data = payload_of(t)
-                header = wav_header(len(data))
-                medium = hashlib.sha256(header)
+                medium = hashlib.sha256(wav_header(len(data)))
                 medium.update(data)
-                rows.append((len(t.encode()), medium.hexdigest(), header, [digest(c) for c in chunked(data)]))
+                rows.append((len(t.encode()), medium.digest(), len(data), [digest(c) for c in chunked(data)]))
             if rows:
-                types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), *arrays], names=[key, "n_bytes", "medium", "header", "chunks"])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), *arrays], names=[key, "n_bytes", "medium", "samples", "chunks"])
 
-    named = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(run, f"`{key}` {kind}, {MANIFEST}")
-
-
-def _bit(d):
-    """The filter's bit for a digest column."""
-    return F.pmod(F.xxhash64(d), F.lit(FILTER_BITS))
+    given = docs.select(named(key).alias("__key"), named(text).cast("string").alias("text"))
+    return given.mapInArrow(run, f"`{key}` {kind}, {MANIFEST}")
 
 
 def repeated_filter(rows: DataFrame) -> np.ndarray:
-    """A bit for each digest that occurs more than once: FILTER_BITS bits, OR-ed by Spark."""
+    """A bit for each digest that occurs more than once, OR-ed by Spark; as 64-bit words."""
     each = rows.select(F.explode("chunks").alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = each.select(_bit(F.col("d")).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("value"))
-    got = bits.toPandas()  # FILTER_BITS / 64 rows at most
-    words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    each = written(each.select(F.xxhash64("d").alias("h")), "media-repeated")
+    n_bits = min(FILTER_BITS, max(1 << 12, 1 << (FILTER_RATE * each.count()).bit_length()))
+    bit = F.pmod(F.col("h"), F.lit(n_bits))
+    got = each.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("value")).toPandas()  # n_bits / 64 rows at most
+    words = np.zeros(n_bits // 64, dtype=np.uint64)
     words[got["word"].to_numpy(dtype=np.int64)] = got["value"].to_numpy(dtype=np.int64).view(np.uint64)
     return words
 
@@ -141,17 +139,17 @@ def repeated_filter(rows: DataFrame) -> np.ndarray:
 INDEX = "digest binary, pack string, offset long, stored int, size int"
 
 
-def stored(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
-    """Second pass: writes the packs. The index, as a written table. rows: from `listed`, written."""
+def stored(docs: DataFrame, rows: DataFrame, text: str = "text", folder: str | None = None) -> DataFrame:
+    """Second pass: writes the packs. The index, as a written table. rows: from `listed`, written. folder: where packs are
+    to stay; else they go with the application."""
     import xxhash
 
     spark = docs.sparkSession
-    folder = scratch(spark, "packs")
-    words = spark.sparkContext.broadcast(repeated_filter(rows))  # FILTER_BITS / 8 bytes
+    folder = folder or scratch(spark, "packs")
+    words = spark.sparkContext.broadcast(repeated_filter(rows))  # FILTER_BITS / 8 bytes at most
 
     def may_repeat(d: bytes) -> bool:
-        bit = xxhash.xxh64_intdigest(d, 42) - (1 << 64) * (xxhash.xxh64_intdigest(d, 42) >> 63)
-        bit %= FILTER_BITS
+        bit = xxhash.xxh64_intdigest(d, 42) % (64 * len(words.value))  # a power of two, so signs don't matter
         return bool(int(words.value[bit >> 6]) >> (bit & 63) & 1)
 
     def batch_of(rows):
@@ -195,28 +193,29 @@ def stored(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
         out.close()
 
     schema = f"{INDEX}, data binary"
-    some = written(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(first, schema), "packs-first")
+    some = written(docs.select(named(text).cast("string").alias("text")).mapInArrow(first, schema), "packs-first")
     shared = some.filter("data is not null").groupBy("digest").agg(F.first("data").alias("data"), F.first("size").alias("size"))
     rest = written(shared.mapInArrow(second, schema), "packs-second")
     return some.filter("data is null").drop("data").unionByName(rest.drop("data"))
 
 
 def rebuilt(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """medium, header and parts (ordered places of its chunks) of each distinct medium."""
-    media = rows.groupBy("medium").agg(F.first("header").alias("header"), F.first("chunks").alias("chunks"))
-    refs = media.select("medium", "header", F.posexplode("chunks").alias("nth", "digest"))
-    found = refs.join(index, "digest", "left").groupBy("medium").agg(F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("nth", "pack", "offset", "stored", "size", "digest"))).alias("parts"))
+    """medium, samples, n (how many rows have it) and parts (ordered places of its chunks) of each distinct medium."""
+    media = written(rows.groupBy("medium").agg(F.first("samples").alias("samples"), F.first("chunks").alias("chunks"), F.count("*").alias("n")), "media-distinct")
+    refs = media.select("medium", F.posexplode("chunks").alias("nth", "digest"))
+    found = refs.join(index, "digest", "left").groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("nth", "pack", "offset", "stored", "size", "digest"))).alias("parts"))
+    n_parts = max(1, -(-(media.agg(F.sum("samples")).first()[0] or 0) // READ_BYTES))
     near = F.col("parts")[0]
-    spread = found.repartitionByRange(near["pack"], near["offset"]) if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "false" else found
+    spread = found.join(media.select("medium", "samples", "n"), "medium").repartitionByRange(n_parts, near["pack"], near["offset"])
     return spread.sortWithinPartitions(near["pack"], near["offset"])
 
 
-READ = "medium string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "medium binary, n long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def verified(rows: DataFrame, index: DataFrame, work=None, schema: str = READ) -> DataFrame:
     """Reads every distinct medium back from the packs, checks each chunk's digest and the whole's, and applies
-    `work` (bytes of the medium -> a tuple as in `schema`, behind `medium`)."""
+    `work` (bytes of the medium -> a tuple as in `schema`, behind `medium` and n, how many rows have it)."""
     work = work or measured
 
     def read(batches):
@@ -226,18 +225,18 @@ def verified(rows: DataFrame, index: DataFrame, work=None, schema: str = READ) -
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                whole = [x["header"]]
+                whole, name = [wav_header(x["samples"])], x["medium"].hex()
                 for p in x["parts"]:
                     if p["pack"] is None:
-                        raise ValueError(f"medium {x['medium']}: chunk {p['nth']} is not stored")
+                        raise ValueError(f"medium {name}: chunk {p['nth']} is not stored")
                     c = unpress.decompress(files.read(p["pack"], p["offset"], p["stored"]), max_output_size=p["size"])
                     if digest(c) != p["digest"]:
-                        raise ValueError(f"medium {x['medium']}: chunk {p['nth']} is damaged")
+                        raise ValueError(f"medium {name}: chunk {p['nth']} is damaged")
                     whole.append(c)
                 data = b"".join(whole)
-                if hashlib.sha256(data).hexdigest() != x["medium"]:
-                    raise ValueError(f"medium {x['medium']} is damaged")
-                out.append((x["medium"], *work(data)))
+                if hashlib.sha256(data).digest() != x["medium"]:
+                    raise ValueError(f"medium {name} is damaged")
+                out.append((x["medium"], x["n"], *work(data)))
             if out:
                 import pyarrow as pa
 
