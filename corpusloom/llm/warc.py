@@ -5,13 +5,15 @@ bytes, and a bundle ends with a seek table (a skippable frame that lists every f
 each record to its bundle, frame and offset within the decompressed frame, so one record costs one frame.
 
 Of the records with equal payloads, that with the smallest id is the response; the others are revisits that
-name it and carry no payload. A record whose payload is smaller than `min_bytes` is always a response.
+name it and carry no payload. A record whose payload is smaller than `min_bytes` is always a response. That is decided
+on ids and digests alone. The digests that repeat are broadcast to the payloads up to `BROADCAST` of them; beyond that
+the revisits are joined by id and digest, which spreads evenly whatever payload is popular.
 
 The index is written by Spark, so it lists the files of successful attempts only (see `files`).
 
 Defined cases: a null payload is empty; a null url leaves out the target; equal rows that are the smallest of
 their payload are all responses; records with a null id are responses unless a set id has the same payload; an
-empty table has no bundles; other columns are ignored.
+empty table has no bundles; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import named, scratch, written
 from .files import Appender, Reader
 
-FRAME, BUNDLE, LEVEL = 256 << 10, 64 << 20, 6
+FRAME, BUNDLE, LEVEL, BROADCAST, READ_BYTES = 256 << 10, 64 << 20, 6, 200_000, 16 << 20
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2020-01-01T00:00:00Z"
@@ -89,22 +91,31 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
     return out
 
 
-def decided(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """key, url, payload and refers_to (null for responses)."""
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = pages.select(key, F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(key).alias("first"))
-    joined = rows.join(first, "digest", "left")
-    refers = F.when((F.octet_length("payload") >= min_bytes) & ~F.col(key).eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select(F.col(key).cast("long").alias("page_id"), "url", "payload", refers.cast("long").alias("refers_to"))
+def decided(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0, most: int = BROADCAST) -> DataFrame:
+    """page_id, url, payload and refers_to (null for responses)."""
+    body = F.coalesce(named(payload).cast("string"), F.lit(""))
+    rows = pages.select(named(key).cast("long").alias("page_id"), named("url").cast("string").alias("url"), body.alias("payload"))
+    large, sha = F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))
+    ids = written(rows.filter(large).select("page_id", sha.alias("digest")), "warc-ids")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    first = written(first, "warc-repeated")
+    given = rows.withColumn("digest", F.when(large, sha))
+    if first.count() <= most:
+        found = given.join(F.broadcast(first), "digest", "left")  # 28 bytes a row
+    else:
+        again = ids.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+        again = again.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first")
+        found = given.join(again, given["page_id"].eqNullSafe(again["id"]) & (given["digest"] == again["d"]), "left")
+    return found.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long"
 
 
-def bundled(records: DataFrame) -> DataFrame:
-    """Writes the bundles. The index, as a written table."""
-    folder = scratch(records.sparkSession, "warc")
+def bundled(records: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes the bundles. The index, as a written table. folder: where bundles are to stay; else they go with the
+    application."""
+    folder = folder or scratch(records.sparkSession, "warc")
 
     def write(batches):
         import pyarrow as pa
@@ -186,5 +197,6 @@ def read_back(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         files.close()
 
-    ordered = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    n_parts = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    ordered = index.repartitionByRange(n_parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInArrow(read, READ)
