@@ -10,12 +10,13 @@ Distinct fingerprints are linked, never rows: exact copies collapse before any j
 member is listed under every value within one bit of it, and two values within two bits of each other share
 such a hub, so the work of m members is 65 * m rows, not m * m. (This holds for radius 2, the one built.)
 
-Components are found by alternating minimum-label stars with written tables between rounds, and each row
-gets the smallest id of its component.
+Components are found by alternating minimum-label stars with written tables between rounds, until a round changes
+nothing (a few rounds more than the logarithm of the longest chain), and each row gets the smallest id of its component.
 
 Defined cases: a null text is an empty text; a text without words has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle of them all; equal rows share a component; rows with a
-null id get a fingerprint, and a null component only if no id of their component is set.
+null id get a fingerprint, and a null component only if no id of their component is set; ids may be of any type that
+sorts; other columns of any name come back untouched from `fingerprints` (in the column `row`) and `deduplicated`.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, ascii_words, written
+from .common import LOWER_AZ, ascii_words, joined, named, nested, of_row, row_hashes, written
 
 RADIUS, BLOCKS, HOT, SHINGLE, SEED = 2, 5, 48, 3, 42
 
@@ -53,7 +54,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with `fp`, the fingerprint as a signed long."""
+    """row (all of docs) and `fp`, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(column):
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             out.append(last[x])
         return pd.Series(np.array(out, dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", fp(F.col(text).cast("string")))
+    return nested(docs).withColumn("fp", fp(of_row(text).cast("string")))
 
 
 def _keys(blocks: int, radius: int) -> list:
@@ -99,14 +100,15 @@ def links(fps: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     return pairs.union(starred).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge. edges: a, b.
 
     Each round hangs the larger neighbours of every node on its smallest neighbour (large star), then the
     smaller ones (small star); it ends when a round changes nothing."""
     edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:
+        before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -115,41 +117,35 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         edges = written(edges.union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def verdicts(rows: DataFrame, key: str) -> DataFrame:
-    """fp, root (a fingerprint that names its component) and component (the smallest key reachable) of each distinct
-    fingerprint of rows. Where keys repeat, several roots may have one component's key."""
-    fps = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
+def roots(fps: DataFrame) -> DataFrame:
+    """fp and root, a fingerprint that names its component, of distinct fingerprints (a written table, column fp)."""
     found = components(links(fps.select("fp")))
-    member = found.select("node", "root").union(found.select(F.col("root"), F.col("root"))).distinct()
-    member = fps.join(member, fps["fp"] == member["node"]).select("fp", "root", "least")
-    roots = member.groupBy("root").agg(F.min("least").alias("component"))
-    linked = member.select("fp", "root").join(roots, "root").select("fp", "root", "component")
-    alone = fps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component"))
-    return written(linked.union(alone), "simhash-components")
+    member = found.union(found.select("root", "root")).distinct()
+    return fps.select("fp").join(member, fps["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """key, the columns of keep, fp (long) and component (the smallest key reachable)."""
-    rows = written(fingerprints(docs, text).select(key, *keep, "fp"), "simhash-rows")
-    return rows.join(verdicts(rows, key).drop("root"), "fp")
+def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fp (long) and component (the smallest key reachable) of each row."""
+    rows = written(fingerprints(docs.select(named(key).alias("key"), named(text).alias("text"))).select(of_row("key").alias("key"), "fp"), "simhash-rows")
+    fps = written(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "simhash-fps")
+    member = written(fps.join(roots(fps), "fp"), "simhash-roots")
+    component = member.groupBy("root").agg(F.min("least").alias("component"))
+    facts = written(member.join(component, "root").select("fp", "n", "component"), "simhash-components")
+    return joined(rows, facts, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all columns of docs: that with the smallest key, of several rows with that key the
     one with the least hash of its text, then of all its columns. Rows with a null key stay only where their component has
     no key, one for each."""
-    stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # above usual keys
-    order = {"__key": F.coalesce(F.col(key).cast("long"), stand_in), "__text": F.xxhash64(text), "__row": F.xxhash64(*docs.columns)}
-    named = docs.withColumns(order)
-    rows = written(fingerprints(named.select(*order, text), text).select(*order, "fp"), "simhash-rows")
-    best = rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("best")).join(verdicts(rows, "__key"), "fp")
-    wanted = best.groupBy("root").agg(F.min("best").alias("best")).select("best.*")
-    return named.join(wanted, [*order], "left_semi").dropDuplicates([*order]).drop(*order)
+    h1, h2 = row_hashes(docs)
+    order = F.struct(named(key).isNull().alias("absent"), named(key).alias("key"), F.xxhash64(named(text)).alias("text_hash"), h1.alias("h1"), h2.alias("h2"))
+    some = fingerprints(docs.select(named(text).alias("text"), order.alias("order")))
+    rows = written(some.select("fp", of_row("order").alias("order")), "simhash-rows")
+    best = written(rows.groupBy("fp").agg(F.min("order").alias("best")), "simhash-fps")
+    wanted = best.join(roots(best), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.h1", "best.h2")
+    mine = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"))
+    return mine.join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
