@@ -10,7 +10,8 @@ numbers within cells (hash of the id) plus the counts of earlier cells, so no cl
 Ids are never shuffled: a piece is (document, start, length), and `sequences` joins ids to places if wanted.
 
 Defined cases: a null or empty text is a document of the end id alone; an empty table gives an empty plan;
-rows with equal or null ids are packed each by itself; other columns are left out of the plan.
+rows with equal or null ids are packed each by itself; an id keeps its type and value (it passes through Arrow as it is);
+other columns are left out of the plan.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell, column, texts, written
+from .common import cell, texts
 from .wordbpe import word_ids
 
 LENGTH, UNIT, END_ID, MAX_CELLS = 2048, 16, 1, 4096
@@ -145,7 +146,7 @@ def packed(tokens: DataFrame, key: str = "doc_id", unit: int = UNIT, cells: int
     n = tokens.count() if cells is None else 0
     cells = cells or min(MAX_CELLS, max(32, n // 100_000))
     rest = F.col("doc_tokens") % LENGTH
-    rows = tokens.select(key, "doc_tokens", "crcs", cell(cells, key).alias("cell"), F.ceil(rest / unit).cast("int").alias("class"), F.floor(F.col("doc_tokens") / LENGTH).cast("long").alias("whole"))
+    rows = tokens.select(key, "doc_tokens", "crcs", cell(cells, key, "doc_tokens", "crcs").alias("cell"), F.ceil(rest / unit).cast("int").alias("class"), F.floor(F.col("doc_tokens") / LENGTH).cast("long").alias("whole"))
     counts = rows.groupBy("cell", "class").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).toPandas().sort_values(["class", "cell"])
     demand = {int(c): int(x) for c, x in counts[counts["class"] > 0].groupby("class")["n"].sum().items()}
     places = Places.of(cutting_stock(demand, LENGTH // unit))
@@ -158,35 +159,35 @@ def packed(tokens: DataFrame, key: str = "doc_id", unit: int = UNIT, cells: int
     ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy("cell", "class").orderBy(*order)).cast("long") - 1, "wholes": F.coalesce(F.sum("whole").over(within), F.lit(0))})
     schema = tokens.schema[key].dataType.simpleString()
 
-    def place(frames):
-        import pandas as pd
+    def place(batches):
+        import pyarrow as pa
 
-        for f in frames:
-            classes, ranks = f["class"].to_numpy(), f["rank"].to_numpy() + np.array([before[x] for x in zip(f["cell"].tolist(), f["class"].tolist())], dtype=np.int64)
-            sequence = np.full(len(f), -1, dtype=np.int64)
+        for b in batches:
+            number = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            classes, cells_, whole, total = number("class"), number("cell"), number("whole"), number("doc_tokens")
+            ranks = number("rank") + np.array([before[x] for x in zip(cells_.tolist(), classes.tolist())], dtype=np.int64)
+            sequence = np.full(len(ranks), -1, dtype=np.int64)
             for c in np.unique(classes[classes > 0]):
                 at = classes == c
                 sequence[at] = places.sequence(int(c), ranks[at])
-            whole = f["whole"].to_numpy()
-            start = places.sequences + f["wholes"].to_numpy() + np.array([whole_before[c] for c in f["cell"].tolist()], dtype=np.int64)
-            total, crcs = f["doc_tokens"].to_numpy(), f["crcs"].tolist()
+            start = places.sequences + number("wholes") + np.array([whole_before[c] for c in cells_.tolist()], dtype=np.int64)
             pieces = whole + (classes > 0)
-            doc = np.repeat(np.arange(len(f)), pieces)
+            doc = np.repeat(np.arange(len(ranks)), pieces)
             nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             is_whole = nth < whole[doc]
-            yield pd.DataFrame(
-                {
-                    key: f[key].to_numpy()[doc] if f[key].notna().all() else f[key].astype("Int64").array[doc],
-                    "start": nth * LENGTH,
-                    "length": np.where(is_whole, LENGTH, total[doc] % LENGTH),
-                    "ids_crc32": np.concatenate([np.asarray(x, dtype=np.int64) for x in crcs]) if len(crcs) else np.zeros(0, np.int64),
-                    "doc_tokens": total[doc],
-                    "sequence_id": np.where(is_whole, start[doc] + nth, sequence[doc]),
-                    "place": np.where(is_whole, 0, (classes.astype(np.int64) << 44)[doc] + ranks[doc]),
-                }
-            )
-
-    pieces = ranked.mapInPandas(place, f"`{key}` {schema}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
+            crcs = b.column(b.schema.get_field_index("crcs")).flatten()
+            out = {
+                "start": nth * LENGTH,
+                "length": np.where(is_whole, LENGTH, total[doc] % LENGTH),
+                "ids_crc32": crcs,
+                "doc_tokens": total[doc],
+                "sequence_id": np.where(is_whole, start[doc] + nth, sequence[doc]),
+                "place": np.where(is_whole, 0, (classes.astype(np.int64) << 44)[doc] + ranks[doc]),
+            }
+            ids = b.column(0).take(pa.array(doc, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out.values())], names=[key, *out])
+
+    pieces = ranked.select(key, *ranked.drop(key).columns).mapInArrow(place, f"`{key}` {schema}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("place")
 

@@ -12,8 +12,8 @@ SAMPLE rows) and counts of `CELLS` cells.
 
 Defined cases: a null text is an empty text; empty and short texts fail the base rule (n_words < 50), as
 every table without words does; without usable labels the threshold keeps every row that passes the base
-rules; ids may be null or repeat (each row is judged by itself); columns that are not named here pass
-through untouched.
+rules; ids may be null or repeat (each row is judged by itself); all columns of the table, of any name, come back
+untouched in the column `row`.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cell, held_out, written
+from .common import ascii_words, cell, held_out, nested, of_row, written
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [x.split()[0] for x in STATISTICS.split(", ")]
@@ -53,7 +53,7 @@ def count_rules(text: str) -> tuple[int, int, int, int, int]:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of STATISTICS (nested in `rules`), over every whole text."""
+    """row (all of docs) and the columns of STATISTICS (nested in `rules`), over every whole text."""
 
     @F.pandas_udf(STATISTICS)
     def rules(column):
@@ -62,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         found = [count_rules(x if x is not None else "") for x in column]
         return pd.DataFrame(found, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    return docs.withColumn("rules", rules(F.col(text).cast("string")))
+    return nested(docs).withColumn("rules", rules(of_row(text).cast("string")))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -213,12 +213,12 @@ def calibrate(scored: DataFrame, score: str, lost: float = 0.002, cells: int = 4
 
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", trees: int = 100) -> QualityModel:
     """stats: from `statistics`, best written before. labels: key and quality (1 is good)."""
-    open_ = stats.filter(~base_failed(F.col("rules.n_words"), F.col("rules.n_repeat_words"))).select(key, "rules")
+    open_ = stats.filter(~base_failed(F.col("rules.n_words"), F.col("rules.n_repeat_words"))).select(of_row(key).alias(key), "rules")
     parts = [features(x) for x in subsamples(open_, trees)]
     if not parts:
         return QualityModel({}, {})
     forests = {name: IsolationForest.fit([x[:, own] for x in parts]) for name, own in FAMILIES.items()}
-    mine = labels.filter(F.col("quality").isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("quality").cast("long").alias("quality"))
+    mine = labels.filter(F.col("quality").isNotNull() & ~held_out(key)).groupBy(F.col(key).try_cast(open_.schema[key].dataType).alias(key)).agg(F.min("quality").cast("long").alias("quality"))
     good = F.col("quality") == 1
     known = open_.join(mine, key).select("rules.*", "quality").groupBy(*NAMES).agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
 

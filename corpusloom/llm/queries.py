@@ -7,57 +7,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, media, packing, quality, resharding, simhash, spencode, toxicity, urlfilter, warc
-from .common import held_out, table, written
+from .common import held_out, joined, of_row, shipped, table, written
 
-try:
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """A public tokenizer's file, which the executors get too."""
     import public_tokenizers
 
-    TOKENIZER_DIR = public_tokenizers.__path__[0]
-except ImportError:
-    TOKENIZER_DIR = "/opt/tokenizers"
-
-
-def tokenizer_path(name: str) -> str:
-    return f"{TOKENIZER_DIR}/{name}"
+    return shipped(spark, public_tokenizers.path(name))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, decoded again."""
-    return spencode.checked(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return spencode.checked(table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, laid out in five shards and then resharded to eight of nearly equal bytes."""
     old = resharding.laid_out(resharding.sized(table(spark, sf_dir, "documents")), 5)
-    whole = F.coalesce("text", F.lit(""))
-    stored = resharding.resharded(spark, old, 8).select("doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole).alias("text_crc32"), "shard")
-    rows = resharding.slotted(stored)  # slots need no texts
+    whole = F.coalesce(of_row("text"), F.lit(""))
+    stored = resharding.resharded(old, 8).select(of_row("doc_id").alias("doc_id"), (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole).alias("text_crc32"), "shard")
+    rows = resharding.slotted(stored, F.col("doc_id"))  # slots need no texts
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
-    tokens = written(packing.tokenized(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), "packing-tokens")
+    tokens = written(packing.tokenized(table(spark, sf_dir, "documents"), tokenizer_path(spark, "word_bpe_49k.json")), "packing-tokens")
     return packing.packed(tokens)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    found = toxicity.scored(docs, model)
+    found = toxicity.scored(docs, model).withColumn("doc_id", of_row("doc_id"))
     return found.select("doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), "toxicity.n_sentences", "toxicity.worst_sentence", "toxicity.offending")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each licence passage in any document."""
-    found = licenses.scanned(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.inline("hits"))
+    return licenses.found(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = written(quality.statistics(table(spark, sf_dir, "documents")).select("doc_id", "rules"), "quality-statistics")
+    found = quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stats = written(found.select(F.struct(of_row("doc_id").alias("doc_id")).alias("row"), "rules"), "quality-statistics")
     model = quality.fit(stats, table(spark, sf_dir, "labels"))
-    return quality.judged(stats, model).select("doc_id", "rules.*", "base_failed", "kept", "excess")
+    return quality.judged(stats, model).select("row.doc_id", "rules.*", "base_failed", "kept", "excess")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +63,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = written(media.listed(docs), "media-manifest")
-    found = media.verified(rows, media.stored(docs, rows))
-    return rows.select("doc_id", "n_bytes", "medium").join(found, "medium").drop("medium")
+    found = written(media.verified(rows, media.stored(docs, rows)), "media-verified")
+    return joined(rows.select("doc_id", "n_bytes", "medium"), found, "medium").drop("medium")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +74,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda key: F.substring_index(key, ".", 1).isin(urlfilter.LISTED)
-    return urlfilter.judged(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 URLFILTER_SQL = r"""

@@ -9,19 +9,21 @@ block moves stay where they are; the others are rewritten.
 What reaches the driver is one size for each block (`blocks` of them, a parameter) and one count for each
 (shard, cell). Slots are gapless by the counts of earlier cells plus a row number within the cell.
 
+The operator works on whole rows in a column `row`, beside which its own columns stand, so no column of the table clashes.
+
 Defined cases: a null text has size 1 and lies with the empty texts; an empty table gives no rows; equal texts
-lie in one shard, so a text that outweighs a shard's share leaves that shard over it; repeated rows get slots of
-their own; other columns are carried along in the files.
+lie in one shard, so a text that outweighs a shard's share leaves that shard over it; rows with a null id and repeated
+rows get slots of their own; other columns of any name are carried along in the files.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell, scratch
+from .common import cell, nested, of_row, scratch
 
 BLOCKS, BUCKETS = 16_384, 16
 
@@ -115,44 +117,45 @@ def transfers(sizes: dict[tuple[int, int], int], shards: int, rounds: int = 2_00
 
 
 def sized(docs: DataFrame, text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """docs with size, text_crc32 and block."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumns({"size": F.octet_length(whole).cast("long") + 1, "text_crc32": F.crc32(whole), "block": F.pmod(F.xxhash64(whole), F.lit(blocks)).cast("int")})
+    """row (all of docs), size, text_crc32 and block."""
+    whole = F.coalesce(of_row(text).cast("string"), F.lit(""))
+    return nested(docs).withColumns({"size": F.octet_length(whole).cast("long") + 1, "text_crc32": F.crc32(whole), "block": F.pmod(F.xxhash64(whole), F.lit(blocks)).cast("int")})
 
 
-def laid_out(rows: DataFrame, shards: int, blocks: int = BLOCKS, buckets: int = BUCKETS) -> str:
-    """The folder where `rows` (from `sized`) lie in shards of block ranges, each of `buckets` files at least."""
+def laid_out(rows: DataFrame, shards: int, blocks: int = BLOCKS, buckets: int = BUCKETS, folder: str | None = None) -> DataFrame:
+    """`rows` (from `sized`) as they lie, once written, in shards of block ranges, each of `buckets` files at least, with
+    old_shard and bucket. folder: where they are to stay; else the table goes with the application."""
     span = shards * buckets
     unit = F.floor(F.col("block").cast("long") * span / blocks)
-    path = scratch(rows.sparkSession, "shards")
+    path = folder or scratch(rows.sparkSession, "shards")
     placed = rows.withColumns({"old_shard": F.floor(unit / buckets).cast("int"), "bucket": F.pmod(unit, F.lit(buckets)).cast("int")})
     placed.hint("rebalance", "old_shard", "bucket").write.option("compression", "zstd").partitionBy("old_shard", "bucket").parquet(path)
-    return path
+    return rows.sparkSession.read.schema(placed.schema).parquet(path)
 
 
-def resharded(spark, old: str, shards: int) -> DataFrame:
-    """Plans and does the transfers from the layout in folder `old`. All rows with `shard`: files that needn't change
-    are read from `old`, the others from the new folder that they have been rewritten to."""
-    rows = spark.read.parquet(old)
-    got = rows.groupBy("old_shard", "bucket", "block").agg(F.sum("size").alias("size")).collect()  # `blocks` rows at most
+def resharded(old: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
+    """Plans and does the transfers from the layout `old` (from `laid_out`). All rows with `shard`: files that needn't change
+    are read where they are, the others from the folder that they have been rewritten to."""
+    spark = old.sparkSession
+    got = old.groupBy("old_shard", "bucket", "block").agg(F.sum("size").alias("size")).collect()  # `blocks` rows at most
     place = transfers({(r["old_shard"], r["block"]): r["size"] for r in got}, shards)
     touched = sorted({(r["old_shard"], r["bucket"]) for r in got if place[r["block"]] != r["old_shard"]})
     if not touched:
-        return rows.withColumn("shard", F.col("old_shard")).drop("old_shard", "bucket")
+        return old.withColumn("shard", F.col("old_shard")).drop("old_shard", "bucket")
     moves = F.broadcast(spark.createDataFrame(sorted(place.items()), "block int, shard int"))  # a row for each block
     files = F.broadcast(spark.createDataFrame(touched, "old_shard int, bucket int"))
-    new = scratch(spark, "resharded")
-    affected = rows.join(files, ["old_shard", "bucket"], "left_semi").join(moves, "block")
-    affected.drop("old_shard", "bucket").write.option("compression", "zstd").partitionBy("shard").parquet(new)
-    stay = rows.join(files, ["old_shard", "bucket"], "left_anti").withColumn("shard", F.col("old_shard")).drop("old_shard", "bucket")
-    return spark.read.parquet(new).unionByName(stay)
+    new = folder or scratch(spark, "resharded")
+    affected = old.join(files, ["old_shard", "bucket"], "left_semi").join(moves, "block").drop("old_shard", "bucket")
+    affected.write.option("compression", "zstd").partitionBy("shard").parquet(new)
+    stay = old.join(files, ["old_shard", "bucket"], "left_anti").withColumn("shard", F.col("old_shard")).drop("old_shard", "bucket")
+    return spark.read.schema(affected.schema).parquet(new).unionByName(stay)
 
 
-def slotted(rows: DataFrame, key: str = "doc_id", cells: int = 256) -> DataFrame:
+def slotted(rows: DataFrame, key: Column, cells: int = 256) -> DataFrame:
     """rows with `slot`, gapless from 0 in each shard, in order of (cell, key)."""
-    spread = rows.withColumn("cell", cell(cells, key))
+    order = [key.alias("k"), F.col("text_crc32"), F.col("size")]
+    spread = rows.withColumn("cell", cell(cells, *order))
     counts = spread.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n")
-    order = Window.partitionBy("shard", "cell").orderBy(key, "text_crc32", "size")
-    numbered = spread.withColumn("nth", F.row_number().over(order))
+    numbered = spread.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*order)))
     return numbered.join(F.broadcast(before), ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("nth") - 1).drop("cell", "before", "nth")

@@ -5,7 +5,7 @@ them. The distinct marked words of a batch are sorted, which is the depth-first
 pass keeps, for each prefix, its best last piece; a word reuses these over the prefix it shares with the word
 before, so each node of the trie is computed once.
 
-The scores. For a unigram model the best last piece maximises the sum of the pieces' log probabilities (Viterbi).
+The scores follow the model's type, which its file states. For a unigram model the best last piece maximises the sum of the pieces' log probabilities (Viterbi).
 The public model at hand is of type BPE, for which that sum gives other, wrong pieces: a BPE encoding is not the
 one of the highest total. There the forward pass uses what determines BPE: a sequence of pieces is the encoding
 of its text exactly if each piece encodes to itself and each adjacent pair encodes to itself, so the last piece of
@@ -16,7 +16,9 @@ No shuffle. Words learnt are kept in each worker up to a limit, for later batche
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters without a piece become
 byte pieces; U+2581 in a text is indistinguishable from a blank, as in the library; very long words are encoded
-like others but not kept; other columns pass through.
+like others but not kept; characters without a piece in a model without byte pieces are unknown, a run of them one
+unknown id, as in the library; an empty table gives no rows; all columns of the table, of any name, come back in the
+column `row`.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import local_path, named, nested, of_row
 
 MARK = "▁"
 PART = 1_500  # texts whose words a worker holds at a time
@@ -111,6 +114,11 @@ class PieceTrie:
     def _unknown(self, char: str) -> bytes:
         return b"".join(self.bytes_[b].to_bytes(4, "little") for b in char.encode()) if self.bytes_ else self.unknown.to_bytes(4, "little")
 
+    def _one_unknown(self, ids: np.ndarray) -> np.ndarray:
+        """ids with each run of unknown ones as one."""
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[np.concatenate([[True], ~again])] if again.any() else ids
+
     def encode(self, some: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [MARKED_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in some]
@@ -124,18 +132,54 @@ class PieceTrie:
         for w, parts in self.forward(sorted(fresh)):
             (known if len(w) <= 64 else long)[w] = self.ids(parts)
         get = known.__getitem__ if not long else lambda w: known.get(w) or long[w]
-        return [np.frombuffer(b"".join(map(get, s)), "<i4") for s in split]
+        found = [np.frombuffer(b"".join(map(get, s)), "<i4") for s in split]
+        return found if self.bytes_ else [self._one_unknown(x) for x in found]
 
 
 _KEPT: dict[str, PieceTrie] = {}
 
 
+def _fields(data: bytes):
+    """(number, value) of each field of a protocol buffer: an int, or the bytes of a message or string."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield number, data[at : at + size]
+            at += size
+
+
+def model_type(path: str) -> str:
+    """unigram, bpe, word or char: field 3 of the trainer's specification, which is field 2 of a model file."""
+    with open(path, "rb") as f:
+        spec = b"".join(v for n, v in _fields(f.read()) if n == 2)
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}[next((v for n, v in _fields(spec) if n == 3), 1)]
+
+
 def loaded(path: str) -> PieceTrie:
     """A model file's pieces, once for each worker."""
     if path not in _KEPT:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        file = local_path(path)
+        sp, kind = sentencepiece.SentencePieceProcessor(model_file=file), model_type(file)
+        if kind not in ("unigram", "bpe"):
+            raise ValueError(f"{path}: models of type {kind} aren't built")
         if sp.normalize("A éﬁ  b ") != f"{MARK}A{MARK}éﬁ{MARK}{MARK}b{MARK}":
             raise ValueError(f"{path}: only models with identity normalisation and a marked start are built")
         plain, bytes_ = {}, [-1] * 256
@@ -147,12 +191,12 @@ def loaded(path: str) -> PieceTrie:
                 plain[p] = (i, sp.get_score(i))
         if any(MARK in p[1:] and set(p) != {MARK} for p in plain):
             raise ValueError(f"{path}: a piece spans two words")
-        _KEPT[path] = PieceTrie(plain, bytes_ if -1 not in bytes_ else None, sp.unk_id())
+        _KEPT[path] = PieceTrie(plain, bytes_ if -1 not in bytes_ else None, sp.unk_id(), kind)
     return _KEPT[path]
 
 
-def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text."""
+def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """row (all of docs) and the ids of each whole text."""
 
     @F.pandas_udf("array<int>")
     def encode(column):
@@ -163,7 +207,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
         out = [ids for k in range(0, len(some), PART) for ids in model.encode(some[k : k + PART])]
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(ids, encode(F.col(text).cast("string")))
+    return nested(docs).withColumn("ids", encode(of_row(text).cast("string")))
 
 
 class PieceTexts:
@@ -172,7 +216,7 @@ class PieceTexts:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=local_path(path))
         self.texts = ["" if sp.is_control(i) else " ⁇ " if sp.is_unknown(i) else sp.id_to_piece(i) for i in range(len(sp))]
         self.bytes = {i: int(sp.id_to_piece(i)[3:5], 16) for i in range(len(sp)) if sp.is_byte(i)}
         self.is_byte = np.zeros(len(sp), dtype=bool)
@@ -212,8 +256,8 @@ class PieceTexts:
 _DECODERS: dict[str, PieceTexts] = {}
 
 
-def decoded(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """rows with the text of each list of ids (null: empty)."""
+def decoded(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
+    """row (all of rows) and `decoded`, the text of each list of ids (null: empty)."""
 
     @F.pandas_udf("string")
     def decode(column):
@@ -224,7 +268,7 @@ def decoded(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "dec
         model = _DECODERS[model_path]
         return pd.Series([model.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in column])
 
-    return rows.withColumn(text, decode(ids))
+    return nested(rows).withColumn("decoded", decode(of_row(ids)))
 
 
 CHECKED = "n_ids long, ids array<int>, round_trip boolean"
@@ -233,7 +277,7 @@ CHECKED = "n_ids long, ids array<int>, round_trip boolean"
 def checked(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_ids, ids and round_trip (whether they decode to the text again) of each whole text: encoding and decoding
     in one pass over parts of PART rows, so that a worker holds few texts and ids at a time."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.select(named(key)).schema[0].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa

@@ -4,13 +4,15 @@ Only documents are labelled. Each sentence has a logistic score over its words a
 document's score is the noisy-or of its sentences (toxic if any of them is), and the weights maximise the
 likelihood of the document labels. The sentence scores then locate the offending sentences.
 
-Bounds: the model is fitted on `fit_rows` labelled documents (those with the smallest hash of their id) and
-has `n_features` features, those most associated with the label. Every whole text is scored, sentence by
-sentence, without a shuffle.
+Bounds: the model is fitted on `fit_rows` labelled documents (those with the smallest hash of their id) of at most
+`fit_chars` characters, and has `n_features` features, those most associated with the label. So the driver, which
+trains, gets a few numbers for each feature of each of their sentences. Every whole text is scored, of any length,
+sentence by sentence, without a shuffle.
 
 Defined cases: a null or empty text has one empty sentence; without both labels the score is the share of
 label 1 (0 without labels); rows with a null id are scored and never learnt from; a label that is null is no
-label; of several labels for an id the highest counts.
+label; of several labels for an id the highest counts; all columns of the table, of any name, come back in the
+column `row`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held_out, texts, written
+from .common import column, held_out, named, nested, of_row, smallest, texts, written
 
 SENTENCE = re.compile(r"[.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -91,20 +93,20 @@ def _bags(batches, lookup: dict[str, int] | None):
             yield pa.RecordBatch.from_pydict({"toxic": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "pairs": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = 8_000, n_features: int = 1_024, steps: int = 400, positive_weight: float = 2.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = 8_000, fit_chars: int = 20_000, n_features: int = 1_024, steps: int = 400, positive_weight: float = 2.0) -> ToxicityModel:
     """docs ⋈ labels (key, toxic) outside the held-out fold."""
-    usable = labels.filter(F.col("toxic").isNotNull() & ~held_out(key)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = docs.select(key).distinct()
-    picked = written(usable.join(ids, key, "left_semi").orderBy(F.xxhash64(F.lit("toxicity"), key)).limit(fit_rows), "toxicity-labels")
-    sample = docs.select(key, F.col(text).cast("string").alias("text")).join(F.broadcast(picked), key).select("text", "toxic")  # fit_rows rows
-    sample = written(sample, "toxicity-sample")
+    own = docs.select(named(key).alias("key"), named(text).cast("string").alias("text")).filter(F.length(F.coalesce("text", F.lit(""))) <= fit_chars)
+    usable = labels.select(named(key).alias("key"), "toxic").filter(F.col("toxic").isNotNull() & ~held_out("key")).groupBy(F.col("key").try_cast(own.schema["key"].dataType).alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = written(usable.join(own.select("key"), "key", "left_semi"), "toxicity-usable")
+    picked = written(smallest(usable, F.xxhash64(F.lit("toxicity"), "key"), fit_rows), "toxicity-labels")
+    sample = written(own.join(F.broadcast(picked), "key").select("text", "toxic"), "toxicity-sample")  # fit_rows labels
     total = sample.agg(F.sum(F.col("toxic")), F.count("*")).first()
     positive, n = total[0] or 0, total[1]
     if positive in (0, n):
         p = min(max(positive / n if n else 0.0, 1e-9), 1 - 1e-9)
         return ToxicityModel({}, float(np.log(p / (1 - p))))
-    named = sample.mapInArrow(lambda b: _bags(b, None), "toxic int, names array<string>")
-    counted = named.select("toxic", F.explode("names").alias("name")).groupBy("name").agg(F.sum("toxic").alias("a"), F.count("*").alias("m"))
+    listed = sample.mapInArrow(lambda b: _bags(b, None), "toxic int, names array<string>")
+    counted = listed.select("toxic", F.explode("names").alias("name")).groupBy("name").agg(F.sum("toxic").alias("a"), F.count("*").alias("m"))
     share = positive / n
     z = F.abs(F.col("a") - F.col("m") * share) / F.sqrt(F.col("m") * F.lit(share * (1 - share)) * (1 - F.col("m") / (n + 1)) + 0.5)
     best = counted.filter("m >= 4").select("name", z.alias("z")).filter("z > 3").orderBy(F.desc("z"), "name").limit(n_features).collect()
@@ -115,29 +117,44 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return ToxicityModel({x: float(w) for x, w in zip(names, weights)}, float(bias))
 
 
-def train(labels: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray], n_features: int, steps: int = 400, positive_weight: float = 2.0, l2: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or likelihood. Sentences without a feature are counted, not listed."""
-    doc = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    flat = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.int64)
-    order = np.lexsort((flat & 0xFFFFF, flat >> 20, doc))
-    doc, sent, feat = doc[order], (flat >> 20)[order], (flat & 0xFFFFF)[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (sent[1:] != sent[:-1])
-    row = np.cumsum(first) - 1  # of the listed sentences
-    owner = doc[first]
-    plain = n_sentences - np.bincount(owner, minlength=len(labels))
-    y = labels.astype(float)
-    weight = np.where(y == 1, positive_weight, 1.0)
-    w, b = np.zeros(n_features), float(np.log(max(y.mean(), 1e-6) / max(n_sentences.mean(), 1)))
+class NoisyOr:
+    """The likelihood of document labels under the noisy-or of sentence scores. Sentences without a feature are counted, not
+    listed. pairs: for each document, sentence << 20 | feature."""
+
+    def __init__(self, labels: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray], n_features: int, positive_weight: float = 2.0, l2: float = 1e-4):
+        doc = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        flat = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.int64)
+        order = np.lexsort((flat & 0xFFFFF, flat >> 20, doc))
+        doc, sent, self.feat = doc[order], (flat >> 20)[order], (flat & 0xFFFFF)[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (sent[1:] != sent[:-1])
+        self.row = np.cumsum(first) - 1  # of the listed sentences
+        self.owner = doc[first]
+        self.plain = n_sentences - np.bincount(self.owner, minlength=len(labels))
+        self.y = labels.astype(float)
+        self.weight = np.where(self.y == 1, positive_weight, 1.0)
+        self.n_features, self.l2 = n_features, l2
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """The mean loss, and its gradient by the weights and (last) the bias."""
+        z = np.bincount(self.row, w[self.feat], len(self.owner)) + b
+        p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-b))
+        log_none = np.minimum(np.bincount(self.owner, np.log1p(-p), len(self.y)) + self.plain * np.log1p(-p0), -1e-9)
+        none = np.exp(log_none)
+        total = -(self.weight * np.where(self.y == 1, np.log1p(-none), log_none)).mean() + self.l2 / 2 * (w * w).sum()
+        slope = self.weight * np.where(self.y == 1, none / (1 - none), -1.0)  # of the loss by log_none
+        by_z = -slope[self.owner] * p
+        by_w = np.bincount(self.feat, by_z[self.row], self.n_features) / len(self.y) + self.l2 * w
+        return float(total), np.append(by_w, (by_z.sum() - (slope * self.plain).sum() * p0) / len(self.y))
+
+
+def train(labels: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray], n_features: int, steps: int = 400, positive_weight: float = 2.0, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Adam on the noisy-or likelihood."""
+    model = NoisyOr(labels, n_sentences, pairs, n_features, positive_weight)
+    w, b = np.zeros(n_features), float(np.log(max(model.y.mean(), 1e-6) / max(n_sentences.mean(), 1)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, w[feat], len(owner)) + b
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-b))
-        log_none = np.bincount(owner, np.log1p(-p), len(y)) + plain * np.log1p(-p0)
-        none = np.exp(np.minimum(log_none, -1e-9))
-        slope = weight * np.where(y == 1, none / (1 - none), -1.0)  # of the loss by log_none
-        by_z = -slope[owner] * p
-        grad = np.append(np.bincount(feat, by_z[row], n_features) / len(y) + l2 * w, (by_z.sum() - (slope * plain).sum() * p0) / len(y))
+        _, grad = model.loss(w, b)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -145,7 +162,7 @@ def train(labels: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray],
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with `toxicity`: score, n_sentences, worst_sentence (its index) and offending (the indexes of all
+    """row (all of docs) and `toxicity`: score, n_sentences, worst_sentence (its index) and offending (the indexes of all
     sentences whose own score is 0.5 or more)."""
 
     @F.pandas_udf("score double, n_sentences int, worst_sentence int, offending array<int>")
@@ -158,4 +175,4 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFra
             rows.append((total, len(each), int(each.argmax()), np.flatnonzero(each >= 0.5).astype(np.int32)))
         return pd.DataFrame(rows, columns=["score", "n_sentences", "worst_sentence", "offending"])
 
-    return docs.withColumn("toxicity", score(F.col(text).cast("string")))
+    return nested(docs).withColumn("toxicity", score(of_row(text).cast("string")))

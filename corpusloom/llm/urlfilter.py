@@ -13,7 +13,8 @@ Rules come first: a rule (host, path) fits its host and all subdomains if the ur
 of several the longest wins. Where no rule fits, a url is blocked if its host or a parent of it is listed.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; an empty
-list allows all; an empty table gives no rows; repeated urls are judged each by itself; columns beside the url pass through.
+list allows all; an empty table gives no rows; repeated urls are judged each by itself; all columns of the table, of any
+name, come back in the column `row`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import nested, of_row, written
+
 LOCAL, LEVELS = 200_000, 64
 
 #: The rules of the query: fixed values.
@@ -158,13 +161,11 @@ def build(universe: DataFrame, max_bytes: int = 64 << 20) -> Cascade | None:
     return cascade if cascade.n_bytes <= max_bytes else None
 
 
-def judged(pages: DataFrame, listed_key, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
-    """pages with host, path, rule and verdict. listed_key: a column function that says of a key whether it is listed
-    (or a DataFrame of listed keys, column `key`)."""
-    from .common import written
-
-    host, path = split_url(F.col(url).cast("string"))
-    rows = pages.withColumn("host", host).withColumn("path", path)
+def judged(pages: DataFrame, listed_key, rules: list[tuple[str, str, str]] = RULES, url: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
+    """row (all of pages), host, path, rule and verdict. listed_key: a column function that says of a key whether it is
+    listed (or a DataFrame of listed keys, column `key`)."""
+    host, path = split_url(of_row(url).cast("string"))
+    rows = nested(pages).withColumns({"host": host, "path": path})
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     rule = F.lit(None).cast("string")
     choice = F.lit(None).cast("string")
@@ -199,4 +200,4 @@ def judged(pages: DataFrame, listed_key, rules: list[tuple[str, str, str]] = RUL
         keys_of = host_keys(F.col("host"))
         found = rows.withColumn("is_listed", is_listed(F.transform(keys_of, lambda k: hashes(k)[0]), F.transform(keys_of, lambda k: hashes(k)[1])))
     method = F.when(F.col("is_listed"), "block").otherwise("allow")
-    return found.withColumns({"rule": rule, "verdict": F.coalesce(choice, method)}).drop("is_listed")
+    return found.select("row", "host", "path", rule.alias("rule"), F.coalesce(choice, method).alias("verdict"))

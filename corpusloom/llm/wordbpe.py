@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import regex
 
+from .common import local_path
+
 #: The pattern by which the tokenizer cuts words: a fixed value of its file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Letters and signs that lower-case one by one and are in composed form.
@@ -62,5 +64,5 @@ _KEPT: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     """One for each worker process, so that what it has learnt serves later batches and tasks."""
     if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
+        _KEPT[path] = WordIds(local_path(path))
     return _KEPT[path]
