@@ -18,14 +18,14 @@ from corpusloom.llm.queries import tokenizer_path
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the isolation forest reject go."""
     stats = written(quality.statistics(docs), "pipeline-quality")
-    model = quality.fit(stats.select("doc_id", "rules"), table(spark, sf_dir, "labels"))
-    return quality.judged(stats, model).filter("kept").select(*docs.columns)
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return quality.judged(stats, model).filter("kept").select("row.*")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("toxicity.score") < 0.5).select(*docs.columns)
+    return toxicity.scored(docs, model).filter(F.col("toxicity.score") < 0.5).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of 2048 ids."""
-    tokens = written(packing.tokenized(docs, tokenizer_path("word_bpe_49k.json")), "pipeline-tokens")
+    tokens = written(packing.tokenized(docs, tokenizer_path(spark, "word_bpe_49k.json")), "pipeline-tokens")
     return packing.packed(tokens)
 
 
