@@ -177,15 +177,18 @@ def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, dai
     def replay(batches):
         import pyarrow as pa
 
-        from .ratelimit import Limiter
+        from .ratelimit import Admitted, admit
 
-        last, limiter = None, Limiter(per_minute, daily)
+        last, state = None, Admitted()
         for b in batches:
             accepted = []
             for who, us in zip(b.column(client).to_pylist(), b.column(ts).cast(pa.int64()).to_pylist()):
                 if who != last:
-                    last, limiter = who, Limiter(per_minute, daily)
-                accepted.append(us is not None and limiter.check(us * 1000 / 1e9))
+                    last, state = who, Admitted()
+                ok = False
+                if us is not None:
+                    state, ok = admit(state, us, per_minute, daily)
+                accepted.append(ok)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], names=[*b.schema.names, "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields) + ", accepted boolean"

@@ -56,12 +56,13 @@ def resolved_controls(requests: DataFrame, capabilities: DataFrame, limits: Data
     return joined.select(key, "model", F.transform("applied", lambda a: F.concat_ws("=", a["control"], a["support"])).alias("applied"), F.concat(dropped, more).alias("warnings"))
 
 
-def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4, few: int = 500) -> DataFrame:
+def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4, few: int = 500, held: int = 32 << 20) -> DataFrame:
     """Pairs (key, needle_key) where the text contains the needle. Any text that contains a needle holds the needle's
-    words that are whole within it, so both sides are joined on `gram` consecutive words and then verified by `contains`.
-    A needle's gram is the one of its grams that is rarest among the needles' grams. Needles with too few whole words are
-    joined on shorter grams if there are more than `few`, else compared with all texts; those without a whole word are
-    compared with all texts in blocks of about `few`."""
+    words that are whole within it, so a needle is looked for only where the one of its grams (of `gram` consecutive words)
+    stands that is rarest among the needles' grams. Needles of `held` bytes or fewer are broadcast, and every text is
+    scanned once where it lies: only grams that begin with the first word of a needle's gram are looked up. More needles
+    are joined with the texts on their grams, and then verified. Needles with too few whole words are looked for by shorter
+    grams, those without a whole word (a lookup by word can't find them) in every text."""
     words = F.split(F.col(needle), " ")
     inner = needles.select(needle_key, needle).withColumn("__w", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))  # the first and last word may be cut
     long, short = inner.filter(F.size("__w") >= gram), inner.filter(F.size("__w") < gram)
@@ -69,13 +70,18 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle
     each = long.select(needle_key, needle, F.explode(grams(F.col("__w"))).alias("__g"))
     counts = each.groupBy("__g").agg(F.count("*").alias("__n"))
     rare = each.join(counts, "__g").groupBy(needle_key, needle).agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"))
-    split = texts.select(key, text, F.split(F.col(text), " ").alias("__w")).filter(F.size("__w") >= gram)
-    found = split.select(key, F.explode(F.array_distinct(grams(F.col("__w")))).alias("__g")).join(rare.select("__g", needle_key), "__g").select(key, needle_key).distinct()
-    checked = found.join(texts.select(key, text), key).join(needles.select(needle_key, needle), needle_key).filter(F.col(text).contains(F.col(needle)))
-    out, short = checked.select(key, needle_key), short.select(needle_key, needle)
+    n, size = rare.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(needle) + F.octet_length("__g")), F.lit(0))).first()
+    if size + 100 * n <= held:
+        out = _held_containing(texts, rare, key, text, needle_key, needle, gram)
+    else:
+        split = texts.select(key, text, F.split(F.col(text), " ").alias("__w")).filter(F.size("__w") >= gram)
+        found = split.select(key, F.explode(F.array_distinct(grams(F.col("__w")))).alias("__g")).join(rare.select("__g", needle_key), "__g").select(key, needle_key).distinct()
+        checked = found.join(texts.select(key, text), key).join(needles.select(needle_key, needle), needle_key).filter(F.col(text).contains(F.col(needle)))
+        out = checked.select(key, needle_key)
+    short = short.select(needle_key, needle)
     n_short = short.count()
     if n_short > few and gram > 1:
-        return out.union(containing(texts, short, key, text, needle_key, needle, gram // 2, few))
+        return out.union(containing(texts, short, key, text, needle_key, needle, gram // 2, few, held))
     blocks = -(-n_short // few)
     for k in range(blocks):
         block = F.broadcast(short.filter(F.pmod(F.xxhash64(needle_key, needle), F.lit(blocks)) == k))
@@ -83,6 +89,33 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle
     return out
 
 
+def _held_containing(texts: DataFrame, rare: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int) -> DataFrame:
+    """`containing` for needles that every worker can hold, by their rarest grams (`__g`)."""
+    by_gram: dict[str, list] = {}
+    for r in rare.collect():  # `held` bytes at most
+        by_gram.setdefault(r["__g"], []).append((r[needle_key], r[needle]))
+    shared = texts.sparkSession.sparkContext.broadcast(by_gram)
+    kinds = [(c, d.schema[c].dataType) for c, d in ((key, texts), (needle_key, rare))]
+
+    def scan(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        wanted = shared.value
+        firsts = {g.split(" ", 1)[0] for g in wanted}
+        for b in batches:
+            at, hits = [], []
+            for row, x in enumerate(b.column(1).to_pylist()):
+                w = (x or "").split(" ")
+                grams = {" ".join(w[i : i + gram]) for i, first in enumerate(w) if first in firsts}
+                mine = {k for g in grams.intersection(wanted) for k, whole in wanted[g] if whole in x}
+                at += [row] * len(mine)
+                hits += mine
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, to_arrow_type(kinds[1][1]))], names=[key, needle_key])
+
+    return texts.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(scan, ", ".join(f"`{c}` {k.simpleString()}" for c, k in kinds))
+
+
 def aligned(rows: DataFrame, category: str, candidate: str, source: str) -> DataFrame:
     """category, source and reason of each category: kept (reason null) if every candidate has it from one and the same
     source."""

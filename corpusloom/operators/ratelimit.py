@@ -1,26 +1,26 @@
-"""The state of one client's admission, shared by the batch replay and the stream."""
+"""The admission rule of one client, as a step from state to state that the batch replay and the stream share."""
 
 from __future__ import annotations
 
-MINUTE, DAY = 60.0, 86_400.0
-
-
-class Limiter:
-    def __init__(self, per_minute: int, daily: int, times: list[float] | None = None, start: float | None = None, used: int = 0):
-        self.per_minute, self.daily = per_minute, daily
-        self.times, self.start, self.used = list(times or []), start, used
-
-    def check(self, now: float) -> bool:
-        """Whether a request is admitted; only then does it count."""
-        self.times = [t for t in self.times if now - t <= MINUTE]
-        if len(self.times) >= self.per_minute:
-            return False
-        if self.start is None or now - self.start > DAY:
-            start, used = now, 0
-        else:
-            start, used = self.start, self.used
-        if used >= self.daily:
-            return False
-        self.times.append(now)
-        self.start, self.used = start, used + 1
-        return True
+from bisect import bisect_left
+from typing import NamedTuple
+
+#: In microseconds.
+MINUTE, DAY = 60_000_000, 86_400_000_000
+
+
+class Admitted(NamedTuple):
+    """What of a client's past matters: the accepted times of the last minute, in order, and its quota's period."""
+
+    recent: tuple[int, ...] = ()
+    opened: int | None = None
+    used: int = 0
+
+
+def admit(state: Admitted, now: int, per_minute: int, daily: int) -> tuple[Admitted, bool]:
+    """The state after a request at `now`, and whether it is accepted; one that isn't leaves no trace."""
+    recent = state.recent[bisect_left(state.recent, now - MINUTE) :]
+    opened, used = (state.opened, state.used) if state.opened is not None and now - state.opened <= DAY else (now, 0)
+    if len(recent) < per_minute and used < daily:
+        return Admitted((*recent, now), opened, used + 1), True
+    return state._replace(recent=recent), False

@@ -4,9 +4,14 @@ A fingerprint is an item's windows, unit vectors in order. A candidate is suspic
 if some alignment of the shorter item within the longer has `min_run` or more consecutive windows with a cosine at or
 above `least`. Two plans give the same rows:
 
-`by_blocks` joins corpus with corpus. Unit vectors with cosine c differ by sqrt(2 - 2c) at most, so their projections
-on any unit direction do. Projections are bucketed at that width; one side is listed under the neighbouring buckets
-too; what shares a bucket in every direction is verified. No match is lost.
+`by_blocks` joins corpus with corpus. The midpoint of two unit vectors with cosine c is at most r = sqrt(2 - 2c) / 2 away
+from either. So with planes in orthogonal directions, each vector is listed under every pattern of sides that points
+within r of it can have: a side flips only if its squared distance to that plane, summed over the flipped ones, is r * r
+at most. Both vectors of a pair are listed under their midpoint's pattern, so no match is lost, while few others share one.
+The planes, along the main axes of a bounded sample, are dealt into groups of as many as the number of vectors calls for:
+in one of g groups the midpoint is r / sqrt(g) away at most, so patterns of a group are listed for that reach. What shares a pattern is
+first compared along those axes (`HEAD` numbers that travel with the ids), and only what is left by whole vectors. Equal
+vectors are one until the end, and vectors aren't shuffled with the patterns.
 
 `by_matrix` is for few candidates: their windows are sent to the table's partitions, and every partition takes one
 matrix product for each batch. The number of windows is checked; beyond the bound `by_blocks` takes over.
@@ -16,13 +21,16 @@ Below the threshold neither knows the closest item: its columns are null there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine
+from .settled import settled
 
-LEAST, MIN_RUN, MAX_CANDIDATES = 0.985, 3, 20_000
+LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD = 0.985, 3, 20_000, 2_000, 8
 
 
 def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str = "pcm_sha256") -> DataFrame:
@@ -31,28 +39,72 @@ def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str =
     return candidates.select(F.col(key).alias("candidate"), digest).join(known, digest).select("candidate", "exact_duplicate_of")
 
 
-def directions(dim: int, n: int, seed: int = 11) -> np.ndarray:
-    """n orthonormal directions."""
-    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, n)))
-    return q.T
+def planes(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axes, offsets): the n main axes of the SAMPLE vectors with the least hashes, and where the planes cut them."""
+    rows = vectors.orderBy("h1", "h2").limit(SAMPLE).select("vec").collect()
+    x = np.array([r["vec"] for r in rows], dtype=np.float64)
+    mean = x.mean(axis=0)
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    axes = axes[:, ::-1][:, :n].T
+    return axes, axes @ mean
+
+
+def patterns(places: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, pattern) of every vector and pattern of sides within reach. places: signed distances to the planes."""
+    owner, pattern, left = np.arange(len(places)), np.zeros(len(places), dtype=np.int64), np.full(len(places), reach * reach)
+    for k in range(places.shape[1]):
+        side, cost = (places[owner, k] >= 0).astype(np.int64) << k, places[owner, k] ** 2
+        flips = np.flatnonzero(cost <= left)
+        owner, left = np.concatenate([owner, owner[flips]]), np.concatenate([left, left[flips] - cost[flips]])
+        pattern = np.concatenate([pattern | side, pattern[flips] | side[flips] ^ 1 << k])
+    return owner, pattern
 
 
-def _projection(vec: Column, direction: np.ndarray) -> Column:
-    return cosine(vec, F.array(*(F.lit(float(x)) for x in direction)))
+def _distinct(windows: DataFrame) -> DataFrame:
+    """windows with the two hashes of their vector in place of it, and the distinct vectors; zero vectors match nothing."""
+    some = windows.filter(F.exists("vec", lambda v: v != 0)).withColumn("vec", F.transform("vec", lambda v: v.cast("double") + 0.0))
+    return some.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit("again"), "vec")})
 
 
-def near_windows(a: DataFrame, b: DataFrame, dim: int, least: float = LEAST, n_directions: int = 3) -> DataFrame:
+def near_windows(a: DataFrame, b: DataFrame, dim: int, least: float = LEAST) -> DataFrame:
     """candidate, item, i, j, cos of all pairs of windows at or above the threshold. a: candidate, i, vec; b: item, j, vec
     (unit vectors; zero vectors match nothing)."""
-    width = float(np.sqrt(2 - 2 * least)) + 0.005  # slack for float32
-    axes = directions(dim, min(n_directions, dim))
-    bucket = [lambda v, d=d: F.floor(_projection(v, d) / width).cast("int") for d in axes]
-    names = [f"b{k}" for k in range(len(axes))]
-    left = a.select("candidate", "i", F.col("vec").alias("u"), *(f(F.col("vec")).alias(n) for f, n in zip(bucket, names)))
-    right = b.select("item", "j", F.col("vec").alias("v"), *(f(F.col("vec")).alias(n) for f, n in zip(bucket, names)))
-    for n in names:
-        right = right.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    return left.join(right, names).withColumn("cos", cosine(F.col("u"), F.col("v"))).filter(F.col("cos") >= least).select("candidate", "item", "i", "j", "cos")
+    a, b = _distinct(a), _distinct(b)
+    vectors = a.select("h1", "h2", "vec", F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).union(b.select("h1", "h2", "vec", F.lit(False), F.lit(True)))
+    vectors = settled(vectors.groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b")))
+    n = vectors.count()
+    if not n:
+        return a.select("candidate", "i").join(b.select("item", "j", F.lit(0.0).alias("cos")), F.lit(False)).select("candidate", "item", "i", "j", "cos")
+    width = float(np.sqrt(2 - 2 * least)) + 0.0005  # slack for float32
+    each = min(dim, n.bit_length() + 5)
+    groups = min(4, max(1, dim // each))
+    axes, offsets = planes(vectors, groups * each)
+    head = [f"p{k}" for k in range(min(HEAD, len(axes)))]
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                places = x @ axes.T - offsets
+                found = [patterns(places[:, g::groups], width / 2 / groups**0.5) for g in range(groups)]
+                owner, pattern = np.concatenate([o for o, _ in found]), np.concatenate([p << 2 | g for g, (_, p) in enumerate(found)])
+                rows = batch.select(["h1", "h2", "in_a", "in_b"]).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pattern), *(pa.array(places[owner, k].astype(np.float32)) for k in range(len(head)))], names=["h1", "h2", "in_a", "in_b", "pattern", *head])
+
+    keyed = vectors.mapInArrow(listed, "h1 long, h2 long, in_a boolean, in_b boolean, pattern long, " + ", ".join(f"{p} float" for p in head))
+    left = keyed.filter("in_a").select("pattern", F.col("h1").alias("a1"), F.col("h2").alias("a2"), *(F.col(p).alias(f"a_{p}") for p in head))
+    right = keyed.filter("in_b").select("pattern", F.col("h1").alias("b1"), F.col("h2").alias("b2"), *(F.col(p).alias(f"b_{p}") for p in head))
+    gap = reduce(lambda x, y: x + y, ((F.col(f"a_{p}") - F.col(f"b_{p}")) * (F.col(f"a_{p}") - F.col(f"b_{p}")) for p in head))
+    pairs = left.join(right, "pattern").filter(gap <= width * width).select("a1", "a2", "b1", "b2").distinct()
+    u = vectors.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("vec").alias("u"))
+    v = vectors.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("vec").alias("v"))
+    near = pairs.join(u, ["a1", "a2"]).join(v, ["b1", "b2"]).withColumn("cos", cosine(F.col("u"), F.col("v"))).filter(F.col("cos") >= least).select("a1", "a2", "b1", "b2", "cos")
+    mine = a.select("candidate", "i", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    theirs = b.select("item", "j", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    return near.join(mine, ["a1", "a2"]).join(theirs, ["b1", "b2"]).select("candidate", "item", "i", "j", "cos")
 
 
 def runs(pairs: DataFrame, sizes_a: DataFrame, sizes_b: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

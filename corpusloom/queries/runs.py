@@ -214,12 +214,21 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Every item, without its opening: its windows from the fourth on."""
-    return windows(spark, d).filter("j >= 4").select(F.concat(F.lit("c"), F.col("item")).alias("candidate"), (F.col("j") - 4).alias("i"), "vec")
+    """Every item whole, and again without its opening: its windows from the fifth on."""
+    w = windows(spark, d)
+    whole = w.select(F.concat(F.lit("c"), F.col("item")).alias("candidate"), F.col("j").alias("i"), "vec")
+    return whole.unionByName(w.filter("j >= 4").select(F.concat(F.lit("t"), F.col("item")).alias("candidate"), (F.col("j") - 4).alias("i"), "vec"))
+
+
+def queried(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each vector whose id is divisible by 100: the windows of its item that begin there, four at most."""
+    w = windows(spark, d)
+    first = w.filter("vec_id % 100 = 0").select("item", F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("candidate"), F.col("j").alias("start"))
+    return w.join(first, "item").filter("j between start and start + 3").select("candidate", (F.col("j") - F.col("start")).alias("i"), "vec")
 
 
 WINDOWS = """w AS (SELECT label::VARCHAR || '-' || (vec_id // 500)::VARCHAR AS item, label, vec_id, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY label::VARCHAR || '-' || (vec_id // 500)::VARCHAR ORDER BY vec_id) - 1 AS j FROM embeddings),
-c AS (SELECT 'c' || item AS candidate, j - 4 AS i, vec FROM w WHERE j >= 4),
+c AS (%s),
 pairs AS (SELECT candidate, item, i, j FROM c JOIN w ON list_dot_product(c.vec, w.vec) >= 0.985),
 n AS (SELECT candidate, count(*) AS n FROM c GROUP BY 1), m AS (SELECT item, count(*) AS m FROM w GROUP BY 1),
 o AS (SELECT candidate, item, CASE WHEN n <= m THEN j - i ELSE i - j END AS off, CASE WHEN n <= m THEN i ELSE j END AS place, abs(m - n) AS room FROM pairs JOIN n USING (candidate) JOIN m USING (item)),
@@ -227,16 +236,19 @@ l AS (SELECT *, place - row_number() OVER (PARTITION BY candidate, item, off ORD
 r AS (SELECT candidate, item, off, max(run) AS run FROM (SELECT candidate, item, off, island, count(*) AS run FROM l GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query(f"WITH {WINDOWS}, b AS (SELECT candidate, max(run) AS run FROM r GROUP BY 1) SELECT candidate, min(item) AS closest_item, run AS matched_windows, run >= 3 AS suspicious FROM r JOIN b USING (candidate, run) GROUP BY candidate, run")
+SCREEN = f"WITH {WINDOWS}, b AS (SELECT candidate, max(run) AS run FROM r GROUP BY 1) SELECT candidate, min(item) AS closest_item, run AS matched_windows, run >= 3 AS suspicious FROM r JOIN b USING (candidate, run) GROUP BY candidate, run"
+
+
+@query(SCREEN % "SELECT 'c' || item AS candidate, j AS i, vec FROM w UNION ALL SELECT 't' || item, j - 4, vec FROM w WHERE j >= 4")
 def near_dup_screen(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("item", "j", "vec")
     return similarity.by_blocks(candidates(spark, d), w, 64).select("candidate", "closest_item", "matched_windows", "suspicious")
 
 
-@query(f"WITH {WINDOWS}, b AS (SELECT candidate, max(run) AS run FROM r GROUP BY 1) SELECT candidate, min(item) AS closest_item, run AS matched_windows, run >= 3 AS suspicious FROM r JOIN b USING (candidate, run) GROUP BY candidate, run")
+@query(SCREEN % "SELECT 'q' || q.vec_id AS candidate, w.j - q.j AS i, w.vec FROM w JOIN w q ON w.item = q.item AND q.vec_id % 100 = 0 AND w.j BETWEEN q.j AND q.j + 3")
 def few_candidates_screen(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("item", "j", "vec")
-    return similarity.by_matrix(candidates(spark, d), w).select("candidate", "closest_item", "matched_windows", "suspicious")
+    return similarity.by_matrix(queried(spark, d), w).select("candidate", "closest_item", "matched_windows", "suspicious")
 
 
 @query("""WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1) SELECT d.doc_id AS candidate, first AS exact_duplicate_of FROM documents d JOIN h ON sha256(d.text) = h WHERE d.doc_id % 100 = 0""")

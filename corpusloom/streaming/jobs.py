@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parsed_log
-from ..operators.ratelimit import Limiter
+from ..operators.ratelimit import Admitted, admit
 
 
 def monitor(lines: DataFrame) -> DataFrame:
@@ -52,20 +52,21 @@ def admission(stream: DataFrame, client: str, ts: str, per_minute: int, daily: i
     kind = stream.schema[client].dataType.simpleString()
 
     def step(key, frames, state):
-        from pyspark.sql.streaming.state import GroupState  # noqa: F401
-
         if state.hasTimedOut:
             state.remove()
             return
-        times, start, used = state.get if state.exists else ([], None, 0)
-        limiter = Limiter(per_minute, daily, list(times), start, used)
-        rows = pd.concat(list(frames)).sort_values([ts, "event_id"])
-        rows["accepted"] = [limiter.check(t) for t in rows[ts].astype("int64") / 1e9]
-        state.update((limiter.times, limiter.start, limiter.used))
+        past = Admitted(*state.get) if state.exists else Admitted()
+        past = past._replace(recent=tuple(past.recent))
+        rows, accepted = pd.concat(list(frames)).sort_values([ts, "event_id"]), []
+        for at in rows[ts].astype("datetime64[us]").astype("int64").tolist():
+            past, ok = admit(past, at, per_minute, daily)
+            accepted.append(ok)
+        rows["accepted"] = accepted
+        state.update((list(past.recent), past.opened, past.used))
         state.setTimeoutDuration(86_400_000)
         yield rows[[client, "event_id", ts, "accepted"]]
 
-    return stream.groupBy(client).applyInPandasWithState(step, f"`{client}` {kind}, event_id long, `{ts}` timestamp, accepted boolean", "times array<double>, start double, used long", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(client).applyInPandasWithState(step, f"`{client}` {kind}, event_id long, `{ts}` timestamp, accepted boolean", "recent array<long>, opened long, used long", "append", "ProcessingTimeTimeout")
 
 
 def queue_depth(events: DataFrame, ts: str = "ts", window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:

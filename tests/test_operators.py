@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import columns, licences, text
 from corpusloom.operators import dedup, experiments, gates, joins, review, select, similarity, splits, validate
-from corpusloom.operators.ratelimit import Limiter
+from corpusloom.operators.ratelimit import Admitted, admit
 
 
 def one(spark, column):
@@ -61,10 +61,34 @@ def test_quota_split_is_independent_of_order(spark):
 
 
 def test_weighted_split_uses_all():
-    weights = {"A": 1000.0, "B": 100.0, "C": 100.0, "D": 100.0, "E": 100.0}
-    plan = splits.balanced(weights, {k: i / 10 for i, k in enumerate(weights)})
-    held = {s: sum(w for k, w in weights.items() if plan[k] == s) for s in splits.RATIOS}
-    assert set(plan.values()) == set(splits.RATIOS) and max(held, key=held.get) == "train"
+    import numpy as np
+
+    weights = np.array([1000.0, 100.0, 100.0, 100.0, 100.0])
+    plan = splits.balanced(list("ABCDE"), weights, np.arange(5) / 10)
+    held = [weights[plan == k].sum() for k in range(3)]
+    assert set(plan.tolist()) == {0, 1, 2} and int(np.argmax(held)) == 0
+    assert splits.balanced(list("AB"), np.array([5.0, 1.0]), np.zeros(2)).tolist() == [0, 1]
+    lone = splits.balanced(list("ABC"), np.array([1e9, 1.0, 1.0]), np.arange(3) / 3, {"train": 1.0, "val": 1e-12, "test": 1e-12})
+    assert sorted(lone.tolist()) == [0, 1, 2]
+
+
+def test_weighted_split_goes_where_most_is_lacking():
+    """Every key, by falling weight, against the rule taken literally."""
+    import numpy as np
+
+    rnd = random.Random(4)
+    for _ in range(40):
+        n = rnd.randint(1, 30)
+        weights, places = np.array([float(rnd.randint(1, 9)) for _ in range(n)]), np.array([rnd.random() for _ in range(n)])
+        plan = splits.balanced(list(range(n)), weights, places)
+        goal = weights.sum() * np.array([0.8, 0.1, 0.1])
+        held, want = np.zeros(3), {}
+        for i in sorted(range(n), key=lambda i: (-weights[i], places[i])):
+            k = int(np.argmax(np.round((goal - held) / goal, 12)))
+            held[k] += weights[i]
+            want[i] = k
+        if len(set(want.values())) == 3 or n < 3:
+            assert plan.tolist() == [want[i] for i in range(n)]
 
 
 def test_allocation():
@@ -127,7 +151,8 @@ def test_replay_streams_a_client(spark):
     limiters, want = {}, set()
     for i in sorted(range(25_000), key=lambda i: (i * 7 % 25_000, i)):
         client = None if i % 5 == 0 else 2 if i % 7 == 0 else 1
-        if limiters.setdefault(client, Limiter(3, 900)).check(i * 7 % 25_000 * 11):
+        limiters[client], ok = admit(limiters.get(client, Admitted()), i * 7 % 25_000 * 11_000_000, 3, 900)
+        if ok:
             want.add(i)
     assert {r["event_id"] for r in got.filter("accepted").collect()} == want and 900 < len(want) < 25_000
 
@@ -184,8 +209,40 @@ def test_curves(spark):
 
 
 def test_limiter():
-    limiter = Limiter(2, 3)
-    assert [limiter.check(t) for t in (0, 1, 2, 61, 62, 130, 86_500)] == [True, True, False, True, False, False, True]
+    state, got = Admitted(), []
+    for t in (0, 1, 2, 61, 62, 130, 86_500):
+        state, ok = admit(state, t * 1_000_000, 2, 3)
+        got.append(ok)
+    assert got == [True, True, False, True, False, False, True]
+
+
+def test_limiter_is_the_rule():
+    """Against the whole list of accepted times."""
+    rnd = random.Random(8)
+    state, accepted, now, opened = Admitted(), [], 0, None
+    for _ in range(4_000):
+        now += rnd.choice([0, 1_000_000, 20_000_000, 59_000_000, 60_000_000, 60_000_001, 3_000_000_000])
+        state, ok = admit(state, now, 3, 40)
+        fresh = opened is None or now - opened > 86_400_000_000
+        used = 0 if fresh else sum(t >= opened for t in accepted)
+        want = sum(now - t <= 60_000_000 for t in accepted) < 3 and used < 40
+        if want:
+            opened = now if fresh else opened
+            accepted.append(now)
+        assert ok == want
+
+
+def test_tail_and_nth_largest(spark):
+    from corpusloom.operators import splits as s
+
+    values = [3, 3, 3, 1, 9, 4, None, 9, 2] + list(range(100, 160)) + [50] * 40
+    frame = spark.createDataFrame([(v,) for v in values], "x int")
+    ranked = sorted((v for v in values if v is not None), reverse=True)
+    known = frame.filter("x is not null")
+    for nth in (1, 2, 59, 61, 70, 108):
+        assert s.largest(known, "x", nth, few=5) == ranked[nth - 1] == s.largest(known, "x", nth)
+    assert s.largest(known, "x", 109) is None and s.largest(known, "x", 0) is None
+    assert s.tail(spark.range(50), "id").filter("split = 'val'").count() == 5 and s.tail(spark.range(1), "id").filter("split = 'val'").count() == 0
 
 
 def test_bootstrap(spark):
@@ -235,7 +292,7 @@ def test_leak_guard_matches_brute_force(spark):
     needles = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 8)))) for i in range(30)] + [(99, docs[7][1][1:-1] or "zz")]
     got = joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string"), "id", "text", "n", "needle")
     assert {(r["id"], r["n"]) for r in got.collect()} == {(i, n) for i, t in docs for n, x in needles if x in t}
-    got = joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string"), "id", "text", "n", "needle", few=4)
+    got = joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string"), "id", "text", "n", "needle", few=4, held=0)
     assert {(r["id"], r["n"]) for r in got.collect()} == {(i, n) for i, t in docs for n, x in needles if x in t}
 
 
@@ -243,18 +300,52 @@ def test_near_windows_lose_nothing(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    base = np.abs(rng.normal(size=(40, 12)))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    near = base + rng.normal(scale=0.02, size=base.shape)
-    near /= np.linalg.norm(near, axis=1, keepdims=True)
-    a = spark.createDataFrame([("c", i, v.tolist()) for i, v in enumerate(near[5:25])], "candidate string, i int, vec array<double>")
-    b = spark.createDataFrame([("x", j, v.tolist()) for j, v in enumerate(base)], "item string, j int, vec array<double>")
-    got = {(r["i"], r["j"]) for r in similarity.near_windows(a, b, 12).collect()}
-    sims = near[5:25] @ base.T
-    assert got == set(zip(*(x.tolist() for x in np.nonzero(sims >= 0.985))))
-    p, q = similarity.by_blocks(a, b, 12).first(), similarity.by_matrix(a, b).first()
-    assert p.asDict() | {"max_cosine": 0} == q.asDict() | {"max_cosine": 0} and p["suspicious"]
-    assert similarity.by_matrix(a, b, max_windows=5).first() == p
+    for dim, signed in ((12, False), (40, True), (3, True)):
+        base = rng.normal(size=(60, dim)) if signed else np.abs(rng.normal(size=(60, dim)))
+        base[40:50] = base[:10]  # repeats
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        near = base + rng.normal(scale=0.24 / dim**0.5 / 2, size=base.shape)
+        near /= np.linalg.norm(near, axis=1, keepdims=True)
+        near[7] = 0.0
+        a = spark.createDataFrame([("c", i, v.tolist()) for i, v in enumerate(near[5:25])], "candidate string, i int, vec array<double>")
+        b = spark.createDataFrame([("x", j, v.tolist()) for j, v in enumerate(base)], "item string, j int, vec array<double>")
+        got = [(r["i"], r["j"]) for r in similarity.near_windows(a, b, dim).collect()]
+        sims = near[5:25] @ base.T
+        assert sorted(got) == sorted(zip(*(x.tolist() for x in np.nonzero(sims >= 0.985)))) and len(got) > 5
+        p, q = similarity.by_blocks(a, b, dim).first(), similarity.by_matrix(a, b).first()
+        assert p.asDict() | {"max_cosine": 0} == q.asDict() | {"max_cosine": 0}
+        assert similarity.by_matrix(a, b, max_windows=5).first() == p
+        assert similarity.near_windows(a.filter("false"), b, dim).count() == 0 == similarity.near_windows(a, b.filter("false"), dim).count()
+
+
+def test_patterns_share_the_midpoint():
+    """Any two points within the width share a pattern, and few of those farther apart do."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(scale=0.125, size=(800, 12))
+    step = rng.normal(size=x.shape)
+    y = x + step / np.linalg.norm(step, axis=1, keepdims=True) * rng.uniform(0, 0.17, (800, 1))
+    of = lambda z: [set() for _ in z]
+    a, b = of(x), of(y)
+    for own, z in ((a, x), (b, y)):
+        for i, p in zip(*map(np.ndarray.tolist, similarity.patterns(z, 0.085))):
+            own[i].add(p)
+    assert all(p & q for p, q in zip(a, b))
+    assert np.mean([bool(a[i] & b[j]) for i in range(100) for j in range(200, 300)]) < 0.12
+
+
+def test_screen(spark):
+    """Exact copies first, then runs; a candidate that is near to nothing is not suspicious."""
+    unit = lambda k: [float(i == k) for i in range(6)]
+    candidates = spark.createDataFrame([("a", "h1"), ("b", "zz"), ("c", ""), ("d", None)], "item string, pcm_sha256 string")
+    db = spark.createDataFrame([("x", "h1"), ("w", "h1"), ("y", ""), ("z", None)], "item string, pcm_sha256 string")
+    windows = spark.createDataFrame([("b", i, unit(k)) for i, k in enumerate([1, 2, 3])] + [("c", 0, unit(5)), ("c", 1, unit(1))], "candidate string, i int, vec array<double>")
+    stored = spark.createDataFrame([("y", j, unit(k)) for j, k in enumerate([0, 1, 2, 3, 4])], "item string, j int, vec array<double>")
+    got = {r["candidate"]: r for r in similarity.screen(candidates, similarity.by_blocks(windows, stored, 6), similarity.exact(candidates, db)).collect()}
+    assert (got["a"]["exact_duplicate_of"], got["a"]["closest_item"], got["a"]["max_cosine"], got["a"]["suspicious"]) == ("w", "w", 1.0, True)
+    assert (got["b"]["closest_item"], got["b"]["matched_windows"], got["b"]["suspicious"]) == ("y", 3, True)
+    assert (got["c"]["matched_windows"], got["c"]["suspicious"]) == (1, False) and (got["d"]["closest_item"], got["d"]["suspicious"]) == (None, False)
 
 
 def test_gates_in_order(spark):
