@@ -79,36 +79,40 @@ def to_channels(channels: Column, n: int, policy: str = "repeat") -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(channels, place(i)))
 
 
-def flags(clipped: Column, peak_db: Column, silent: Column, gap: Column, rolloff: Column, flatness: Column, mono: Column, channels: Column, repetition: Column, noise_like: float = 0.5) -> Column:
-    """The defects that measures prove. A measure that is absent is benign."""
-    known = lambda c, benign: F.coalesce(c, F.lit(benign))
-    return F.array_compact(
-        F.array(
-            F.when(known(clipped, 0.0) > 1e-4, "clipping"),
-            F.when(known(peak_db, 0.0) < -30, "very quiet"),
-            F.when(known(silent, 0.0) > 0.35, "mostly silent"),
-            F.when(known(gap, 0.0) > 5.0, "long dead span"),
-            F.when(known(rolloff, float("inf")) < 6000, "band-limited / muffled"),
-            F.when(known(flatness, 0.0) > noise_like, "noise-like"),
-            F.when(known(mono, False) & (known(channels, 1) > 1), "dual-mono (no stereo image)"),
-            F.when(known(repetition, 0.0) > 0.85, "highly repetitive / loop-like"),
-        )
-    )
-
-
-def take_score(n_flags: Column, silent: Column, gap: Column, clipped: Column, repetition: Column, variation: Column) -> Column:
-    """100 less what the measures of a take prove against it."""
-    known = lambda c, benign: F.coalesce(c, F.lit(benign))
-    repeated = known(repetition, 0.0)
-    return (
-        F.lit(100.0)
-        - 25.0 * n_flags
-        - 40.0 * known(silent, 0.0)
-        - 5.0 * F.greatest(known(gap, 0.0) - 2.0, F.lit(0.0))
-        - 100.0 * known(clipped, 0.0)
-        - 30.0 * F.greatest(repeated - 0.7, F.lit(0.0)) / 0.3
-        - F.when(known(variation, 1.0) < 0.05, 10.0).otherwise(0.0)
-    )
+#: Each defect with its measure, the benign value, the bound, and on which side of it the defect lies: fixed values.
+DEFECTS = [
+    ("clipping", "clipped", 0.0, ">", 1e-4),
+    ("very quiet", "peak_db", 0.0, "<", -30.0),
+    ("mostly silent", "silent", 0.0, ">", 0.35),
+    ("long dead span", "gap", 0.0, ">", 5.0),
+    ("band-limited / muffled", "rolloff", float("inf"), "<", 6000.0),
+    ("noise-like", "flatness", 0.0, ">", 0.5),
+    ("highly repetitive / loop-like", "repetition", 0.0, ">", 0.85),
+]
+#: A take's score: what it starts with, what each flag and each unit of a measure beyond its free part costs, and the
+#: price of a take that hardly varies: fixed values.
+FULL, PER_FLAG, COSTS, STATIC = 100.0, 25.0, {"silent": (0.0, 40.0), "gap": (2.0, 5.0), "clipped": (0.0, 100.0), "repetition": (0.7, 30.0 / 0.3)}, (0.05, 10.0)
+
+
+def flags(measures: dict[str, Column], mono: Column | None = None, channels: Column | None = None) -> Column:
+    """The defects that measures prove, in order of DEFECTS; two equal channels come before repetition. A measure that is
+    absent is benign."""
+    found = []
+    for label, name, benign, side, bound in DEFECTS:
+        if name == "repetition" and mono is not None:
+            found.append(F.when(F.coalesce(mono, F.lit(False)) & (F.coalesce(channels, F.lit(1)) > 1), "dual-mono (no stereo image)"))
+        value = F.coalesce(measures[name].cast("double"), F.lit(benign)) if name in measures else None
+        if value is not None:
+            found.append(F.when(value > bound if side == ">" else value < bound, label))
+    return F.array_compact(F.array(*found))
+
+
+def take_score(n_flags: Column, measures: dict[str, Column], variation: Column | None = None) -> Column:
+    """What is left of a full score after the costs of flags and measures."""
+    score = F.lit(FULL) - PER_FLAG * n_flags
+    for name, (free, price) in COSTS.items():
+        score = score - price * F.greatest(F.coalesce(measures[name].cast("double"), F.lit(0.0)) - free, F.lit(0.0))
+    return score - F.when(variation < STATIC[0], STATIC[1]).otherwise(0.0) if variation is not None else score
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -24,6 +24,7 @@ ON_DISK = (["attribution", "public domain", "cc0", "zero"], ["noncommercial", "n
 #: Exact names by policy: fixed values.
 PERMISSIVE = ["CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "MIT", "public-domain"]
 DEPLOYABLE = ["CC0-1.0", "CC0", "public-domain", "CC-BY-4.0", "CC-BY-3.0", "MIT", "Apache-2.0", "BSD-3-Clause"]
+CLASS_PERMISSIVE = ["CC-BY-4.0", "CC-BY-3.0", "CC0-1.0", "CC0", "MIT", "Apache-2.0", "BSD-3-Clause", "public-domain"]
 
 
 def _any(text: Column, parts: list[str]) -> Column:
@@ -56,7 +57,7 @@ def licence_class(name: Column) -> Column:
     """The class by a substring rule. NC anywhere, once blanks and hyphens are gone, counts as non-commercial, so
     `public licence` does too: that is this policy, reproduced as it is."""
     bare = F.regexp_replace(F.upper(name), "[- ]", "")
-    named = name.isin("CC0-1.0", "CC0", "CC-BY-4.0", "CC-BY-3.0", "MIT", "Apache-2.0", "BSD-3-Clause", "public-domain")
+    named = name.isin(CLASS_PERMISSIVE)
     return F.when(F.coalesce(name, F.lit("")) == "", "unknown").when(bare.contains("NC"), "non-commercial").when(named | F.upper(name).startswith("CC-BY-4"), "permissive").otherwise("other")
 
 

@@ -108,18 +108,42 @@ def metadata_captions(spark: SparkSession, d: str) -> DataFrame:
     return g.select("genre", text.label_caption(F.array("genre"), F.array(F.lower("genre"))).alias("solo"), "x")
 
 
-NARRATIVE = """c AS (SELECT p_partkey, p_name, lower(p_type) AS genre, p_brand,
- (('0x' || substr(sha256('0:energy:' || p_partkey::VARCHAR), 1, 8))::UBIGINT % 5)::BIGINT + 1 AS e, (('0x' || substr(sha256('0:noun:' || p_partkey::VARCHAR), 1, 8))::UBIGINT % 5)::BIGINT + 1 AS n, (('0x' || substr(sha256('0:lead:' || p_partkey::VARCHAR), 1, 8))::UBIGINT % 3)::BIGINT + 1 AS l, (('0x' || substr(sha256('0:mood:' || p_partkey::VARCHAR), 1, 8))::UBIGINT % 3)::BIGINT + 1 AS m,
- CASE WHEN p_size < 10 THEN ['gentle', 'restrained', 'hushed', 'sparse', 'delicate'] WHEN p_size > 40 THEN ['driving', 'energetic', 'powerful', 'urgent', 'explosive'] ELSE ['warm', 'steady', 'flowing', 'measured', 'unhurried'] END AS bank FROM part),
-w AS (SELECT p_partkey, 'A ' || bank[e] || ', ' || ['expressive', 'atmospheric', 'melodic'][m] || ' ' || genre || ' ' || ['track', 'piece', 'song', 'recording', 'arrangement'][n] || ', ' || ['led by ', 'built around ', 'carried by '][l]
- || replace(p_name, ' ', ' and ') || '.' AS raw FROM c),
-captions AS (SELECT p_partkey, regexp_replace(raw, '^A ([aeiou])', 'An \\1') AS caption FROM w)"""
+def _pick(bank: list[str], slot: str, key: str = "p_partkey::VARCHAR") -> str:
+    """The SQL of `columns.pick`."""
+    quoted = "[" + ", ".join("'" + b.replace("'", "''") + "'" for b in bank) + "]"
+    return f"{quoted}[(('0x' || substr(sha256('0:{slot}:' || {key}), 1, 8))::UBIGINT % {len(bank)})::BIGINT + 1]"
+
+
+def _humanised(items: str) -> str:
+    return f"CASE len({items}) WHEN 0 THEN '' WHEN 1 THEN {items}[1] ELSE array_to_string({items}[:-2], ', ') || ' and ' || {items}[-1] END"
+
+
+#: `fix_articles` in two passes, as RE2 has no lookahead: an before a vowel, then a before other letters.
+_ARTICLES = r"regexp_replace(regexp_replace({x}, '\b([Aa])\s+([aeiouAEIOU])', '\1n \2', 'g'), '\b([Aa])n\s+([0-9A-Z_a-z])', '\1#\2', 'g')"
+_FIXED = r"regexp_replace(regexp_replace({x}, '\b([Aa])#([aeiouAEIOU])', '\1n \2', 'g'), '\b([Aa])#', '\1 ', 'g')".replace("{x}", _ARTICLES)
+NARRATIVE = f"""f AS (SELECT p_partkey, CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_type END AS genre, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE '' END AS mood, CASE WHEN p_partkey % 16 IN (0, 5) THEN [] ELSE string_split(p_name, ' ') || CASE WHEN p_partkey % 2 = 0 THEN ['piano', 'cello'] ELSE [] END END AS items,
+ CASE p_partkey % 7 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'choir' WHEN 3 THEN 'duet' WHEN 4 THEN 'robot' ELSE '' END AS vocal, CASE p_partkey % 6 WHEN 0 THEN 'build' WHEN 1 THEN 'steady' WHEN 2 THEN 'arc' WHEN 3 THEN 'decay' WHEN 4 THEN 'odd' ELSE '' END AS arc,
+ CASE WHEN p_partkey % 5 <> 0 THEN p_size * 4 END AS bpm, CASE WHEN p_partkey % 4 <> 0 THEN 'C minor' END AS key, CASE WHEN p_partkey % 9 = 0 THEN 'lo-fi TAPE' END AS production, CASE WHEN p_size < 10 THEN 'low' WHEN p_size > 40 THEN 'high' ELSE 'medium' END AS band FROM part),
+w AS (SELECT *, CASE band {" ".join(f"WHEN '{b}' THEN {_pick(words, 'energy')}" for b, words in text.ENERGY_WORDS.items())} END AS energy, coalesce(nullif(lower(genre), ''), 'instrumental') AS g, coalesce(nullif(mood, ''), {_pick(text.MOOD_WORDS, "mood")}) AS m, {_pick(text.NOUNS, "noun")} AS noun,
+ {_pick(text.OPENERS, "opener")} AS opener, {_pick(text.LEADS, "lead")} AS lead, {_pick(text.SUPPORTS, "support")} AS support, items[2:6] AS rest,
+ coalesce(nullif(arc, ''), CASE WHEN ('0x' || substr(sha256('0:arc:' || p_partkey::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.4 THEN 'build' ELSE 'steady' END) AS moves FROM f),
+s AS (SELECT *, concat_ws(', ', replace(replace(replace(replace(opener, '{{energy}}', energy), '{{genre}}', g), '{{noun}}', noun), '{{mood}}', m), CASE WHEN len(items) > 0 THEN replace(lead, '{{lead}}', items[1]) END, CASE WHEN len(items) > 1 THEN replace(support, '{{rest}}', {_humanised("rest")}) END,
+ CASE vocal {" ".join(f"WHEN '{v}' THEN 'featuring {p}'" for v, p in text.VOCAL_PHRASES.items())} WHEN '' THEN 'performed instrumentally' END) || '.' AS sentence,
+ CASE moves {" ".join(f"WHEN '{a}' THEN {_pick(bank, 'arc')}" for a, bank in text.ARCS.items())} ELSE {_pick(text.ARCS["steady"], "arc")} END AS moved,
+ CASE WHEN bpm IS NOT NULL AND key IS NOT NULL THEN 'Around ' || bpm || ' BPM in ' || key || '.' WHEN bpm IS NOT NULL THEN 'Around ' || bpm || ' BPM.' WHEN key IS NOT NULL THEN 'In ' || key || '.' END AS tempo, CASE WHEN production IS NOT NULL THEN 'Lo-fi tape production.' END AS made FROM w),
+captions AS (SELECT p_partkey, CASE WHEN len(items) > 0 OR genre <> '' THEN {_FIXED.replace("{x}", "concat_ws(' ', sentence, moved, tempo, made)")} END AS caption FROM s)"""
 
 
 def captions(spark: SparkSession, d: str) -> DataFrame:
-    p, size = table(spark, d, "part"), F.col("p_size")
+    """Captions of parts taken for recordings, of which each lacks some fields."""
+    p, size, k = table(spark, d, "part"), F.col("p_size"), F.col("p_partkey")
     band = F.when(size < 10, "low").when(size > 40, "high").otherwise("medium")
-    return p.select("p_partkey", text.narrative_caption(F.col("p_partkey"), band, F.col("p_type"), F.lit(""), F.split("p_name", " ")).alias("caption"))
+    none = F.array().cast("array<string>")
+    items = F.when((k % 16).isin(0, 5), none).otherwise(F.concat(F.split("p_name", " "), F.when(k % 2 == 0, F.array(F.lit("piano"), F.lit("cello"))).otherwise(none)))
+    dealt = lambda n, words: F.coalesce(F.get(F.array(*map(F.lit, words)), (k % n).cast("int")), F.lit(""))
+    vocal, arc = dealt(7, ["female", "male", "choir", "duet", "robot"]), dealt(6, ["build", "steady", "arc", "decay", "odd"])
+    caption = text.narrative_caption(k, band, F.when(k % 8 == 0, "").otherwise(F.col("p_type")), F.when(k % 3 == 0, F.col("p_brand")).otherwise(""), items, vocal, arc, F.when(k % 5 != 0, size * 4), F.when(k % 4 != 0, "C minor"), F.when(k % 9 == 0, "lo-fi TAPE"))
+    return p.select("p_partkey", caption.alias("caption"))
 
 
 @query(f"WITH {NARRATIVE} SELECT p_partkey, caption FROM captions")
@@ -127,7 +151,22 @@ def narrative_captions(spark: SparkSession, d: str) -> DataFrame:
     return captions(spark, d)
 
 
-@query(f"""WITH {NARRATIVE}, o AS (SELECT length(caption) AS l, row_number() OVER (ORDER BY length(caption), p_partkey) - 1 AS i, count(*) OVER () AS n FROM captions)
+@query(f"""WITH {NARRATIVE}, o AS (SELECT length(caption) AS l, row_number() OVER (ORDER BY length(caption), p_partkey) - 1 AS i, count(*) OVER () AS n FROM captions WHERE caption IS NOT NULL)
 SELECT max(n) AS n, min(l)::INT AS shortest, (max(l) FILTER (i = n // 2))::INT AS median, max(l)::INT AS longest FROM o""")
 def caption_lengths(spark: SparkSession, d: str) -> DataFrame:
     return reports.length_stats(captions(spark, d), F.length("caption"))
+
+
+_GENRES = [*text.GENRE_INSTRUMENTS, "polka", ""]
+_BANKS = "MAP {" + ", ".join("'" + g + "': [" + ", ".join("'" + i.replace("'", "''") + "'" for i in own) + "]" for g, own in text.GENRE_INSTRUMENTS.items()) + "}"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_GENRES!r}[p_partkey % {len(_GENRES)} + 1] AS genre, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS artist, {_BANKS} AS banks FROM part),
+w AS (SELECT p_partkey, artist, coalesce(nullif(genre, ''), 'instrumental') AS g, coalesce(banks[coalesce(nullif(genre, ''), 'instrumental')], []) AS items, {_pick([*text.ENERGY_WORDS], "band")} AS band, {_pick(text.CATALOGUE_MOODS, "mood")} AS m, {_pick(text.NOUNS, "noun")} AS noun, {_pick(text.OPENERS, "opener")} AS opener, {_pick(text.LEADS, "lead")} AS lead, {_pick(text.CATALOGUE_SUPPORTS, "support")} AS support FROM c),
+e AS (SELECT *, items[2:3] AS rest, CASE band {" ".join(f"WHEN '{b}' THEN {_pick(words, 'energy')}" for b, words in text.ENERGY_WORDS.items())} END AS energy FROM w)
+SELECT p_partkey, {_FIXED.replace("{x}", f"concat_ws(' ', concat_ws(', ', replace(replace(replace(replace(opener, '{{energy}}', energy), '{{genre}}', g), '{{noun}}', noun), '{{mood}}', m), CASE WHEN len(items) > 0 THEN replace(lead, '{{lead}}', items[1]) END, CASE WHEN len(items) > 1 THEN replace(support, '{{rest}}', {_humanised('rest')}) END, 'performed by ' || artist) || '.', {_pick(text.CATALOGUE_ARCS, 'arc')}, {_pick(text.PRODUCTION, 'production')})")} AS caption FROM e""")
+def catalogue_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of parts taken for catalogue tracks of every genre, one unknown and none."""
+    k = F.col("p_partkey")
+    genre = F.element_at(F.array(*map(F.lit, _GENRES)), (k % len(_GENRES)).cast("int") + 1)
+    return table(spark, d, "part").select("p_partkey", text.catalogue_caption(k, genre, F.when(k % 5 != 0, F.col("p_brand"))).alias("caption"))

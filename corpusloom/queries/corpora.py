@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, licences
-from ..operators import dedup, gates, joins, reports, select, splits, validate
+from ..operators import dedup, gates, joins, reports, select, splits, training, validate
 from .base import BUCKET, CORPUS, PLACE, SEGMENTS, SPLIT, corpus, query, segments, table
 
 B = BUCKET.format(l="licence")
@@ -324,3 +324,37 @@ def path_columns(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'medium' WHEN r < 0.08 THEN 'low' WHEN r > 0.22 THEN 'high' ELSE 'medium' END AS band FROM (SELECT doc_id, n_chars, (n_chars % 100) / 300.0 AS r FROM documents)""")
 def energy_bands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", columns.energy_band(F.col("n_chars") % 100 / 300.0).alias("band"))
+
+
+def labelled_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with families and names, some of which a segment lacks."""
+    i, role = F.col("segment_index"), F.element_at("tags", 1)
+    family = F.when(i % 5 == 4, "Mixture").when(i % 3 != 2, F.initcap(role))
+    name = F.when(i % 4 == 0, F.concat(role, F.lit(" lead"))).when(i % 4 == 1, "solo voice")
+    return segments(spark, d).withColumns({"instrument_family": family, "instrument_name": name})
+
+
+ITEMS = f"""{SEGMENTS}, r AS (SELECT source_path AS source, path, track_id, license, duration_seconds, CASE WHEN segment_index % 5 = 4 THEN 'Mixture' WHEN segment_index % 3 <> 2 THEN upper(role[1]) || role[2:] END AS family, CASE segment_index % 4 WHEN 0 THEN role || ' lead' WHEN 1 THEN 'solo voice' END AS name FROM segments),
+f AS (SELECT source, list(family ORDER BY n DESC, first) AS fs FROM (SELECT source, family, count(*) AS n, min(path) AS first FROM r WHERE family IS NOT NULL AND family <> 'Mixture' GROUP BY ALL) GROUP BY 1),
+m AS (SELECT source, list(name ORDER BY n DESC, first) AS ns FROM (SELECT source, name, count(*) AS n, min(path) AS first FROM r WHERE name IS NOT NULL GROUP BY ALL) GROUP BY 1),
+w AS (SELECT source, arg_min(track_id, path) AS track_id, arg_min(license, path) AS license, count(*) AS segments, sum(duration_seconds) AS seconds, coalesce(string_agg(DISTINCT family, ',' ORDER BY family), '') AS families FROM r GROUP BY 1),
+items AS (SELECT source, track_id || '__' || replace(string_split(source, '/')[-1], ' ', '_') AS stem, CASE WHEN len(fs) = 1 AND len(ns) > 0 THEN 'solo ' || CASE WHEN contains(lower(ns[1]), lower(fs[1])) THEN ns[1] ELSE ns[1] || ', ' || lower(fs[1]) END
+ WHEN len(fs) > 0 THEN CASE WHEN len(fs) > 2 THEN 'instrumental multitrack arrangement featuring ' ELSE 'instrumental recording featuring ' END || lower(array_to_string(fs[:8], ', ')) ELSE 'instrumental recording' END AS caption, track_id, license, segments, round(seconds, 3) AS seconds, families FROM w LEFT JOIN f USING (source) LEFT JOIN m USING (source))"""
+
+
+@query(f"WITH {ITEMS} SELECT * FROM items")
+def training_items(spark: SparkSession, d: str) -> DataFrame:
+    out = training.items(labelled_segments(spark, d))
+    return out.withColumns({"seconds": F.round("seconds", 3), "families": F.array_join("families", ",")})
+
+
+@query(f"""WITH {ITEMS} SELECT 'vocal' AS goal, 'sources' AS mode, count(*) AS items, count(DISTINCT track_id) AS tracks, round((SELECT sum(duration_seconds) FROM segments), 3) AS seconds,
+ (SELECT string_agg(l, ';' ORDER BY l) FROM (SELECT license || '=' || CASE WHEN contains(replace(license, '-', ''), 'NC') THEN 'non-commercial' ELSE 'permissive' END || '=' || count(*) AS l FROM segments GROUP BY license)) AS licences, (SELECT bool_or(contains(replace(license, '-', ''), 'NC')) FROM segments) AS encumbered FROM items""")
+def training_card(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled_segments(spark, d)
+    return training.card(rows, training.items(rows), "vocal").withColumn("licences", F.array_join("licences", ";"))
+
+
+@query(f"WITH {SEGMENTS} SELECT path AS source, round(duration_seconds, 6) AS seconds FROM segments WHERE duration_seconds >= 10")
+def training_segments(spark: SparkSession, d: str) -> DataFrame:
+    return training.items(labelled_segments(spark, d), "segments").select("source", F.round("seconds", 6).alias("seconds"))

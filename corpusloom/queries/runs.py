@@ -143,16 +143,19 @@ def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
 def takes(spark: SparkSession, d: str) -> DataFrame:
     e, v = table(spark, d, "events"), F.col("value")
     clipped, silent, gap, repeated = F.when(v > 90, 0.01).otherwise(0.0), v % 1.0, F.floor(v / 10.0).cast("double"), (v % 7.0) / 7.0
-    rows = e.select(F.col("user_id").alias("job"), F.col("event_id").alias("seed"), clipped.alias("clipped"), silent.alias("silent"), gap.alias("gap"), repeated.alias("repeated"), F.when(F.col("event_type") == "error", "failed").alias("error"))
-    none = F.lit(None)
-    rows = rows.withColumn("flags", arrays.flags(F.col("clipped"), none.cast("double"), F.col("silent"), F.col("gap"), none.cast("double"), none.cast("double"), none.cast("boolean"), none.cast("int"), F.col("repeated")))
-    score = arrays.take_score(F.size("flags"), F.col("silent"), F.col("gap"), F.col("clipped"), F.col("repeated"), none.cast("double"))
+    i = F.col("event_id")
+    others = [F.when(i % 5 != 0, -v).alias("peak_db"), F.when(i % 7 != 0, v * 500).alias("rolloff"), F.when(i % 3 != 0, v % 2.0 / 2).alias("flatness"), F.when(i % 4 != 0, i % 6 == 1).alias("mono"), F.when(i % 9 != 0, v % 0.1).alias("variation")]
+    rows = e.select(F.col("user_id").alias("job"), F.col("event_id").alias("seed"), clipped.alias("clipped"), silent.alias("silent"), gap.alias("gap"), repeated.alias("repetition"), *others, F.when(F.col("event_type") == "error", "failed").alias("error"))
+    measures = {c: F.col(c) for c in ("clipped", "silent", "gap", "repetition", "peak_db", "rolloff", "flatness")}
+    rows = rows.withColumn("flags", arrays.flags(measures, F.col("mono"), F.lit(2)))
+    score = arrays.take_score(F.size("flags"), measures, F.col("variation"))
     return rows.withColumns({"score": F.round(score, 2), "fatal": F.array_contains("flags", "mostly silent")})
 
 
-TAKES = """m AS (SELECT user_id AS job, event_id AS seed, CASE WHEN value > 90 THEN 0.01::DOUBLE ELSE 0 END AS clipped, value % 1.0::DOUBLE AS silent, floor(value / 10.0::DOUBLE) AS gap, (value % 7.0::DOUBLE) / 7.0::DOUBLE AS rep, event_type = 'error' AS error FROM events),
-f AS (SELECT *, (clipped > 1e-4)::INT + (silent > 0.35)::INT + (gap > 5)::INT + (rep > 0.85)::INT AS n_flags, silent > 0.35 AS fatal FROM m),
-takes AS (SELECT *, round(100 - 25.0::DOUBLE * n_flags - 40.0::DOUBLE * silent - 5.0::DOUBLE * greatest(gap - 2, 0) - 100.0::DOUBLE * clipped - 30.0::DOUBLE * greatest(rep - 0.7::DOUBLE, 0) / 0.3::DOUBLE, 2) AS score FROM f)"""
+TAKES = """m AS (SELECT user_id AS job, event_id AS seed, CASE WHEN value > 90 THEN 0.01::DOUBLE ELSE 0 END AS clipped, value % 1.0::DOUBLE AS silent, floor(value / 10.0::DOUBLE) AS gap, (value % 7.0::DOUBLE) / 7.0::DOUBLE AS rep, event_type = 'error' AS error,
+ event_id % 5 <> 0 AND -value < -30 AS quiet, event_id % 7 <> 0 AND value * 500 < 6000 AS muffled, event_id % 3 <> 0 AND (value % 2.0::DOUBLE) / 2 > 0.5 AS noisy, event_id % 4 <> 0 AND event_id % 6 = 1 AS mono, event_id % 9 <> 0 AND value % 0.1::DOUBLE < 0.05 AS static FROM events),
+f AS (SELECT *, (clipped > 1e-4)::INT + (silent > 0.35)::INT + (gap > 5)::INT + (rep > 0.85)::INT + quiet::INT + muffled::INT + noisy::INT + mono::INT AS n_flags, silent > 0.35 AS fatal FROM m),
+takes AS (SELECT *, round(100 - 25.0::DOUBLE * n_flags - 40.0::DOUBLE * silent - 5.0::DOUBLE * greatest(gap - 2, 0) - 100.0::DOUBLE * clipped - 30.0::DOUBLE * greatest(rep - 0.7::DOUBLE, 0) / 0.3::DOUBLE - static::INT * 10, 2) AS score FROM f)"""
 
 
 @query(f"WITH {TAKES}, r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY fatal, score DESC, seed) AS n FROM takes WHERE NOT error) SELECT job, seed, score, fatal FROM r WHERE n = 1")
