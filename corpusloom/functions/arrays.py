@@ -125,7 +125,21 @@ def reconstruction(pred: Column, target: Column) -> Column:
     n = F.size(t)
     err = F.zip_with(p, t, lambda a, b: a - b)
     energy = lambda a: _sum(F.transform(a, lambda v: v * v))
-    ratio = lambda s, e: 10 * F.log10((s + 1e-12) / (e + 1e-12))
-    scale = _sum(F.zip_with(p, t, lambda a, b: a * b)) / (energy(t) + 1e-12)
+    ratio = lambda s, e, least: 10 * F.log10(F.greatest(s, F.lit(least)) / F.greatest(e, F.lit(least)))
+    scale = _sum(F.zip_with(p, t, lambda a, b: a * b)) / F.greatest(energy(t), F.lit(1e-12))
     wanted = F.transform(t, lambda v: v * scale)
-    return F.struct((_sum(F.transform(err, F.abs)) / n).alias("l1"), ratio(energy(t), energy(err)).alias("snr"), ratio(energy(wanted), energy(F.zip_with(p, wanted, lambda a, b: a - b))).alias("si_sdr"))
+    return F.struct((_sum(F.transform(err, F.abs)) / n).alias("l1"), ratio(energy(t) / n, energy(err) / n, 1e-8).alias("snr"), ratio(energy(wanted), energy(F.zip_with(p, wanted, lambda a, b: a - b)), 1e-12).alias("si_sdr"))
+
+
+def character_scores(low: Column, high: Column, flatness: Column, flux: Column, crossings: Column) -> Column:
+    """How much a segment's spectral features speak for each of four characters, and the one that scores highest (of
+    equals the first)."""
+    near = lambda c, centre: F.abs(c - centre)
+    scores = {
+        "percussive": flux + flatness + crossings,
+        "harmonic": 2.0 - flatness - crossings - 1.5 * low - flux,
+        "bass_heavy": 2.0 * low - high - flux,
+        "mixed": 1.0 - near(low, 0.3) - near(high, 0.2) - near(flatness, 0.4) - near(flux, 0.3),
+    }
+    top = F.greatest(*scores.values())
+    return F.struct(*(s.alias(n) for n, s in scores.items()), F.coalesce(*(F.when(s == top, n) for n, s in scores.items())).alias("character"))

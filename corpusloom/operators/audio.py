@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audio
+from ..functions.arrays import character_scores
 
 PROBE = "path string, size_bytes long, sample_rate int, channels int, duration_seconds double, error string"
 SEGMENT = "path string, ok boolean, stage string, reason string, segment_index int, start_sample long, num_samples int, sample_rate int, channels int, duration_seconds double, peak double, rms double, peak_dbfs double, rms_dbfs double, clipping_ratio double, silent boolean, source_sha256 string, audio_sha256 string, samples array<float>"
@@ -145,7 +146,7 @@ def spectral_metrics(pairs: DataFrame, key: str, pred: str, target: str) -> Data
 
 
 def characters(segments: DataFrame, key: str = "path", rate: int = 8000) -> DataFrame:
-    """key, segment_index, features and the character that scores highest (of equals the first by name)."""
+    """key, segment_index, features, scores and the character that scores highest."""
     kind = segments.schema[key].dataType.simpleString()
 
     def run(frames):
@@ -156,6 +157,20 @@ def characters(segments: DataFrame, key: str = "path", rate: int = 8000) -> Data
             yield pd.DataFrame({key: f[key], "segment_index": f["segment_index"], "features": [audio.character(np.asarray(s), rate) for s in f["samples"]]})
 
     found = segments.select(key, "segment_index", "samples").mapInPandas(run, f"`{key}` {kind}, segment_index int, features map<string,double>")
-    scores = F.map_filter("features", lambda k, v: k.startswith("score_"))
-    top = F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
-    return found.withColumn("character", F.substring(F.get(top, F.lit(0))["k"], 7, 99))
+    f = F.col("features")
+    scores = character_scores(f["low_band_ratio"], f["high_band_ratio"], f["spectral_flatness"], f["spectral_flux"], f["zero_crossing_rate"])
+    return found.withColumn("scores", scores).withColumn("character", F.col("scores.character"))
+
+
+def described(files: DataFrame, silent_below: float = 1e-3) -> DataFrame:
+    """path, seconds, peak, rms, dc, silent and error of each file."""
+
+    def work(path, content):
+        try:
+            x, rate = audio.decode(content)
+            v = audio.levels(x)
+            yield path, x.shape[1] / rate, v["peak"], v["rms"], v["dc"], v["peak"] < silent_below, None
+        except audio.AudioError as e:
+            yield path, None, None, None, None, None, str(e)
+
+    return mapped(files, work, "path string, seconds double, peak double, rms double, dc double, silent boolean, error string")

@@ -43,3 +43,7 @@ def report(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fingerprinted"), count(many).alias("duplicate_groups"), F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("rows_in_groups"), count(across).alias("cross_split_groups")).withColumn("ok", F.col("cross_split_groups") == 0)
 
+
+def examples(rows: DataFrame, key: str, split: str = "split", n: int = 5) -> DataFrame:
+    """The first n hashes that occur in several splits, for a report."""
+    return spanning(rows, key, split).orderBy(key).limit(n)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import numbered, range_cell
+
 
 def codebook_usage(codes: DataFrame, codebook: str, code: str, size: int) -> DataFrame:
     """For each codebook: unique codes, utilisation, dead codes, entropy (nats), perplexity, and whether it collapsed. Any
@@ -146,6 +148,12 @@ def queue_stats(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg(seconds(F.col("created_at"), F.col("started_at"))), 3).alias("queue_seconds"), F.round(F.avg(seconds(F.col("started_at"), F.col("finished_at"))), 3).alias("run_seconds"))
 
 
+def queue_position(jobs: DataFrame, order: list[str], waiting: str = "pending") -> DataFrame:
+    """The waiting jobs with their `position` (from 1) in order: numbered within ranges of it, so no task has them all."""
+    queue = jobs.filter(F.col("status") == waiting)
+    return numbered(queue, "status", order, range_cell(queue, order), "position", "__n").drop("__n")
+
+
 def keep_if_better(pairs: DataFrame, weak: Column, new_flags: Column, gain: float = 1.0, drop: float = 0.5) -> DataFrame:
     """One row: the weak items' mean gain, the strong items' worst change, items with new flags, and whether to keep. pairs:
     base, treatment."""
@@ -161,11 +169,13 @@ def benchmark_summary(results: DataFrame, model: str = "model") -> DataFrame:
     return results.groupBy(model).agg(F.sum(ok.cast("long")).alias("generated"), F.sum((~ok).cast("long")).alias("failed"), F.when(audio > 0, F.sum(F.when(ok, F.col("generation_seconds"))) / audio).alias("real_time_factor"))
 
 
-def breadth(prompts: DataFrame, per_category: int = 3, held_out: int = 10, held_categories: int = 6) -> DataFrame:
-    """One row: whether a prompt set is broad enough. prompts: id, category, heldout."""
+def breadth(prompts: DataFrame, per_category: int = 3, held_out: int = 10, held_categories: int = 6, languages: int = 3) -> DataFrame:
+    """One row: whether a prompt set is broad enough. prompts: id, category, heldout, language."""
     small = prompts.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum(F.col("heldout").cast("long")).alias("h"))
     out = small.agg(F.sum("n").alias("prompts"), (F.sum("n") == F.sum("ids")).alias("ids_unique"), F.min("n").alias("smallest_category"), F.sum("h").alias("held_out"), F.sum((F.col("h") > 0).cast("long")).alias("held_categories"))
-    return out.withColumn("ok", F.col("ids_unique") & (F.col("smallest_category") >= per_category) & (F.col("held_out") >= held_out) & (F.col("held_categories") >= held_categories))
+    spoken = prompts.agg(F.count_distinct(F.when(F.col("language") != "en", F.col("language"))).alias("other_languages"))
+    whole = out.crossJoin(spoken)  # one row each
+    return whole.withColumn("ok", F.col("ids_unique") & (F.col("smallest_category") >= per_category) & (F.col("held_out") >= held_out) & (F.col("held_categories") >= held_categories) & (F.col("other_languages") >= languages))
 
 
 def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, daily: int) -> DataFrame:

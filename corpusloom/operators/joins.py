@@ -48,9 +48,9 @@ def resolved_controls(requests: DataFrame, capabilities: DataFrame, limits: Data
     duration_seconds, language. capabilities: model, control, support. limits: model, sings, max_seconds, languages (a row
     for each model)."""
     asked = requests.select(key, F.explode("controls").alias("control"))
-    each = asked.join(F.broadcast(capabilities), "control")  # models x controls
+    each = asked.join(capabilities, "control")
     folded = each.groupBy(key, "model").agg(F.array_sort(F.collect_list(F.struct("control", "support"))).alias("applied"))
-    joined = folded.join(requests.select(key, "wants_vocals", "duration_seconds", "language"), key).join(F.broadcast(limits), "model")
+    joined = folded.join(requests.select(key, "wants_vocals", "duration_seconds", "language"), key).join(limits, "model")
     dropped = F.transform(F.filter("applied", lambda a: a["support"] == "ignored"), lambda a: F.concat(a["control"], F.lit(": not supported")))
     more = F.array_compact(F.array(F.when(F.col("wants_vocals") & ~F.col("sings"), "vocals: not supported"), F.when(F.col("duration_seconds") > F.col("max_seconds"), "duration: too long"), F.when(F.col("language").isNotNull() & (F.size("languages") > 0) & ~F.array_contains("languages", F.col("language")), "language: not supported")))
     return joined.select(key, "model", F.transform("applied", lambda a: F.concat_ws("=", a["control"], a["support"])).alias("applied"), F.concat(dropped, more).alias("warnings"))
@@ -145,3 +145,9 @@ def paired(rows: DataFrame, item: str, condition: str, value: str, base: str, tr
     both = rows.filter(F.col(condition).isin(base, treatment)).groupBy(item).agg(mean(base).alias("base"), mean(treatment).alias("treatment"))
     return both.filter("base is not null and treatment is not null").withColumn("delta", F.col("treatment") - F.col("base"))
 
+
+def held_out_problems(held: DataFrame, frozen: DataFrame, families: DataFrame, key: str, family: str) -> DataFrame:
+    """key and problem of held-out rows that the frozen set has too, and of those whose family isn't known."""
+    both = held.join(frozen.select(key), key, "left_semi").select(key, F.lit("also in the frozen set").alias("problem"))
+    unknown = held.join(families.select(family), family, "left_anti").select(key, F.concat(F.lit("unknown family "), F.coalesce(F.col(family).cast("string"), F.lit("null"))).alias("problem"))
+    return both.unionByName(unknown)

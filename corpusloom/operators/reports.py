@@ -82,7 +82,7 @@ def genre_coverage(tracks: DataFrame, genre_top: str, fine: str, names: DataFram
     """Fine genres of tracks without a main genre: title (unknown ids as they are) and count."""
     blank = tracks.filter(F.trim(F.coalesce(F.col(genre_top), F.lit(""))) == "")
     ids = blank.select(F.explode(fine).alias("genre_id"))
-    return ids.join(F.broadcast(names), "genre_id", "left").groupBy(F.coalesce("title", "genre_id").alias("genre")).agg(F.count("*").alias("n"))  # names: a lookup of genres
+    return ids.join(names, "genre_id", "left").groupBy(F.coalesce("title", "genre_id").alias("genre")).agg(F.count("*").alias("n"))
 
 
 def preprocess_stats(accepted: DataFrame, rejected: DataFrame) -> DataFrame:

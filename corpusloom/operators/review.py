@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dimensions and areas: fixed values.
@@ -20,14 +20,15 @@ CASES = {"A": "instrument_case", "B": "vocal_case", "C": "control_experiments",
 WEAK, SEVERE, MIN_CELLS = 7.0, 4.0, 3
 
 
-def long_sheet(sheet: DataFrame, track: str = "track", dimensions: list[str] | None = None) -> DataFrame:
-    """track, dimension, score, state (scored, na, missing, bad) of a sheet of strings; a legend row is left out."""
+def long_sheet(sheet: DataFrame, track: str = "track", dimensions: list[str] | None = None, keep_cell: bool = False) -> DataFrame:
+    """track, dimension, score, state (scored, na, missing, bad) and, if wanted, cell of a sheet of strings; a legend row is
+    left out."""
     names = dimensions or [d for d in REQUIRED + OPTIONAL if d in sheet.columns]
     text = sheet.filter(~F.col(track).startswith("_")).select(track, *(F.trim(F.col(d).cast("string")).alias(d) for d in names))
     long = text.unpivot([track], names, "dimension", "cell")
     score = F.col("cell").try_cast("double")
     state = F.when(F.coalesce("cell", F.lit("")) == "", "missing").when(F.upper("cell") == "N/A", "na").when(score.between(1, 10), "scored").otherwise("bad")
-    return long.select(track, "dimension", F.when(state == "scored", score).alias("score"), state.alias("state"))
+    return long.select(track, "dimension", F.when(state == "scored", score).alias("score"), state.alias("state"), *(["cell"] if keep_cell else []))
 
 
 def completeness(long: DataFrame) -> DataFrame:
@@ -36,6 +37,11 @@ def completeness(long: DataFrame) -> DataFrame:
     return own.agg(F.count("*").alias("expected"), F.coalesce(F.sum((F.col("state") == "scored").cast("long")), F.lit(0)).alias("filled"))
 
 
+def missing_cells(long: DataFrame) -> DataFrame:
+    """The required cells that are neither scored nor N/A."""
+    return long.filter(F.col("dimension").isin(REQUIRED) & ~F.col("state").isin("na", "scored"))
+
+
 def ranked_dimensions(long: DataFrame, track: str = "track") -> DataFrame:
     """Mean (2 digits), worst track and score of each dimension; worst first by (mean, worst_score)."""
     out = long.filter("state = 'scored'").groupBy("dimension").agg(F.round(F.avg("score"), 2).alias("mean"), F.min(F.struct("score", track)).alias("w"), F.count("*").alias("tracks_scored"))
@@ -49,7 +55,9 @@ def ranked_areas(long: DataFrame, track: str = "track", tracks: dict[str, list[s
     cells = F.broadcast(table).join(long.filter("state = 'scored'"), "dimension", "left")  # the fixed areas
     hit = F.col("score").isNotNull() & (F.col("only").isNull() | F.array_contains("only", F.col(track).cast("string")))
     out = cells.groupBy("area").agg(F.sum(hit.cast("long")).alias("cells_scored"), F.round(F.avg(F.when(hit, F.col("score"))), 2).alias("mean"))
-    return out.withColumn("sufficient", F.col("cells_scored") >= MIN_CELLS)
+    out = out.withColumn("sufficient", F.col("cells_scored") >= MIN_CELLS)
+    order = Window.orderBy(F.col("sufficient").desc(), F.coalesce("mean", F.lit(99.0)), "area")  # a row for each area
+    return out.withColumn("rank", F.row_number().over(order))
 
 
 def intervention(areas: DataFrame) -> DataFrame:

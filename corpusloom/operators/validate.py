@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import licences
 
@@ -14,10 +15,12 @@ def missing(column: Column) -> Column:
 
 
 def record_problems(rows: DataFrame, required: list[str]) -> DataFrame:
-    """id and problem: empty required fields, an id with several paths (one row for each record whose path isn't the
+    """id and problem: empty required fields (a number that is zero is empty), an id with several paths (one row for each record whose path isn't the
     least), and durations that don't follow from the samples."""
-    empty = rows.select("id", F.explode(F.array_compact(F.array(*(F.when(missing(F.col(c)), f"missing {c}") for c in required)))).alias("problem"))
-    by_id = rows.withColumn("least", F.min("path").over(Window.partitionBy("id"))).filter("path <> least").select("id", F.lit("id with several paths").alias("problem"))
+    gone = lambda c: missing(F.col(c)) | (F.col(c) == 0) if isinstance(rows.schema[c].dataType, NumericType) else missing(F.col(c))
+    empty = rows.select("id", F.explode(F.array_compact(F.array(*(F.when(gone(c), f"missing {c}") for c in required)))).alias("problem"))
+    several = rows.groupBy("id").agg(F.min("path").alias("least"), F.max("path").alias("most")).filter("least <> most").select("id", "least")  # few
+    by_id = rows.join(several, "id").filter("path <> least").select("id", F.lit("id with several paths").alias("problem"))
     off = F.abs(F.col("duration_seconds") - F.col("num_samples") / F.col("sample_rate")) > 1e-3
     return empty.unionAll(by_id).unionAll(rows.filter(off).select("id", F.lit("duration differs from samples").alias("problem")))
 

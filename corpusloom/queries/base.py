@@ -56,14 +56,14 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("track_id"), "lang", "text", "n_chars", spelled(F.col("doc_id")).alias("licence"),
         F.when(F.col("doc_id") % 23 != 0, F.concat(F.lit("https://data.example/"), F.col("source"))).alias("source_url"), F.sha2("text", 256).alias("duplicate_hash"),
         F.when(F.col("doc_id") % 40 == 0, "val").otherwise("train").alias("split"), (F.col("n_chars") / 15.0).alias("duration_seconds"), (F.col("n_chars") < 40).alias("silent"),
-        (junk / F.greatest(F.col("n_chars"), F.lit(1))).alias("clipping_ratio"), "quality_score", F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("spoken text in "), F.col("lang"))).alias("caption"),
+        (junk / F.greatest(F.col("n_chars"), F.lit(1))).alias("clipping_ratio"), "quality_score", F.when(F.col("doc_id") % 13 == 0, " few words ").when(F.col("doc_id") % 11 != 0, F.concat(F.lit("spoken text in "), F.col("lang"))).alias("caption"),
     )
 
 
 CORPUS = f"""corpus AS (SELECT d.doc_id AS id, source AS dataset, d.doc_id::VARCHAR AS track_id, lang, text, n_chars, {SPELLED % "d.doc_id"} AS licence,
  CASE WHEN d.doc_id % 23 <> 0 THEN 'https://data.example/' || source END AS source_url, sha256(text) AS duplicate_hash, CASE WHEN d.doc_id % 40 = 0 THEN 'val' ELSE 'train' END AS split,
  n_chars::DOUBLE / 15.0 AS duration_seconds, n_chars < 40 AS silent, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::DOUBLE / greatest(n_chars, 1) AS clipping_ratio,
- q.quality_score, CASE WHEN d.doc_id % 11 <> 0 THEN 'spoken text in ' || lang END AS caption
+ q.quality_score, CASE WHEN d.doc_id % 13 = 0 THEN ' few words ' WHEN d.doc_id % 11 <> 0 THEN 'spoken text in ' || lang END AS caption
  FROM documents d LEFT JOIN (SELECT doc_id, max(quality)::DOUBLE AS quality_score FROM labels GROUP BY doc_id) q ON d.doc_id = q.doc_id)"""
 
 

@@ -84,13 +84,22 @@ def covering(spark: SparkSession, d: str) -> DataFrame:
     return select.greedy_cover(p, 60, QUOTAS).join(p, "track_id")
 
 
-@query()
+_F = list(QUOTAS)
+_WORTH = " + ".join(f"CASE WHEN q{k} > 0 AND list_contains(p.aud, '{f}') THEN 1.0::DOUBLE / {f.lower()}_n ELSE 0 END" for k, f in enumerate(_F))
+GREEDY = f"""RECURSIVE {PROFILE}, p AS (SELECT track_id, string_split(audible, ',') AS aud, audible, len(list_filter(string_split(families, ','), lambda f: f <> '')) AS nf FROM profile WHERE eligible),
+c AS (SELECT {", ".join(f"count(*) FILTER (list_contains(aud, '{f}')) AS {f.lower()}_n" for f in _F)} FROM p),
+g AS (SELECT 0 AS pick, NULL::BIGINT AS track_id, ''::VARCHAR AS audible, []::BIGINT[] AS taken, {", ".join(f"{q} AS q{k}" for k, q in enumerate(QUOTAS.values()))}
+ UNION ALL SELECT pick + 1, b.id, b.audible, list_append(taken, b.id), {", ".join(f"q{k} - CASE WHEN q{k} > 0 AND list_contains(b.aud, '{f}') THEN 1 ELSE 0 END" for k, f in enumerate(_F))} FROM (
+ SELECT g.pick, g.taken, {", ".join(f"g.q{k}" for k in range(len(_F)))}, arg_max({{'id': p.track_id, 'audible': p.audible, 'aud': p.aud}}, {{'w': {_WORTH} + 1e-6::DOUBLE * nf, 'id': p.track_id}}) AS b FROM g, p, c WHERE g.pick < 60 AND NOT list_contains(g.taken, p.track_id) GROUP BY ALL))"""
+
+
+@query(f"WITH {GREEDY} SELECT (pick - 1)::INT AS pick, track_id, audible FROM g WHERE pick > 0")
 def greedy_coverage(spark: SparkSession, d: str) -> DataFrame:
     """60 tracks (a selection's target)."""
     return covering(spark, d).select("pick", "track_id", F.array_join("audible", ",").alias("audible"))
 
 
-@query()
+@query(f"WITH {GREEDY}, w AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {q})" for f, q in QUOTAS.items())}) AS t(family, quota)), h AS (SELECT unnest(string_split(audible, ',')) AS family FROM g WHERE pick > 0) SELECT family, quota, count(h.family) AS got, greatest(quota - count(h.family), 0) AS unmet FROM w LEFT JOIN h USING (family) GROUP BY family, quota")
 def quota_coverage(spark: SparkSession, d: str) -> DataFrame:
     return reports.quota_coverage(covering(spark, d), QUOTAS)
 

@@ -46,7 +46,7 @@ def licence_classes(spark: SparkSession, d: str) -> DataFrame:
 ADMITTED = f"""{CORPUS}, h AS (SELECT duplicate_hash FROM corpus GROUP BY 1 HAVING count(DISTINCT dataset) > 1), t AS (SELECT track_id FROM corpus GROUP BY 1 HAVING count(DISTINCT split) > 1),
 judged AS (SELECT id, {B} AS bucket, CASE WHEN {B} = 'other_unknown' THEN 'licence' WHEN coalesce(source_url, '') = '' THEN 'provenance' WHEN duplicate_hash IN (SELECT duplicate_hash FROM h) THEN 'cross_corpus_duplicate'
  WHEN duration_seconds < 1 THEN 'integrity_decode' WHEN silent THEN 'silence' WHEN clipping_ratio > 0.01 THEN 'clipping_quality' WHEN track_id IN (SELECT track_id FROM t) THEN 'split_leakage' WHEN quality_score IS NULL THEN 'metadata'
- WHEN coalesce(caption, '') = '' THEN 'rich_caption' WHEN {B} NOT IN ('cc0_public_domain', 'cc_by') THEN 'deployability' END AS failed_gate FROM corpus)"""
+ WHEN len(string_split_regex(trim(coalesce(caption, '')), ' +')) < 4 THEN 'rich_caption' WHEN {B} NOT IN ('cc0_public_domain', 'cc_by') THEN 'deployability' END AS failed_gate FROM corpus)"""
 
 
 @query(f"""WITH {ADMITTED}, g AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{g}')" for i, g in enumerate([*gates.GATES, "admitted"]))}) AS v(gate_no, gate)),
@@ -61,22 +61,32 @@ def admitted_records(spark: SparkSession, d: str) -> DataFrame:
     return gates.admitted(corpus(spark, d)).select("id", "failed_gate")
 
 
-GATE_SQL = f"""WITH {SEGMENTS}, one AS (SELECT count(*) FILTER (license NOT IN ('CC-BY-4.0')) AS lic, count(*) FILTER (silent) AS q FROM segments),
-dup AS (SELECT count(*) AS n FROM (SELECT audio_sha256 FROM segments GROUP BY 1 HAVING count(DISTINCT split) > 1)), t AS (SELECT count(*) AS n FROM (SELECT track_id FROM segments GROUP BY 1 HAVING count(DISTINCT split) > 1)),
-s AS (SELECT count(*) AS n FROM (SELECT singer_id FROM segments WHERE singer_id IS NOT NULL GROUP BY 1 HAVING bool_or(split = 'train') AND bool_or(split IN ('val', 'test')))),
-c AS (SELECT (count(singer_id)::DOUBLE / count(*) < 0.95)::BIGINT AS n FROM segments),
-g AS (SELECT 'LICENSE' AS gate, lic AS n_bad FROM one UNION ALL SELECT 'PROVENANCE', 0 UNION ALL SELECT 'DUPLICATE', n FROM dup UNION ALL SELECT 'QUALITY', q FROM one UNION ALL SELECT 'METADATA', n FROM c
- UNION ALL SELECT 'SPLIT-LEAKAGE', t.n + s.n FROM t, s UNION ALL SELECT 'FORMAT', 0)"""
+GATE_SQL = f"""WITH {SEGMENTS}, d AS (SELECT * REPLACE (CASE WHEN segment_index % 13 = 5 THEN '' WHEN segment_index % 17 = 6 THEN NULL ELSE source END AS source, CASE WHEN segment_index % 19 = 7 THEN '' ELSE license END AS license, CASE WHEN segment_index % 2 = 0 THEN '' ELSE source_path END AS source_path, CASE WHEN segment_index % 4 = 1 THEN NULL ELSE instrument_family END AS instrument_family), CASE WHEN segment_index % 23 = 3 THEN 0.5 ELSE 0 END AS clip FROM segments),
+one AS (SELECT count(*) FILTER (license NOT IN ('CC-BY-4.0')) AS lic, count(*) FILTER (silent OR clip > 0.01) AS q, count(*) FILTER (coalesce(license, '') = '' OR coalesce(source, '') = '') AS prov, (count(*) FILTER (source_path <> '') = 0 OR count(instrument_family) = 0)::BIGINT AS fmt FROM d),
+dup AS (SELECT count(*) AS n FROM (SELECT audio_sha256 FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1)), t AS (SELECT count(*) AS n FROM (SELECT track_id FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1)),
+s AS (SELECT count(*) AS n FROM (SELECT singer_id FROM d WHERE singer_id IS NOT NULL GROUP BY 1 HAVING bool_or(split = 'train') AND bool_or(split IN ('val', 'test')))),
+c AS (SELECT (count(singer_id)::DOUBLE / count(*) < 0.95)::BIGINT AS n FROM d),
+g AS (SELECT 'LICENSE' AS gate, lic AS n_bad FROM one UNION ALL SELECT 'PROVENANCE', prov FROM one UNION ALL SELECT 'DUPLICATE', n FROM dup UNION ALL SELECT 'QUALITY', q FROM one UNION ALL SELECT 'METADATA', n FROM c
+ UNION ALL SELECT 'SPLIT-LEAKAGE', t.n + s.n FROM t, s UNION ALL SELECT 'FORMAT', fmt FROM one)"""
+
+
+def damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of which some lack what the gates ask for."""
+    i = F.col("segment_index")
+    return segments(spark, d).withColumns({
+        "source": F.when(i % 13 == 5, "").when(i % 17 != 6, F.col("source")), "license": F.when(i % 19 == 7, "").otherwise(F.col("license")), "source_path": F.when(i % 2 == 0, "").otherwise(F.col("source_path")),
+        "instrument_family": F.when(i % 4 != 1, F.col("instrument_family")), "clipping_ratio": F.when(i % 23 == 3, 0.5).otherwise(0.0), "tags": F.array().cast("array<string>"),
+    })
 
 
 @query(GATE_SQL + " SELECT gate, n_bad = 0 AS passed, n_bad::BIGINT AS n_bad FROM g")
 def dataset_gates(spark: SparkSession, d: str) -> DataFrame:
-    return gates.dataset_gates(segments(spark, d), "vocal")
+    return gates.dataset_gates(damaged(spark, d), "vocal")
 
 
 @query(GATE_SQL + " SELECT CASE WHEN count(*) FILTER (n_bad > 0) = 0 THEN 'all-pass' WHEN count(*) FILTER (n_bad > 0) = 1 AND bool_or(gate = 'LICENSE' AND n_bad > 0) THEN 'research-only' ELSE 'blocked' END AS verdict FROM g")
 def dataset_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return gates.verdict(gates.dataset_gates(segments(spark, d), "vocal"))
+    return gates.verdict(gates.dataset_gates(damaged(spark, d), "vocal"))
 
 
 @query(f"""WITH {SEGMENTS} SELECT split, count(*) AS segments, count(DISTINCT track_id) AS tracks, count(DISTINCT singer_id) AS singers, round(sum(duration_seconds), 3) AS seconds,
@@ -118,14 +128,20 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.report(splits.assign(rows, splits.by_quota(rows, "track_id"), "track_id"), F.col("track_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CORPUS}, k AS (SELECT dataset, sum(CASE WHEN coalesce(duration_seconds, 0) = 0 THEN 1 ELSE duration_seconds END) AS w FROM corpus GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY w DESC, {PLACE.format(k="dataset")}, dataset) AS n, sum(w) OVER () AS total FROM k),
+r AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS dataset, ''::VARCHAR AS split, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+ UNION ALL SELECT n, dataset, split, a + CASE WHEN split = 'train' THEN w ELSE 0 END, b + CASE WHEN split = 'val' THEN w ELSE 0 END, c + CASE WHEN split = 'test' THEN w ELSE 0 END
+ FROM (SELECT o.n, o.dataset, o.w, a, b, c, CASE WHEN a / (total * 0.8) <= b / (total * 0.1) AND a / (total * 0.8) <= c / (total * 0.1) THEN 'train' WHEN b <= c THEN 'val' ELSE 'test' END AS split FROM r JOIN o ON o.n = r.n + 1))
+SELECT dataset, split FROM r WHERE n > 0""")
 def split_weighted(spark: SparkSession, d: str) -> DataFrame:
     return splits.by_weight(corpus(spark, d), "dataset", "duration_seconds")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id > (SELECT max(doc_id) FROM documents) - greatest(1, round_even(count(*) OVER () * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM documents")
+@query("""WITH k AS (SELECT lpad(doc_id::VARCHAR, 3, '0') || source AS path FROM documents) SELECT path, CASE WHEN row_number() OVER (ORDER BY path DESC) <= least(greatest(1, round_even(count(*) OVER () * 0.1, 0)), count(*) OVER () - 1) THEN 'val' ELSE 'train' END AS split FROM k""")
 def split_tail(spark: SparkSession, d: str) -> DataFrame:
-    return splits.tail(table(spark, d, "documents").select("doc_id"), "doc_id")
+    """Documents in order of a path that isn't in order of their ids."""
+    path = F.concat(F.when(F.length(F.col("doc_id").cast("string")) < 3, F.lpad(F.col("doc_id").cast("string"), 3, "0")).otherwise(F.substring(F.col("doc_id").cast("string"), 1, 3)), "source")
+    return splits.tail(table(spark, d, "documents").select(path.alias("path")), "path")
 
 
 @query(f"""WITH {CORPUS} SELECT duplicate_hash AS key, count(DISTINCT split)::BIGINT AS n_splits, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM corpus GROUP BY 1 HAVING count(DISTINCT split) > 1""")
@@ -144,6 +160,17 @@ def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
     return dedup.report(corpus(spark, d), "duplicate_hash")
 
 
+@query(f"""WITH {CORPUS} SELECT duplicate_hash, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM corpus GROUP BY 1 HAVING count(DISTINCT split) > 1 ORDER BY 1 LIMIT 5""")
+def duplicate_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Five (a report's limit)."""
+    return dedup.examples(corpus(spark, d), "duplicate_hash").select("duplicate_hash", F.array_join("groups", ",").alias("splits"))
+
+
+@query(f"""WITH {CORPUS}, g AS (SELECT duplicate_hash, count(DISTINCT split) AS s FROM corpus GROUP BY 1) SELECT count(*) FILTER (s > 1) AS leaking_groups, count(*) FILTER (s > 1) = 0 AS ok FROM g""")
+def split_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return splits.verdict(corpus(spark, d), F.col("duplicate_hash"))
+
+
 @query(f"WITH {CORPUS} SELECT id, row_number() OVER (PARTITION BY duplicate_hash ORDER BY dataset, id) = 1 AS kept FROM corpus")
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keep_first(corpus(spark, d), "duplicate_hash", ["dataset", "id"]).select("id", "kept")
@@ -216,7 +243,20 @@ def stratified_segments(spark: SparkSession, d: str) -> DataFrame:
 SHARES = {"en": 0.35, "fr": 0.27, "de": 0.20, "es": 0.18}
 
 
-@query()
+_W = "[" + ", ".join(f"{s}::DOUBLE" for s in SHARES.values()) + "]"
+_L = list(SHARES)
+ASSEMBLY = f"""RECURSIVE {CORPUS}, n AS (SELECT count(*) AS total, {", ".join(f"count(*) FILTER (lang = '{f}') AS p{k}" for k, f in enumerate(_L))} FROM corpus),
+t AS (SELECT greatest(total, 1) AS target, [p0, p1, p2, p3]::BIGINT[] AS pool, list_transform({_W}, lambda w: round_even(greatest(total, 1) * w, 0)::BIGINT) AS quota, list_transform({_W}, lambda w: floor(greatest(total, 1) * w * 1.35::DOUBLE)::BIGINT) AS most FROM n),
+s AS (SELECT 0 AS round, [least(pool[i], quota[i]) for i in range(1, 5)] AS uniq, target - list_sum([least(pool[i], quota[i]) for i in range(1, 5)]) AS short FROM t
+ UNION ALL SELECT round + 1, [uniq[i] + least(list_sum(want[1:i]), short) - least(coalesce(list_sum(want[1:i - 1]), 0), short) for i in range(1, 5)], short - least(list_sum(want), short) FROM (
+ SELECT round, uniq, short, [least(room[i], greatest(1, short // len(list_filter(room, lambda r: r > 0)))) for i in range(1, 5)] AS want FROM (SELECT s.round, s.uniq, s.short, [greatest(least(pool[i], most[i]) - uniq[i], 0) for i in range(1, 5)] AS room FROM s, t WHERE short > 0) WHERE list_sum(room) > 0)),
+z AS (SELECT uniq FROM s ORDER BY round DESC LIMIT 1),
+plan AS (SELECT {_L!r}[i] AS family, quota[i] AS quota, pool[i] AS pool, uniq[i] AS n_unique, uniq[i] - least(pool[i], quota[i]) AS granted, greatest(0, least(quota[i] - uniq[i], pool[i] * 2)) AS repeats FROM z, t, range(1, 5) r(i)),
+placed AS (SELECT id, family, n_unique, repeats, pool, row_number() OVER (PARTITION BY family ORDER BY sha256('42:' || id::VARCHAR)) AS place FROM corpus JOIN plan ON lang = family),
+assembled AS (SELECT id, family, 0 AS repeat_index FROM placed WHERE place <= n_unique UNION ALL SELECT id, family, unnest(range(1, (repeats - place) // greatest(pool, 1) + 2))::INT FROM placed WHERE repeats >= place)"""
+
+
+@query(f"WITH {ASSEMBLY} SELECT family, id, repeat_index FROM assembled")
 def balanced_assembly(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d).select("id", F.col("lang").alias("family"))
     pools = {r["family"]: r["count"] for r in rows.groupBy("family").count().collect()}
@@ -224,7 +264,7 @@ def balanced_assembly(spark: SparkSession, d: str) -> DataFrame:
     return select.assembled(rows, "family", "id", plan).select("family", "id", "repeat_index")
 
 
-@query()
+@query(f"WITH {ASSEMBLY}, g AS (SELECT family, count(*) AS got FROM assembled GROUP BY 1) SELECT family, quota, n_unique, granted, repeats, got, round(got::DOUBLE / sum(got) OVER (), 6) AS share FROM plan LEFT JOIN g USING (family)")
 def assembly_report(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus(spark, d).select("id", F.col("lang").alias("family"))
     pools = {r["family"]: r["count"] for r in rows.groupBy("family").count().collect()}
@@ -246,7 +286,9 @@ def category_examples(spark: SparkSession, d: str) -> DataFrame:
     return select.example_by_category(table(spark, d, "documents"), "lang", "doc_id")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, n_chars::DOUBLE AS long, -n_chars::DOUBLE AS short, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE / greatest(n_chars, 1) AS digits FROM documents),
+a AS (SELECT 'long' AS bucket, doc_id, long AS score FROM s ORDER BY long DESC, doc_id LIMIT 1), b AS (SELECT 'short' AS bucket, doc_id, short AS score FROM s WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY short DESC, doc_id LIMIT 1),
+c AS (SELECT 'digits' AS bucket, doc_id, digits AS score FROM s WHERE doc_id NOT IN (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) ORDER BY digits DESC, doc_id LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def character_examples(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     scores = docs.select("doc_id", F.col("n_chars").cast("double").alias("long"), (-F.col("n_chars")).cast("double").alias("short"), (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest("n_chars", F.lit(1))).alias("digits"))
@@ -312,13 +354,19 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).select("id", "track_id", "segment_index")
 
 
-@query("""SELECT doc_id, lpad((doc_id // 1000)::VARCHAR, 3, '0') || '/' || lpad(doc_id::VARCHAR, 6, '0') || '.mp3' AS path, 'Track' || lpad(doc_id::VARCHAR, 5, '0') AS track, source || '__' || lang AS singer FROM documents""")
+@query(r"""WITH p AS (SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN '/data/Track' || lpad(doc_id::VARCHAR, 5, '0') || '/stems/S01.wav' WHEN 1 THEN '/data/' || source || '/' || ['mix', 'Audio', 'song'][doc_id % 3 + 1] || '.wav' WHEN 2 THEN '/data/' || lang || '/' || source || '/take ' || doc_id || '.v2.wav' WHEN 3 THEN '/data/Track1/Track' || doc_id || '/x/mix.wav' ELSE '/data/Track' || doc_id || '.wav' END AS path,
+ CASE WHEN n_chars % 3 = 0 THEN source ELSE lang || '/' || source || '/song/vocal.wav' END AS voice FROM documents), x AS (SELECT *, string_split(path, '/') AS parts, list_filter(string_split(path, '/')[:-2], lambda d: regexp_matches(d, '^Track\d+$'))[-1] AS numbered FROM p)
+SELECT doc_id, CASE WHEN doc_id < 1000 THEN lpad((doc_id // 1000)::VARCHAR, 3, '0') ELSE lpad((doc_id // 1000)::VARCHAR, 3, '0') END || '/' || lpad(doc_id::VARCHAR, 6, '0') || '.mp3' AS path,
+ CASE WHEN numbered IS NOT NULL THEN numbered WHEN lower(regexp_replace(parts[-1], '\.[^.]*$', '')) IN ('mix', 'audio', 'song') THEN parts[-2] ELSE replace(regexp_replace(substr(path, 7), '\.[^./]*$', ''), '/', '__') END AS track,
+ CASE WHEN len(string_split(voice, '/')) >= 4 THEN string_split(voice, '/')[-4] || '__' || string_split(voice, '/')[-3] END AS singer FROM x""")
 def path_columns(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    track = F.concat(F.lit("Track"), F.lpad(i.cast("string"), 5, "0"))
-    stem = F.concat_ws("/", F.lit("/data"), track, F.lit("stems/S01.wav"))
-    voice = F.concat_ws("/", F.col("source"), F.col("lang"), F.lit("song"), F.lit("vocal.wav"))
-    return table(spark, d, "documents").select("doc_id", columns.catalogue_path(i).alias("path"), columns.track_from_path(stem).alias("track"), columns.singer_from_path(voice).alias("singer"))
+    """Paths of five shapes, of documents' names and numbers."""
+    i, n = F.col("doc_id"), F.col("n_chars") % 5
+    name, path = i.cast("string"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    stem = F.element_at(F.array(F.lit("mix"), F.lit("Audio"), F.lit("song")), (i % 3).cast("int") + 1)
+    shapes = F.when(n == 0, path("/data/Track", F.lpad(name, 5, "0"), "/stems/S01.wav")).when(n == 1, path("/data/", F.col("source"), "/", stem, ".wav")).when(n == 2, path("/data/", F.col("lang"), "/", F.col("source"), "/take ", name, ".v2.wav")).when(n == 3, path("/data/Track1/Track", name, "/x/mix.wav")).otherwise(path("/data/Track", name, ".wav"))
+    voice = F.when(F.col("n_chars") % 3 == 0, F.col("source")).otherwise(F.concat_ws("/", "lang", "source", F.lit("song"), F.lit("vocal.wav")))
+    return table(spark, d, "documents").select("doc_id", columns.catalogue_path(i).alias("path"), columns.track_from_path(shapes, "/data").alias("track"), columns.singer_from_path(voice).alias("singer"))
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'medium' WHEN r < 0.08 THEN 'low' WHEN r > 0.22 THEN 'high' ELSE 'medium' END AS band FROM (SELECT doc_id, n_chars, (n_chars % 100) / 300.0 AS r FROM documents)""")

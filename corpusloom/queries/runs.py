@@ -109,9 +109,16 @@ def longest_runs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.longest_run(e, ["user_id"], "o", F.col("event_type") == "error")
 
 
-@query("SELECT event_type AS series, count(*) AS n, TRUE AS all_finite, count(DISTINCT round(value, 9)) > 1 AS moves, count(DISTINCT round(value, 9)) > 1 AS verdict FROM events GROUP BY 1")
+@query("""WITH v AS (SELECT event_type AS series, CASE WHEN event_type = 'error' AND event_id % 90 = 0 THEN 'NaN'::DOUBLE WHEN event_type = 'click' AND event_id % 80 = 0 THEN '-Infinity'::DOUBLE WHEN event_type = 'view' THEN 4.5 ELSE value END AS v FROM events WHERE event_type <> 'view' OR event_id % 2 = 0
+ UNION ALL SELECT 'silent', NULL FROM events WHERE event_id % 100 = 0)
+SELECT series, count(v) AS n, count(DISTINCT round(v, 9)) > 1 AS moves, CASE WHEN count(v) > 0 THEN (bool_and(isfinite(v)) AND count(DISTINCT round(v, 9)) > 1)::VARCHAR END AS verdict, coalesce(bool_and(isfinite(v)), FALSE) AS finite FROM v GROUP BY 1""")
 def health_gates(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.health(table(spark, d, "events").withColumnRenamed("event_type", "series"), "series", "value")
+    """Series of which one holds NaN, one an infinity, one stands still and one has no values."""
+    e, i, kind = table(spark, d, "events"), F.col("event_id"), F.col("event_type")
+    value = F.when((kind == "error") & (i % 90 == 0), float("nan")).when((kind == "click") & (i % 80 == 0), float("-inf")).when(kind == "view", 4.5).otherwise(F.col("value"))
+    rows = e.filter((kind != "view") | (i % 2 == 0)).select(kind.alias("series"), value.alias("value"))
+    out = experiments.health(rows.union(e.filter(i % 100 == 0).select(F.lit("silent"), F.lit(None).cast("double"))), "series", "value")
+    return out.select("series", "n", "moves", F.col("verdict").cast("string").alias("verdict"), F.coalesce("all_finite", F.lit(False)).alias("finite"))
 
 
 @query("""SELECT event_type AS status, count(*) AS n, round(avg(value), 3) AS queue_seconds, round(avg(value * 2), 3) AS run_seconds FROM events GROUP BY 1""")
@@ -121,20 +128,33 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
     return experiments.queue_stats(e.select(F.col("event_type").alias("status"), F.col("ts").alias("created_at"), at(1).alias("started_at"), at(3).alias("finished_at")))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events WHERE event_type = 'view'")
+def queue_position(spark: SparkSession, d: str) -> DataFrame:
+    """Views as jobs that are waiting."""
+    jobs = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("status"), F.col("ts").alias("created_at"))
+    return experiments.queue_position(jobs, ["created_at", "event_id"]).select("event_id", "position")
+
+
 @query("""SELECT event_type AS model, count(*) FILTER (user_id % 7 <> 0) AS generated, count(*) FILTER (user_id % 7 = 0) AS failed, round(sum(value) FILTER (user_id % 7 <> 0) / (60.0 * count(*) FILTER (user_id % 7 <> 0)), 6) AS real_time_factor FROM events GROUP BY 1""")
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "events").select(F.col("event_type").alias("model"), F.when(F.col("user_id") % 7 == 0, "failed").alias("error"), F.col("value").alias("generation_seconds"), F.lit(60.0).alias("audio_seconds"))
     return experiments.benchmark_summary(r).withColumn("real_time_factor", F.round("real_time_factor", 6))
 
 
-@query("""WITH p AS (SELECT item_id AS id, item_id % 8 AS category, item_id % 3 = 0 AS heldout FROM benchmark), c AS (SELECT category, count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (heldout) AS h FROM p GROUP BY 1),
-a AS (SELECT sum(n)::BIGINT AS prompts, sum(n) = sum(ids) AS ids_unique, min(n) AS smallest_category, sum(h)::BIGINT AS held_out, count(*) FILTER (h > 0) AS held_categories FROM c) SELECT *, ids_unique AND smallest_category >= 3 AND held_out >= 10 AND held_categories >= 6 AS ok FROM a""")
+@query("""WITH p AS (SELECT item_id AS id, item_id % 8 AS category, item_id % 3 = 0 AS heldout, ['en', 'fr', 'ko', 'hi', 'en'][item_id % 5 + 1] AS language FROM benchmark), c AS (SELECT category, count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (heldout) AS h FROM p GROUP BY 1),
+l AS (SELECT count(DISTINCT language) AS other_languages FROM p WHERE language <> 'en'),
+a AS (SELECT sum(n)::BIGINT AS prompts, sum(n) = sum(ids) AS ids_unique, min(n) AS smallest_category, sum(h)::BIGINT AS held_out, count(*) FILTER (h > 0) AS held_categories FROM c) SELECT a.*, other_languages, ids_unique AND smallest_category >= 3 AND held_out >= 10 AND held_categories >= 6 AND other_languages >= 3 AS ok FROM a, l""")
 def benchmark_breadth(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("item_id")
-    return experiments.breadth(table(spark, d, "benchmark").select(i.alias("id"), (i % 8).alias("category"), (i % 3 == 0).alias("heldout")))
+    language = F.element_at(F.array(*map(F.lit, ["en", "fr", "ko", "hi", "en"])), (i % 5).cast("int") + 1)
+    return experiments.breadth(table(spark, d, "benchmark").select(i.alias("id"), (i % 8).alias("category"), (i % 3 == 0).alias("heldout"), language.alias("language")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, TRUE AS accepted, [t] AS recent, t AS opened, 1 AS used FROM e WHERE n = 1
+ UNION ALL SELECT user_id, event_id, n, ok, CASE WHEN ok THEN list_append(live, t) ELSE live END, CASE WHEN ok AND fresh THEN t ELSE opened END, CASE WHEN NOT ok THEN used WHEN fresh THEN 1 ELSE used + 1 END
+ FROM (SELECT *, len(live) < 2 AND (fresh OR used < 20) AS ok FROM (SELECT e.user_id, e.event_id, e.n, e.t, r.opened, r.used, list_filter(r.recent, lambda x: e.t - x <= 60000000) AS live, e.t - r.opened > 86400000000 AS fresh FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT r.event_id, r.user_id, ts, accepted FROM r JOIN events USING (event_id)""")
 def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     return experiments.admitted_requests(e, "user_id", "ts", 2, 20)
@@ -181,20 +201,27 @@ def review_completeness(spark: SparkSession, d: str) -> DataFrame:
     return review.completeness(sheet(spark, d))
 
 
+@query(f"WITH {SHEET} SELECT track, dimension FROM cells WHERE state NOT IN ('na', 'scored') AND dimension <> 'emotion'")
+def review_missing(spark: SparkSession, d: str) -> DataFrame:
+    return review.missing_cells(sheet(spark, d)).select("track", "dimension")
+
+
 @query(f"WITH {SHEET} SELECT dimension, round(avg(score), 2) AS mean, min_by(track, (score, track)) AS worst_track, min(score) AS worst_score, count(*) AS tracks_scored FROM cells WHERE state = 'scored' GROUP BY 1".replace("min_by(track, (score, track))", "arg_min(track, {'s': score, 't': track})"))
 def review_rank(spark: SparkSession, d: str) -> DataFrame:
     return review.ranked_dimensions(sheet(spark, d))
 
 
 AREA = f"""{SHEET}, v AS (SELECT * FROM (VALUES ('A', 'x'), ('B', 'vocal_realism'), ('B', 'emotion'), ('C', 'prompt_adherence'), ('D', 'spectral_clarity'), ('E', 'x')) AS t(area, dimension)),
-areas AS (SELECT area, count(score) AS cells_scored, round(avg(score), 2) AS mean, count(score) >= 3 AS sufficient FROM v LEFT JOIN (SELECT * FROM cells WHERE state = 'scored') c ON v.dimension = c.dimension GROUP BY area)"""
+areas AS (SELECT area, count(score) AS cells_scored, round(avg(score), 2) AS mean, count(score) >= 3 AS sufficient FROM v LEFT JOIN (SELECT * FROM cells WHERE state = 'scored') c ON v.dimension = c.dimension AND (area <> 'B' OR track IN ('t2', 't3', 't4', 't5', 't8')) AND (area <> 'D' OR track IN ('t1', 't7')) GROUP BY area)"""
+TRACKS = {"B": ["t2", "t3", "t4", "t5", "t8"], "D": ["t1", "t7"]}
 
 
 def areas(spark: SparkSession, d: str) -> DataFrame:
-    return review.ranked_areas(sheet(spark, d), tracks={})
+    """Two areas are judged by some tracks only, one of them by too few."""
+    return review.ranked_areas(sheet(spark, d), tracks=TRACKS)
 
 
-@query(f"WITH {AREA} SELECT area, cells_scored, mean, sufficient FROM areas")
+@query(f"WITH {AREA} SELECT area, cells_scored, mean, sufficient, row_number() OVER (ORDER BY NOT sufficient, coalesce(mean, 99), area)::INT AS rank FROM areas")
 def area_rank(spark: SparkSession, d: str) -> DataFrame:
     return areas(spark, d)
 
@@ -291,10 +318,22 @@ def channel_policies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(mono, 5).alias("mono"), F.round(F.get(arrays.fitted(F.col("embedding"), 32), F.lit(3)).cast("double"), 6).alias("centre"), F.size(F.get(three, F.lit(2))).alias("n"))
 
 
-@query("""WITH p AS (SELECT a.label, a.embedding::DOUBLE[] AS p, b.embedding::DOUBLE[] AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE TRUE), s AS (SELECT label, list_sum(list_transform(range(1, 65), lambda i: abs(p[i] - t[i]))) / 64 AS l1, 10 * log10((list_dot_product(t, t) + 1e-12) / (list_sum(list_transform(range(1, 65), lambda i: (p[i] - t[i]) ** 2)) + 1e-12)) AS snr FROM p)
-SELECT label, round(avg(l1), 5) AS l1, round(avg(snr), 4) AS snr, count(*) AS n FROM s GROUP BY 1""")
+@query("""WITH p AS (SELECT a.label, a.embedding::DOUBLE[] AS p, b.embedding::DOUBLE[] AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), e AS (SELECT *, list_dot_product(p, t) / list_dot_product(t, t) AS g FROM p),
+s AS (SELECT label, list_sum(list_transform(range(1, 65), lambda i: abs(p[i] - t[i]))) / 64 AS l1, 10 * log10(greatest(list_dot_product(t, t) / 64, 1e-8) / greatest(list_sum(list_transform(range(1, 65), lambda i: (p[i] - t[i]) ** 2)) / 64, 1e-8)) AS snr,
+ 10 * log10(greatest(g * g * list_dot_product(t, t), 1e-12) / greatest(list_sum(list_transform(range(1, 65), lambda i: (p[i] - g * t[i]) ** 2)), 1e-12)) AS si FROM e)
+SELECT label, round(avg(l1), 5) AS l1, round(avg(snr), 4) AS snr, round(avg(si), 4) AS si_sdr, count(*) AS n FROM s GROUP BY 1""")
 def reconstruction_means(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("t")), "vec_id")
     m = pairs.select("label", arrays.reconstruction(F.col("embedding"), F.col("t")).alias("m"))
-    return m.groupBy("label").agg(F.round(F.avg("m.l1"), 5).alias("l1"), F.round(F.avg("m.snr"), 4).alias("snr"), F.count("*").alias("n"))
+    return m.groupBy("label").agg(F.round(F.avg("m.l1"), 5).alias("l1"), F.round(F.avg("m.snr"), 4).alias("snr"), F.round(F.avg("m.si_sdr"), 4).alias("si_sdr"), F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT item_id, ['a', 'b', 'c', 'zz', NULL][item_id % 5 + 1] AS family FROM benchmark WHERE item_id % 3 = 0), f AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % 4 = 0)
+SELECT item_id, 'also in the frozen set' AS problem FROM h WHERE item_id IN (SELECT item_id FROM f) UNION ALL SELECT item_id, 'unknown family ' || coalesce(family, 'null') FROM h WHERE coalesce(family, 'null') NOT IN ('a', 'b', 'c')""")
+def held_out_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Every third benchmark item as held out, of families of which two aren't known."""
+    i = F.col("item_id")
+    held = table(spark, d, "benchmark").filter(i % 3 == 0).select("item_id", F.get(F.array(*map(F.lit, ("a", "b", "c", "zz"))), (i % 5).cast("int")).alias("family"))
+    frozen = table(spark, d, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("item_id"))
+    return joins.held_out_problems(held, frozen, spark.createDataFrame([("a",), ("b",), ("c",)], "family string"), "item_id", "family")

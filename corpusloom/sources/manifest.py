@@ -5,35 +5,49 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import validate
+from ..operators import review, validate
+from ..operators.reports import manifest_summary
+from ..schemas import CORPUS
 
 JUNK = r"(^|/)(\._[^/]*|__MACOSX(/.*)?)$|(^|/)__MACOSX/"
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of a JSON Lines manifest. Blank lines are passed over; unknown keys are kept as JSON text in
-    `extra`; rejects carry file and line text. Missing optional keys are null."""
+    `extra`; missing optional keys are null. Rejects carry the file, the number of the line (from 1, blank ones counted) and
+    its text; only the files that have any are numbered."""
     fields = StructType.fromDDL(schema)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
-    parsed = lines.withColumn("raw", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}))
-    parsed = parsed.withColumn("rec", F.from_json("value", StructType([*fields.fields, *StructType.fromDDL("_corrupt string").fields]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("raw").isNull() | F.col("rec").isNull() | F.col("rec._corrupt").isNotNull()
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    held = StructType([*fields.fields, *StructType.fromDDL("_corrupt string").fields])
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        raw = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+        rec = F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+        return rows.withColumns({"raw": raw, "rec": rec}).withColumn("bad", F.col("raw").isNull() | F.col("rec").isNull() | F.col("rec._corrupt").isNotNull())
+
+    full = F.trim("value") != ""
     known = F.array(*map(F.lit, fields.names))
     extra = F.map_filter("raw", lambda k, v: ~F.array_contains(known, k))
-    good = parsed.filter(~bad)
     columns = [F.col(f"rec.{n}").alias(n) if n != "extra" else F.map_concat(F.coalesce("rec.extra", F.create_map().cast("map<string,string>")), extra).alias("extra") for n in fields.names]
-    return good.select(*columns), parsed.filter(bad).select("file", F.col("value").alias("line"))
+    every = parsed(lines.filter(full))
+    files = every.filter("bad").select("file").distinct()
+    own = lines.join(files, "file", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    sizes = own.groupBy("file", "block").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
+    rejects = parsed(own.filter(full)).filter("bad").join(starts, ["file", "block"])
+    return every.filter("not bad").select(*columns), rejects.select("file", (F.col("start") + F.col("place")).cast("long").alias("line_no"), F.col("value").alias("line"))
 
 
 def refuse_rejects(rejects: DataFrame) -> None:
-    """Fails at a malformed line, naming its file."""
-    first = rejects.limit(1).collect()
+    """Fails at the first malformed line, naming its file and number."""
+    first = rejects.orderBy("file", "line_no").limit(1).collect()
     if first:
-        raise ValueError(f"{first[0]['file']}: malformed line {first[0]['line'][:80]!r}")
+        raise ValueError(f"{first[0]['file']}:{first[0]['line_no']}: malformed line {first[0]['line'][:80]!r}")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
@@ -42,8 +56,10 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
-    """One folder for each split; readers of all splits read the parent."""
-    rows.repartition(split, F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(16))).write.option("ignoreNullFields", "false").partitionBy(split).json(path)
+    """One folder for each split below `path`/manifests (readers of all splits read that), and the summary of all and of each
+    beside them."""
+    rows.repartition(split, F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(16))).write.option("ignoreNullFields", "false").partitionBy(split).json(f"{path}/manifests")
+    manifest_summary(rows).coalesce(1).write.option("ignoreNullFields", "false").json(f"{path}/summary")
 
 
 def write_corpus(rows: DataFrame, path: str) -> int:
@@ -55,6 +71,13 @@ def write_corpus(rows: DataFrame, path: str) -> int:
     return int(seen.get["n"])
 
 
+def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
+    """A corpus manifest. A malformed line fails at once, an invalid record when it is read."""
+    good, bad = read_lines(spark, path, schema)
+    refuse_rejects(bad)
+    return validate.refuse_invalid(good)
+
+
 def read_catalogue(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A CSV with two header rows (group, field) and a row of index labels, as `group.field` string columns. The third row
     is data if any cell behind the first is filled; strict keeps rows with a numeric id only."""
@@ -87,6 +110,16 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return sheet.withColumnRenamed(sheet.columns[0], "track")
 
 
+def bad_cells(sheet: DataFrame) -> DataFrame:
+    """The cells of a sheet that are neither blank, N/A nor a score: track, dimension, cell."""
+    return review.long_sheet(sheet, keep_cell=True).filter("state = 'bad'").select("track", "dimension", "cell")
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the JSON Lines history of a run."""
+    return read_lines(spark, path, schema)
+
+
 def read_curve(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     """A training curve; cells that aren't numbers are null. The file's name is kept."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
@@ -120,7 +153,7 @@ def needing_acceptance(registry: DataFrame) -> DataFrame:
 def with_provenance(rows: DataFrame, registry: DataFrame, dataset: str = "source") -> DataFrame:
     """rows with a provenance struct of their dataset; the name defaults to the id."""
     known = registry.select(F.col("dataset_id").alias(dataset), F.struct("dataset_id", "name", "source_url", "license_name", (F.col("requires_user_acceptance") | F.col("gated")).alias("requires_user_acceptance")).alias("provenance"))
-    return rows.join(F.broadcast(known), dataset, "left")  # a registry is a short list
+    return rows.join(known, dataset, "left")
 
 
 def export_training(rows: DataFrame, path: str) -> None:
