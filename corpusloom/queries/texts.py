@@ -143,9 +143,22 @@ def log_parse(spark: SparkSession, d: str) -> DataFrame:
     return text.parsed_log(log_lines(spark, d)).select("line_no", "step", "epoch", "loss", "is_error")
 
 
-@query("""SELECT user_id AS run_id, max(event_id) AS step, arg_max(value, event_id) AS loss, max(value) AS peak_loss, count(*) FILTER (event_type = 'error') AS n_errors, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' ELSE 'training' END AS stage FROM events GROUP BY 1""")
+MONITOR = """WITH e AS (SELECT user_id AS run_id, event_id, value, event_type = 'error' AS bad, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS alive, 'Epoch: ' || event_id % 9 || ' step=' || event_id || ' loss ' || value || CASE WHEN event_type = 'error' THEN ' ERROR in worker' ELSE '' END AS line FROM events),
+s AS (SELECT run_id, max(event_id) AS step, arg_max(value, event_id) AS loss, max(value) AS peak_loss, count(*) FILTER (bad) AS n_errors, arg_max(alive, event_id) FILTER (alive IS NOT NULL) AS alive FROM e GROUP BY 1)"""
+
+
+@query(MONITOR + " SELECT run_id, step, loss, peak_loss, n_errors, CASE WHEN coalesce(alive, FALSE) THEN 'training' WHEN n_errors > 0 THEN 'failed' ELSE 'stopped' END AS stage FROM s")
 def training_monitor(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.monitor(log_lines(spark, d)).select("run_id", "step", "loss", "peak_loss", "n_errors", "stage")
+    i = F.col("line_no")
+    beats = log_lines(spark, d).withColumn("alive", F.when(i % 3 == 0, i % 2 == 0))
+    return jobs.monitor(beats, "alive").select("run_id", "step", "loss", "peak_loss", "n_errors", "stage")
+
+
+@query(MONITOR + ", r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id DESC) AS n FROM e WHERE bad) SELECT run_id, string_agg(regexp_extract(line, 'step=[0-9]+'), ';' ORDER BY event_id) AS errors FROM r WHERE n <= 3 GROUP BY 1")
+def last_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of each run's last three error lines."""
+    found = jobs.last_errors(log_lines(spark, d))
+    return found.select("run_id", F.array_join(F.transform("errors", lambda x: F.regexp_extract(x, "step=[0-9]+", 0)), ";").alias("errors"))
 
 
 @query("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL""")

@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parsed_log
 from ..operators.ratelimit import Admitted, admit
+from ..operators.select import top_per_group
 
 
-def monitor(lines: DataFrame) -> DataFrame:
+def monitor(lines: DataFrame, alive: str | None = None) -> DataFrame:
     """The state of each run from its log lines: latest step, epoch, loss and gradient, peaks, errors and a stage. lines:
-    run_id, line_no, line; a stream or a table."""
+    run_id, line_no, line and, if named, a boolean `alive` (a heartbeat; the latest counts); a stream or a table. A run that is
+    alive is training; one that isn't has failed if it has errors, is stopped if it has a step, and else is starting. Without
+    heartbeats runs without errors count as alive once they have a step."""
     p = parsed_log(lines)
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    out = p.groupBy("run_id").agg(*(latest(c) for c in ("step", "epoch", "loss", "grad_norm")), F.max("loss").alias("peak_loss"), F.max("grad_norm").alias("peak_grad_norm"), F.sum(F.col("is_error").cast("long")).alias("n_errors"), F.max(F.when(F.col("is_error"), F.struct("line_no", "line")))["line"].alias("last_error"))
-    return out.withColumn("stage", F.when(F.col("n_errors") > 0, "failed").when(F.col("step").isNotNull(), "training").otherwise("starting"))
+    out = p.groupBy("run_id").agg(*(latest(c) for c in ("step", "epoch", "loss", "grad_norm", *([alive] if alive else []))), F.max("loss").alias("peak_loss"), F.max("grad_norm").alias("peak_grad_norm"), F.sum(F.col("is_error").cast("long")).alias("n_errors"))
+    living = F.coalesce(F.col(alive), F.lit(False)) if alive else (F.col("n_errors") == 0) & F.col("step").isNotNull()
+    return out.withColumn("stage", F.when(living, "training").when(F.col("n_errors") > 0, "failed").when(F.col("step").isNotNull(), "stopped").otherwise("starting"))
+
+
+def last_errors(lines: DataFrame, n: int = 3, chars: int = 300) -> DataFrame:
+    """run_id and `errors`: the last characters of its last n error lines, in order."""
+    bad = parsed_log(lines).filter("is_error").select("run_id", "line_no", F.expr(f"right(trim(line), {chars})").alias("line"))
+    few = top_per_group(bad, "run_id", [F.desc("line_no")], F.lit(n))
+    return few.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("e")).select("run_id", F.transform("e", lambda x: x["line"]).alias("errors"))
 
 
 def incremental(spark: SparkSession, source: str, schema, key: str, target: str, work: Callable[[DataFrame], DataFrame], checkpoint: str):
