@@ -11,7 +11,7 @@ sentence by sentence, without a shuffle.
 
 Defined cases: a null or empty text has one empty sentence; without both labels the score is the share of
 label 1 (0 without labels); rows with a null id are scored and never learnt from; a label that is null is no
-label; of several labels for an id the highest counts; all columns of the table, of any name, come back in the
+label; of several labels for an id the highest counts, and of several texts that with the least hash; all columns of the table, of any name, come back in the
 column `row`.
 """
 
@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     usable = labels.select(named(key).alias("key"), "toxic").filter(F.col("toxic").isNotNull() & ~held_out("key")).groupBy(F.col("key").try_cast(own.schema["key"].dataType).alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
     usable = written(usable.join(own.select("key"), "key", "left_semi"), "toxicity-usable")
     picked = written(smallest(usable, F.xxhash64(F.lit("toxicity"), "key"), fit_rows), "toxicity-labels")
-    sample = written(own.join(F.broadcast(picked), "key").select("text", "toxic"), "toxicity-sample")  # fit_rows labels
+    of_key = own.join(F.broadcast(picked), "key").groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"), F.first("toxic").alias("toxic"))
+    sample = written(of_key.select("least.text", "toxic"), "toxicity-sample")  # fit_rows at most, however often an id repeats
     total = sample.agg(F.sum(F.col("toxic")), F.count("*")).first()
     positive, n = total[0] or 0, total[1]
     if positive in (0, n):

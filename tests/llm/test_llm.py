@@ -275,6 +275,17 @@ def test_toxicity_never_learns_from_the_held_out(spark, sf):
     assert toxicity.fit(docs, labels).weights == toxicity.fit(docs, flipped).weights
 
 
+def test_toxicity_learns_one_text_of_a_repeated_id(spark, sf):
+    """However many rows share an id, one of their texts is learnt from, whatever the order of rows."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    own = labels.filter("toxic = 1").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).agg(F.min("doc_id")).first()[0]
+    others = docs.filter(F.col("doc_id") > own).limit(300).select(F.lit(own).alias("doc_id"), "text")
+    many = written(docs.unionByName(others), "many")
+    least = many.withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by("text", "h").alias("text"))
+    assert toxicity.fit(many.repartition(7), labels).weights == toxicity.fit(least, labels).weights
+
+
 # 5. licences
 
 
@@ -526,6 +537,13 @@ def test_deduplicated_with_repeated_ids(spark):
     assert sorted(r[:2] for r in got[0]) == sorted([(1, near), (5, y), (7, "one other text"), (7, "and a third text")])
 
 
+def test_deduplicated_with_equal_rows(spark):
+    """A row that fills most of the table is one row afterwards, and its whole copies are gone before the shuffle."""
+    docs = spark.range(4_000).select(F.lit(3).alias("doc_id"), F.lit("one text of four thousand").alias("text")).union(spark.createDataFrame([(1, "something else")], "doc_id int, text string"))
+    out = simhash.deduplicated(docs)
+    assert sorted(map(tuple, out.collect())) == [(1, "something else"), (3, "one text of four thousand")]
+
+
 # 8. media
 
 
