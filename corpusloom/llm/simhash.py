@@ -148,4 +148,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     best = written(rows.groupBy("fp").agg(F.min("order").alias("best")), "simhash-fps")
     wanted = best.join(roots(best), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.h1", "best.h2")
     mine = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"))
-    return mine.join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
+    return mine.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"], "left_semi").select("row.*")  # equal rows meet before the shuffle
