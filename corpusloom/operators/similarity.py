@@ -13,10 +13,13 @@ in one of g groups the midpoint is r / sqrt(g) away at most, so patterns of a gr
 first compared along those axes (`HEAD` numbers that travel with the ids), and only what is left by whole vectors. Equal
 vectors are one until the end, and vectors aren't shuffled with the patterns.
 
-`by_matrix` is for few candidates: their windows are sent to the table's partitions, and every partition takes one
-matrix product for each batch. The number of windows is checked; beyond the bound `by_blocks` takes over.
+Items with equal windows throughout are one item there, so whole copies aren't paired with each other.
 
-Below the threshold neither knows the closest item: its columns are null there.
+`by_matrix` is for few candidates: their windows are sent to the table's partitions, which take matrix products of `ROWS`
+windows. The number of windows is checked; beyond the bound `by_blocks` takes over.
+
+Below the threshold neither knows the closest item: its columns are null there. `nearest` compares all windows of few
+candidates (many go in parts) and tells the closest item of each, however far it is.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import cosine
 from .settled import settled
 
-LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD = 0.985, 3, 20_000, 2_000, 8
+LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS = 0.985, 3, 20_000, 2_000, 8, 512
 
 
 def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str = "pcm_sha256") -> DataFrame:
@@ -127,8 +130,33 @@ def sizes(windows: DataFrame, key: str, name: str) -> DataFrame:
     return windows.groupBy(key).agg(F.count("*").alias(name))
 
 
+def alike(windows: DataFrame, key: str, place: str, size: str) -> DataFrame:
+    """key, rep and its number of windows: rep is the least key of those with equal windows at equal places."""
+    vec = F.transform("vec", lambda v: v.cast("double") + 0.0)
+    total = lambda *salt: F.sum(F.xxhash64(*salt, F.col(place), vec).cast("decimal(20,0)"))
+    signed = windows.groupBy(key).agg(F.count("*").alias(size), total().alias("s1"), total(F.lit("again")).alias("s2"))
+    reps = signed.groupBy(size, "s1", "s2").agg(F.min(key).alias("rep"))
+    return settled(signed.join(reps, [size, "s1", "s2"]).select(key, "rep", size))
+
+
 def by_blocks(a: DataFrame, b: DataFrame, dim: int, least: float = LEAST, min_run: int = MIN_RUN) -> DataFrame:
-    return runs(near_windows(a, b, dim, least), sizes(a, "candidate", "n"), sizes(b, "item", "m"), min_run)
+    mine, theirs = alike(a, "candidate", "i", "n"), alike(b, "item", "j", "m")
+    of_a, of_b = mine.filter("candidate = rep").drop("rep"), theirs.filter("item = rep").drop("rep")
+    pairs = near_windows(a.join(of_a.drop("n"), "candidate", "left_semi"), b.join(of_b.drop("m"), "item", "left_semi"), dim, least)
+    found = runs(pairs, of_a, of_b, min_run).withColumnRenamed("candidate", "rep")
+    return mine.drop("n").join(found, "rep").drop("rep")
+
+
+def _sliced(frames, *columns: str):
+    """The windows of the table in parts of ROWS: each part's vectors as a matrix, and the columns as lists."""
+    for f in frames:
+        for at in range(0, len(f), ROWS):
+            part = f.iloc[at : at + ROWS]
+            yield np.stack(part["vec"].to_numpy()).astype(np.float64), *(part[c].tolist() for c in columns)
+
+
+def _matrix(got: list) -> np.ndarray:
+    return np.array([r["vec"] for r in got], dtype=np.float64).reshape(len(got), len(got[0]["vec"]) if got else 0)
 
 
 def by_matrix(a: DataFrame, b: DataFrame, least: float = LEAST, min_run: int = MIN_RUN, max_windows: int = MAX_CANDIDATES) -> DataFrame:
@@ -136,19 +164,16 @@ def by_matrix(a: DataFrame, b: DataFrame, least: float = LEAST, min_run: int = M
     if len(got) > max_windows:
         return by_blocks(a, b, len(got[0]["vec"]), least, min_run)
     spark = a.sparkSession
-    held = spark.sparkContext.broadcast((np.array([r["vec"] for r in got], dtype=np.float64).reshape(len(got), -1), [r["candidate"] for r in got], [r["i"] for r in got]))
+    held = spark.sparkContext.broadcast((_matrix(got), [r["candidate"] for r in got], [r["i"] for r in got]))
 
     def near(frames):
         import pandas as pd
 
         u, names, places = held.value
-        for f in frames:
-            if len(f) and len(u):
-                sims = u @ np.stack(f["vec"].to_numpy()).astype(np.float64).T
-                x, y = np.nonzero(sims >= least)
-                if not len(x):
-                    continue
-                items, js = f["item"].tolist(), f["j"].tolist()
+        for v, items, js in _sliced(frames, "item", "j") if len(u) else ():
+            sims = u @ v.T
+            x, y = np.nonzero(sims >= least)
+            if len(x):
                 yield pd.DataFrame({"candidate": [names[k] for k in x], "item": [items[k] for k in y], "i": [places[k] for k in x], "j": [js[k] for k in y], "cos": sims[x, y].tolist()})
 
     kinds = {c: (a if c in ("candidate", "i") else b).schema[c].dataType.simpleString() for c in ("candidate", "item", "i", "j")}
@@ -156,8 +181,47 @@ def by_matrix(a: DataFrame, b: DataFrame, least: float = LEAST, min_run: int = M
     return runs(pairs, sizes(a, "candidate", "n"), sizes(b, "item", "m"), min_run)
 
 
-def screen(candidates: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
-    """The verdict for each candidate: exact copies first, then runs. found: from `by_blocks` or `by_matrix`."""
+def nearest(a: DataFrame, b: DataFrame, max_windows: int = MAX_CANDIDATES) -> DataFrame:
+    """candidate, closest_item, max_cosine: the item with the greatest cosine of two windows that some alignment puts side by
+    side, if any is over 0; of several the least. Candidates of more than `max_windows` windows in all go in parts by their
+    hash, each of which reads the table once."""
+    spark, windows = a.sparkSession, b.join(sizes(b, "item", "m"), "item").select("item", "j", "m", "vec")
+    parts = max(1, -(-a.count() // max_windows))
+    kinds = {"candidate": a.schema["candidate"].dataType.simpleString(), "item": b.schema["item"].dataType.simpleString()}
+
+    def of_part(k: int) -> DataFrame:
+        got = a.filter(F.pmod(F.xxhash64("candidate"), F.lit(parts)) == k).select("candidate", "i", "vec").orderBy("candidate", "i").collect()
+        names = [r["candidate"] for r in got]
+        starts = [x for x, name in enumerate(names) if not x or name != names[x - 1]]
+        n = np.repeat(np.diff([*starts, len(names)]), np.diff([*starts, len(names)])) if names else np.zeros(0, int)
+        held = spark.sparkContext.broadcast((_matrix(got), names, starts, np.array([r["i"] for r in got], dtype=np.int64), n))
+
+        def best(frames):
+            import pandas as pd
+
+            u, names, starts, i, n = held.value
+            for v, items, j, m in _sliced(frames, "item", "j", "m") if len(u) else ():
+                j, m = np.array(j, dtype=np.int64), np.array(m, dtype=np.int64)
+                ahead = (j[None, :] - i[:, None]) * np.where(n[:, None] <= m[None, :], 1, -1)
+                sims = np.where((ahead >= 0) & (ahead <= np.abs(m[None, :] - n[:, None])), u @ v.T, -1.0)
+                each = np.maximum.reduceat(sims, starts, axis=0)  # of each candidate
+                top = each.max(axis=1)
+                rows = [(names[s], min(items[y] for y in np.flatnonzero(each[c] == top[c])), float(top[c])) for c, s in enumerate(starts) if top[c] > 0]
+                yield pd.DataFrame(rows, columns=["candidate", "item", "cos"])
+
+        return windows.mapInPandas(best, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cos double")
+
+    found = reduce(DataFrame.union, map(of_part, range(parts)))
+    first = found.groupBy("candidate").agg(F.min(F.struct((-F.col("cos")).alias("below"), "item")).alias("first"))
+    return first.select("candidate", F.col("first.item").alias("closest_item"), (-F.col("first.below")).alias("max_cosine"))
+
+
+def screen(candidates: DataFrame, found: DataFrame, copies: DataFrame, closest: DataFrame | None = None) -> DataFrame:
+    """The verdict for each candidate: exact copies first, then runs. found: from `by_blocks` or `by_matrix`. closest: from
+    `nearest`, to name the closest items below the threshold too."""
+    if closest is not None:
+        far = closest.join(found, "candidate", "left_anti").select("candidate", "closest_item", F.lit(0).alias("matched_windows"), "max_cosine", F.lit(False).alias("suspicious"))
+        found = found.unionByName(far)
     joined = candidates.select(F.col("item").alias("candidate")).join(copies, "candidate", "left").join(found, "candidate", "left")
     copy = F.col("exact_duplicate_of").isNotNull()
     return joined.select("candidate", "exact_duplicate_of", F.when(copy, F.col("exact_duplicate_of")).otherwise(F.col("closest_item")).alias("closest_item"), F.coalesce("matched_windows", F.lit(0)).alias("matched_windows"), F.when(copy, 1.0).otherwise(F.col("max_cosine")).alias("max_cosine"), (copy | F.coalesce("suspicious", F.lit(False))).alias("suspicious"))

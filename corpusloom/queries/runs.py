@@ -281,6 +281,17 @@ def few_candidates_screen(spark: SparkSession, d: str) -> DataFrame:
     return similarity.by_matrix(queried(spark, d), w).select("candidate", "closest_item", "matched_windows", "suspicious")
 
 
+@query(f"""WITH {WINDOWS % "SELECT 'q' || q.vec_id AS candidate, w.j - q.j AS i, list_reverse(w.vec) AS vec FROM w JOIN w q ON w.item = q.item AND q.vec_id % 100 = 0 AND w.j BETWEEN q.j AND q.j + 3"},
+x AS (SELECT candidate, item, list_dot_product(c.vec, w.vec) AS cos, CASE WHEN n <= m THEN j - i ELSE i - j END AS off, abs(m - n) AS room FROM c CROSS JOIN w JOIN n USING (candidate) JOIN m USING (item)),
+y AS (SELECT candidate, item, max(cos) AS cos FROM x WHERE off BETWEEN 0 AND room GROUP BY ALL)
+SELECT candidate, arg_min(item, {{'below': -cos, 'item': item}}) AS closest_item, round(max(cos), 6) AS max_cosine FROM y GROUP BY 1 HAVING max(cos) > 0""")
+def closest_items(spark: SparkSession, d: str) -> DataFrame:
+    """The closest item of each query of `few_candidates_screen` with its vectors reversed, which are near to nothing."""
+    w = windows(spark, d).select("item", "j", "vec")
+    found = similarity.nearest(queried(spark, d).withColumn("vec", F.reverse("vec")), w)
+    return found.withColumn("max_cosine", F.round("max_cosine", 6))
+
+
 @query("""WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1) SELECT d.doc_id AS candidate, first AS exact_duplicate_of FROM documents d JOIN h ON sha256(d.text) = h WHERE d.doc_id % 100 = 0""")
 def exact_dup_screen(spark: SparkSession, d: str) -> DataFrame:
     """The documents whose id is divisible by 100 as candidates, against all."""

@@ -96,3 +96,14 @@ def resolved_curve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("run_id", "step").orderBy(F.desc("session"))
     ranked = rows.withColumn("__r", F.when(F.col("step").isNotNull(), F.row_number().over(w)).otherwise(1))
     return ranked.filter("__r = 1").drop("__r"), ranked.filter("__r > 1").drop("__r")
+
+
+def appended_curve(stream: DataFrame, target: str, checkpoint: str):
+    """Appends a stream of curve rows to `target`, a folder for each batch, so a batch that is tried again repeats nothing.
+    `resolved_curve` over the folder gives the current and the superseded rows. The query, which stops once all rows present
+    are done."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -205,6 +205,16 @@ def test_resolved_curve(spark):
     assert now.count() == 3 and old.first()["loss"] == 0.4
 
 
+def test_appended_curve(spark, tmp_path):
+    """A run that resumes replays steps; each start of the job appends what is new, once."""
+    schema, source, target = "run_id string, step int, session int, loss double", str(tmp_path / "in"), str(tmp_path / "curve")
+    for rows in ([("r", 1, 1, 0.5), ("r", 2, 1, 0.4)], [("r", 2, 2, 0.3), ("r", 3, 2, 0.2)], []):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        jobs.appended_curve(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp")).awaitTermination()
+    now, old = jobs.resolved_curve(spark.read.parquet(target))
+    assert sorted((r["step"], r["loss"]) for r in now.collect()) == [(1, 0.5), (2, 0.3), (3, 0.2)] and [(r["step"], r["loss"]) for r in old.collect()] == [(2, 0.4)]
+
+
 def test_line_numbers_over_blocks(spark, tmp_path):
     """Files of which some are read in several blocks."""
     want = set()

@@ -318,6 +318,52 @@ def test_near_windows_lose_nothing(spark):
         assert similarity.near_windows(a.filter("false"), b, dim).count() == 0 == similarity.near_windows(a, b.filter("false"), dim).count()
 
 
+def test_copies_of_items_are_screened_once(spark, monkeypatch):
+    """Items with equal windows give the rows that each alone would give, and only one of them is paired."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    song = lambda name, rows: [(name, k, x[r].tolist()) for k, r in enumerate(rows)]
+    a = spark.createDataFrame([r for k in range(6) for r in song(f"c{k}", [1, 2, 3])] + song("d", [3, 2, 1]), "candidate string, i int, vec array<double>")
+    b = spark.createDataFrame([r for k in range(5) for r in song(f"x{k}", [0, 1, 2, 3, 4])] + song("y", [2, 5]), "item string, j int, vec array<double>")
+    seen, plain = [], similarity.near_windows
+    monkeypatch.setattr(similarity, "near_windows", lambda p, q, *rest: seen.append((p.select("candidate").distinct().count(), q.select("item").distinct().count())) or plain(p, q, *rest))
+    tops = lambda f: sorted((r["candidate"], r["closest_item"], r["matched_windows"], r["suspicious"]) for r in f.collect())
+    got = tops(similarity.by_blocks(a, b, 10))
+    assert seen == [(2, 2)] and got == tops(similarity.by_matrix(a, b))
+    assert got[:6] == [(f"c{k}", "x0", 3, True) for k in range(6)] and got[6][0] == "d"
+
+
+def test_nearest_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))(rng.normal(size=(n, 5)))
+    ours, theirs = {f"c{k}": unit(n) for k, n in enumerate([1, 3, 8, 2])}, {f"x{k}": unit(n) for k, n in enumerate([4, 2, 3, 6])}
+    theirs["x9"] = theirs["x0"]  # a tie
+    a = spark.createDataFrame([(c, i, v.tolist()) for c, w in ours.items() for i, v in enumerate(w)], "candidate string, i int, vec array<double>")
+    b = spark.createDataFrame([(c, j, v.tolist()) for c, w in theirs.items() for j, v in enumerate(w)], "item string, j int, vec array<double>")
+    want = {}
+    for c, u in ours.items():
+        for item, v in sorted(theirs.items()):
+            short, long_ = (u, v) if len(u) <= len(v) else (v, u)
+            top = max((short * long_[o : o + len(short)]).sum(axis=1).max() for o in range(len(long_) - len(short) + 1))
+            if top > max(want.get(c, ("", 0.0))[1], 0.0) + 1e-12:
+                want[c] = (item, top)
+    for most in (20_000, 4):
+        got = {r["candidate"]: (r["closest_item"], r["max_cosine"]) for r in similarity.nearest(a, b, most).collect()}
+        assert {c: x[0] for c, x in got.items()} == {c: x[0] for c, x in want.items()}
+        assert all(abs(got[c][1] - want[c][1]) < 1e-9 for c in want)
+    assert similarity.by_matrix(a.filter("false"), b).count() == 0 == similarity.by_blocks(a, b.filter("false"), 5).count()
+    assert similarity.nearest(a.filter("false"), b).count() == 0 == similarity.nearest(a, b.filter("false")).count()
+    candidates = spark.createDataFrame([("c1", "h"), ("zz", "")], "item string, pcm_sha256 string")
+    verdicts = similarity.screen(candidates, similarity.by_matrix(a, b), similarity.exact(candidates, candidates.filter("false")), similarity.nearest(a, b))
+    shown = {r["candidate"]: r for r in verdicts.collect()}
+    assert shown["c1"]["closest_item"] == want["c1"][0] and not shown["c1"]["suspicious"] and shown["zz"]["closest_item"] is None
+
+
 def test_patterns_share_the_midpoint():
     """Any two points within the width share a pattern, and few of those farther apart do."""
     import numpy as np
