@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, quality, resharding, simhash, spencode, toxicity, urlfilter, warc
+from . import conversations, licenses, media, packing, quality, resharding, simhash, spencode, toxicity, urlfilter, warc
 from .common import held_out, joined, of_row, shipped, table, written
 
 def tokenizer_path(spark: SparkSession, name: str) -> str:
@@ -77,6 +77,14 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All damaged conversations, repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    report, turns = conversations.repaired(conversations.damaged(rows), also=rows)
+    columns = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    return report.join(conversations.digests(turns), "k", "left").select(*columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 URLFILTER_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -100,6 +108,60 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict FROM ruled
 """
 
+#: CRC-32 byte by byte, then the cheapest audits to each state of the grammar, turn by turn.
+CONVERSATIONS_SQL = r"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc
+), labelled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes FROM conversations
+), faulty AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS f FROM labelled, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faulty, range(2) AS r(k) WHERE f <> 0 AND (k = 0 OR f = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, substr(role, 1, 1) AS x FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '.' ELSE 't' END AS fault,
+         lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM marked GROUP BY conv_id
+), moves(q, added, p) AS (
+  VALUES ('0', '', '0'), ('0', 'I', 'u'), ('0', 'II', 'a'), ('s', '', 's'), ('s', 'I', 'u'), ('s', 'II', 'a'), ('u', '', 'u'), ('u', 'I', 'a'), ('u', 'II', 'u'), ('a', '', 'a'), ('a', 'I', 'u'), ('a', 'II', 'a')
+), edits(p, edit, x, price, r) AS (
+  SELECT q, 'D', NULL::VARCHAR, 3, q FROM (VALUES ('0'), ('s'), ('u'), ('a')) AS t(q) UNION ALL
+  VALUES ('0', 'K', 's', 0, 's'), ('0', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('a', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'), ('0', 'R', NULL::VARCHAR, 2, 'u'), ('s', 'R', NULL::VARCHAR, 2, 'u'), ('a', 'R', NULL::VARCHAR, 2, 'u'), ('u', 'R', NULL::VARCHAR, 2, 'a')
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS q, {'cost': 0::BIGINT, 'audit': ''} AS best FROM facts
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, r, min({'cost': best.cost + 2 * length(added) + price + CASE WHEN edit <> 'D' AND fault = 't' THEN 1 ELSE 0 END, 'audit': best.audit || added || edit})
+  FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 JOIN moves USING (q) JOIN edits e USING (p)
+  WHERE (e.x IS NULL OR e.x = m.x) AND (edit = 'D' OR fault NOT IN ('b', 'd')) GROUP BY w.conv_id, w.i, r
+), ended AS (
+  SELECT f.conv_id, min({'cost': best.cost + 2 * length(added), 'audit': best.audit || added}) AS best
+  FROM ways w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = f.n JOIN moves USING (q) WHERE p IN ('0', 'a') GROUP BY f.conv_id
+), walked AS (
+  SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS i, '0' AS q, best.audit AS audit, ''::VARCHAR AS line FROM ended
+  UNION ALL
+  SELECT w.conv_id, k + 1, CASE WHEN c.edit = 'I' THEN w.i ELSE w.i + 1 END,
+         CASE c.edit WHEN 'D' THEN q WHEN 'K' THEN m.x ELSE CASE WHEN q = 'u' THEN 'a' ELSE 'u' END END, audit,
+         CASE c.edit WHEN 'D' THEN NULL WHEN 'K' THEN m.role || ':' || m.text ELSE CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END || CASE WHEN c.edit = 'R' THEN m.text ELSE '' END END
+  FROM walked w, LATERAL (SELECT substr(w.audit, w.k::INT + 1, 1) AS edit) c LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+  WHERE k < length(audit)
+), joined AS (
+  SELECT conv_id, string_agg(line, chr(10) ORDER BY k) FILTER (k > 0 AND line IS NOT NULL) AS whole FROM walked GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
@@ -109,6 +171,6 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
 FROM p JOIN f USING (html)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_packing, op4_toxicity, op5_licenses, op6_quality, op7_simhash, op8_media, op9_warc, op10_urlfilter)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_packing, op4_toxicity, op5_licenses, op6_quality, op7_simhash, op8_media, op9_warc, op10_urlfilter, op11_conversations)}
 #: op9's SHA-1 in base 32 isn't SQL, so its SQL above serves a test of the other columns.
-ORACLES: dict[str, str] = {"op10_urlfilter": URLFILTER_SQL}
+ORACLES: dict[str, str] = {"op10_urlfilter": URLFILTER_SQL, "op11_conversations": CONVERSATIONS_SQL}
