@@ -147,9 +147,9 @@ def texts(batch, name: str = "text") -> Iterator[str]:
     return (x if x is not None else "" for x in column(batch, name))
 
 
-def held_out(key: str = "doc_id", folds: int = 5):
+def held_out(key: str = "doc_id", folds: int = 5, rest: int = 0):
     """True for the rows that no model may learn labels from."""
-    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == rest, F.lit(True))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, licenses, media, packing, quality, resharding, simhash, spencode, toxicity, urlfilter, warc
+from . import conversations, licenses, media, negatives, packing, quality, ranking, resharding, simhash, spencode, toxicity, urlfilter, warc
 from .common import held_out, joined, of_row, shipped, table, written
 
 def tokenizer_path(spark: SparkSession, name: str) -> str:
@@ -85,6 +85,19 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(conversations.digests(turns), "k", "left").select(*columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, among all; every seventh has a wrong label."""
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.prepared(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", number % 50 == 0))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ranking.scored(docs, ranking.fit(docs, table(spark, sf_dir, "labels"))).withColumn("doc_id", of_row("doc_id"))
+    return found.select("doc_id", held_out(folds=4, rest=2).alias("held_out"), F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.7).cast("int").alias("predicted"), "quality.strength")
+
+
 URLFILTER_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -162,6 +175,19 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
@@ -171,6 +197,6 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
 FROM p JOIN f USING (html)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_packing, op4_toxicity, op5_licenses, op6_quality, op7_simhash, op8_media, op9_warc, op10_urlfilter, op11_conversations)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_resharding, op3_packing, op4_toxicity, op5_licenses, op6_quality, op7_simhash, op8_media, op9_warc, op10_urlfilter, op11_conversations, op12_negatives, op13_ranking)}
 #: op9's SHA-1 in base 32 isn't SQL, so its SQL above serves a test of the other columns.
-ORACLES: dict[str, str] = {"op10_urlfilter": URLFILTER_SQL, "op11_conversations": CONVERSATIONS_SQL}
+ORACLES: dict[str, str] = {"op10_urlfilter": URLFILTER_SQL, "op11_conversations": CONVERSATIONS_SQL, "op12_negatives": NEGATIVES_SQL}
