@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import named, written
 
-SEGMENT, SEGMENT_CHARS, SLACK = 256, 1 << 22, 8
+SEGMENT, SEGMENT_CHARS, SLACK = 128, 1 << 22, 8
 KEEP, REROLE, DELETE, INSERT, CUT, FAR = 0, 2, 3, 2, 1, 1 << 40
 #: The states of the grammar: nothing yet, after s, after u, after a.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -382,13 +382,12 @@ def repaired(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: st
     each = open_.select(*at, F.explode(F.array_distinct("digests")).alias("digest"))
     first = each.groupBy("k", "digest").agg(F.min(F.struct("part", "seg")).alias("first"))
     seen = each.join(first, ["k", "digest"]).filter(F.struct("part", "seg") > F.col("first")).groupBy(*at).agg(F.collect_list("digest").alias("seen"))
-    narrow = open_.select("key", *at, "digests", "initials", "faults", "least", "most", "turns", "first_turn", "last_turn", "illegal").join(seen, at, "left")
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema if f.name not in ("digests", "seen")}
-    nullable = ["least", "most", "first_turn", "last_turn", "key"]
-    blocks = narrow.select(*at, "digests", "initials", "faults", "seen").mapInPandas(_summed, ", ".join(f"{c} {kinds[c]}" for c in (*at, "initials", "faults")) + ", symbols string, costs array<long>")
-    blocks = written(blocks.join(open_.select(*at, "turns", "illegal", *nullable), at), "conversation-blocks")
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism  # segments are small, but take time
+    narrow = open_.select(*at, "digests", "initials", "faults").join(seen, at, "left").repartition(tasks, *at)
+    blocks = narrow.mapInPandas(_summed, "k string, part int, seg int, initials string, faults string, symbols string, costs array<long>")
+    blocks = written(blocks.join(open_.select(*at, "turns", "illegal", "least", "most", "first_turn", "last_turn", "key"), at), "conversation-blocks")
     to_pay = blocks.select(*at, "costs").groupBy("k").applyInPandas(_to_pay, "k string, part int, seg int, end array<long>")
-    traced = blocks.select(*at, "symbols").join(to_pay, at).mapInPandas(_traced, "k string, part int, seg int, audits array<string>, states array<int>")
+    traced = blocks.select(*at, "symbols").join(to_pay, at).repartition(tasks, *at).mapInPandas(_traced, "k string, part int, seg int, audits array<string>, states array<int>")
     walked = blocks.select(*at, "initials").join(traced, at).groupBy("k").applyInPandas(_walked, "k string, part int, seg int, state int, audit string, joint int")
     walked = written(walked, "conversation-audits")
     joined = blocks.join(walked, at)

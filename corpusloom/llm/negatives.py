@@ -178,19 +178,24 @@ def _parts(batches, found):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], names=list(out))
 
 
+def _chunks(n: int):
+    """Small chunks first, so that later ones meet limits that are near their end."""
+    at, size = 0, CHUNK // 16
+    while at < n:
+        yield slice(at, at + size)
+        at, size = at + size, min(2 * size, CHUNK)
+
+
 def _positives(n: int):
     def of(rids, ids, labels, matrix, block) -> dict:
         firsts = Firsts(len(block.rids), n, np.full(len(block.rids), -np.inf), matrix.dtype)
-        for at in range(0, len(rids), CHUNK):
-            cut = slice(at, at + CHUNK)
+        for cut in _chunks(len(rids)):
 
             def wanted(level, low, high):
                 return (block.labels[level][:, None] == labels[cut][None, :]) & (block.rids[level][:, None] != rids[cut][None, :]) & (high >= firsts.least[level][:, None])
 
-            got = list(scores(block.vecs, block.parent, block.edge, matrix[cut], wanted))
-            if got:
-                a, b, s = (np.concatenate(x) for x in zip(*got))
-                firsts.add(a, s, ids[cut][b], rids[cut][b])
+            a, b, s = (np.concatenate(x) for x in zip(*scores(block.vecs, block.parent, block.edge, matrix[cut], wanted)))
+            firsts.add(a, s, ids[cut][b], rids[cut][b])
         where, score, ids_, rids_ = firsts.held
         return {"anchor": block.rids[where], "score": score.astype(np.int64), "id": ids_, "rid": rids_}
 
@@ -206,17 +211,16 @@ def _negatives(n: int, low_percent: int, high_percent: int):
                 low[k, w], high[k, w] = -(-low_percent * s // 100), high_percent * s // 100
         top = high.max(axis=1)
         firsts = Firsts(low.size, n, low.ravel(), matrix.dtype)
-        for at in range(0, len(rids), CHUNK):
-            cut = slice(at, at + CHUNK)
+        for cut in _chunks(len(rids)):
             least = np.where(low <= high, firsts.least.reshape(low.shape), np.inf).min(axis=1)
 
             def wanted(level, below, above):
                 return (block.labels[level][:, None] != labels[cut][None, :]) & (above >= least[level][:, None]) & (below <= top[level][:, None])
 
-            for a, b, s in scores(block.vecs, block.parent, block.edge, matrix[cut], wanted):
-                for w in range(width):
-                    fits = (s >= firsts.least[a * width + w]) & (s <= high[a, w])
-                    firsts.add(a[fits] * width + w, s[fits], ids[cut][b[fits]], rids[cut][b[fits]])
+            a, b, s = (np.concatenate(x) for x in zip(*scores(block.vecs, block.parent, block.edge, matrix[cut], wanted)))
+            fits = [np.flatnonzero((s >= firsts.least[a * width + w]) & (s <= high[a, w])) for w in range(width)]
+            where, at = np.concatenate([a[f] * width + w for w, f in enumerate(fits)]), np.concatenate(fits)
+            firsts.add(where, s[at], ids[cut][b[at]], rids[cut][b[at]])
         where, score, ids_, rids_ = firsts.held
         return {"anchor": block.rids[where // width], "place": where % width + 1, "score": score.astype(np.int64), "id": ids_, "rid": rids_}
 
