@@ -5,15 +5,11 @@ if some alignment of the shorter item within the longer has `min_run` or more co
 above `least`. Two plans give the same rows:
 
 `by_blocks` joins corpus with corpus. The midpoint of two unit vectors with cosine c is at most r = sqrt(2 - 2c) / 2 away
-from either. So with planes in orthogonal directions, each vector is listed under every pattern of sides that points
-within r of it can have: a side flips only if its squared distance to that plane, summed over the flipped ones, is r * r
-at most. Both vectors of a pair are listed under their midpoint's pattern, so no match is lost, while few others share one.
-The planes, along the main axes of a bounded sample, are dealt into groups of as many as the number of vectors calls for:
-in one of g groups the midpoint is r / sqrt(g) away at most, so patterns of a group are listed for that reach. What shares a pattern is
-first compared along those axes (`HEAD` numbers that travel with the ids), and only what is left by whole vectors. Equal
-vectors are one until the end, and vectors aren't shuffled with the patterns.
-
-Items with equal windows throughout are one item there, so whole copies aren't paired with each other.
+from either. So each vector is listed under every cell within r of it, in partition trees along the main axes of a bounded sample
+(`partition_tree`). Both vectors of a pair are listed under their midpoint's cell, so no match is lost, while few others share
+one. How many trees and how deep is decided by counting what the sample's own vectors would be listed under and compared with.
+What shares a cell is first compared along the main axes (`HEAD` numbers that travel with the ids), and only what is left by whole
+vectors. Equal vectors are one until the end, and vectors aren't shuffled with the cells.
 
 `by_matrix` is for few candidates: their windows are sent to the table's partitions, which take matrix products of `ROWS`
 windows. The number of windows is checked; beyond the bound `by_blocks` takes over.
@@ -31,9 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine
+from .partition_tree import cells, plan
 from .settled import settled
 
-LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS = 0.985, 3, 20_000, 2_000, 8, 512
+LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS = 0.985, 3, 20_000, 8_192, 8, 512
 
 
 def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str = "pcm_sha256") -> DataFrame:
@@ -42,25 +39,10 @@ def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str =
     return candidates.select(F.col(key).alias("candidate"), digest).join(known, digest).select("candidate", "exact_duplicate_of")
 
 
-def planes(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(axes, offsets): the n main axes of the SAMPLE vectors with the least hashes, and where the planes cut them."""
-    rows = vectors.orderBy("h1", "h2").limit(SAMPLE).select("vec").collect()
-    x = np.array([r["vec"] for r in rows], dtype=np.float64)
-    mean = x.mean(axis=0)
-    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
-    axes = axes[:, ::-1][:, :n].T
-    return axes, axes @ mean
-
-
-def patterns(places: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, pattern) of every vector and pattern of sides within reach. places: signed distances to the planes."""
-    owner, pattern, left = np.arange(len(places)), np.zeros(len(places), dtype=np.int64), np.full(len(places), reach * reach)
-    for k in range(places.shape[1]):
-        side, cost = (places[owner, k] >= 0).astype(np.int64) << k, places[owner, k] ** 2
-        flips = np.flatnonzero(cost <= left)
-        owner, left = np.concatenate([owner, owner[flips]]), np.concatenate([left, left[flips] - cost[flips]])
-        pattern = np.concatenate([pattern | side, pattern[flips] | side[flips] ^ 1 << k])
-    return owner, pattern
+def sampled(vectors: DataFrame, n: int) -> np.ndarray:
+    """About SAMPLE of the n vectors, those with the least hashes."""
+    some = vectors if n <= SAMPLE else vectors.filter(F.col("h1") < F.lit(int((SAMPLE / n - 0.5) * 2**64)))
+    return np.array([r["vec"] for r in sorted(some.select("h1", "h2", "vec").collect())], dtype=np.float64)
 
 
 def _distinct(windows: DataFrame) -> DataFrame:
@@ -79,29 +61,51 @@ def near_windows(a: DataFrame, b: DataFrame, dim: int, least: float = LEAST) ->
     if not n:
         return a.select("candidate", "i").join(b.select("item", "j", F.lit(0.0).alias("cos")), F.lit(False)).select("candidate", "item", "i", "j", "cos")
     width = float(np.sqrt(2 - 2 * least)) + 0.0005  # slack for float32
-    each = min(dim, n.bit_length() + 5)
-    groups = min(4, max(1, dim // each))
-    axes, offsets = planes(vectors, groups * each)
-    head = [f"p{k}" for k in range(min(HEAD, len(axes)))]
-
-    def listed(batches):
-        import pyarrow as pa
+    found = plan(sampled(vectors, n), n, width / 2)
+    head = [f"p{k}" for k in range(min(HEAD, len(found.axes)))]
 
+    def placed(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(at, 2_000)
-                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-                places = x @ axes.T - offsets
-                found = [patterns(places[:, g::groups], width / 2 / groups**0.5) for g in range(groups)]
-                owner, pattern = np.concatenate([o for o, _ in found]), np.concatenate([p << 2 | g for g, (_, p) in enumerate(found)])
-                rows = batch.select(["h1", "h2", "in_a", "in_b"]).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pattern), *(pa.array(places[owner, k].astype(np.float32)) for k in range(len(head)))], names=["h1", "h2", "in_a", "in_b", "pattern", *head])
-
-    keyed = vectors.mapInArrow(listed, "h1 long, h2 long, in_a boolean, in_b boolean, pattern long, " + ", ".join(f"{p} float" for p in head))
-    left = keyed.filter("in_a").select("pattern", F.col("h1").alias("a1"), F.col("h2").alias("a2"), *(F.col(p).alias(f"a_{p}") for p in head))
-    right = keyed.filter("in_b").select("pattern", F.col("h1").alias("b1"), F.col("h2").alias("b2"), *(F.col(p).alias(f"b_{p}") for p in head))
-    gap = reduce(lambda x, y: x + y, ((F.col(f"a_{p}") - F.col(f"b_{p}")) * (F.col(f"a_{p}") - F.col(f"b_{p}")) for p in head))
-    pairs = left.join(right, "pattern").filter(gap <= width * width).select("a1", "a2", "b1", "b2").distinct()
+                yield batch, found.places(batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1))
+
+    def levels(batches):
+        import pyarrow as pa
+
+        for _, places in placed(batches):
+            for g, tree in enumerate(found.trees):
+                level = np.unique(cells(tree, found.of_group(places, g), found.depth, found.limit)[0])
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g] * len(level), pa.int32()), "level": pa.array(level, pa.int32())})
+
+    taken = {tuple(r) for r in vectors.select("vec").mapInArrow(levels, "g int, level int").distinct().collect()}  # a few for each tree
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch, places in placed(batches):
+            owners, keys, owns = [], [], []
+            for g, tree in enumerate(found.trees):
+                level, by_level = cells(tree, found.of_group(places, g), found.depth, found.limit)
+                for d, (owner, cell) in by_level.items():
+                    if (g, d) in taken:
+                        keep = level[owner] >= d
+                        owners.append(owner[keep])
+                        keys.append(cell[keep] << 2 | g)
+                        owns.append(level[owner[keep]] == d)
+            owner = np.concatenate(owners)
+            rows = batch.select(["h1", "h2", "in_a", "in_b"]).take(pa.array(owner))
+            near = [pa.array(places[owner, k].astype(np.float32)) for k in range(len(head))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(keys)), pa.array(np.concatenate(owns)), *near], names=["h1", "h2", "in_a", "in_b", "cell", "own", *head])
+
+    keyed = vectors.mapInArrow(listed, "h1 long, h2 long, in_a boolean, in_b boolean, cell long, own boolean" + "".join(f", {p} float" for p in head))
+    left = keyed.filter("in_a").select("cell", F.col("own").alias("own_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), *(F.col(p).alias(f"a_{p}") for p in head))
+    right = keyed.filter("in_b").select("cell", F.col("own").alias("own_b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), *(F.col(p).alias(f"b_{p}") for p in head))
+    meeting = left.filter("own_a").join(right, "cell")
+    if len(taken) > len(found.trees):  # some vectors stay at coarser levels, where the others are guests
+        meeting = meeting.unionByName(left.filter("NOT own_a").join(right.filter("own_b"), "cell"))
+    gap = reduce(lambda x, y: x + y, ((F.col(f"a_{p}") - F.col(f"b_{p}")) * (F.col(f"a_{p}") - F.col(f"b_{p}")) for p in head), F.lit(0.0))
+    pairs = meeting.filter(gap <= width * width).select("a1", "a2", "b1", "b2").distinct()
     u = vectors.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("vec").alias("u"))
     v = vectors.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("vec").alias("v"))
     near = pairs.join(u, ["a1", "a2"]).join(v, ["b1", "b2"]).withColumn("cos", cosine(F.col("u"), F.col("v"))).filter(F.col("cos") >= least).select("a1", "a2", "b1", "b2", "cos")

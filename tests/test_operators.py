@@ -364,23 +364,6 @@ def test_nearest_matches_brute_force(spark):
     assert shown["c1"]["closest_item"] == want["c1"][0] and not shown["c1"]["suspicious"] and shown["zz"]["closest_item"] is None
 
 
-def test_patterns_share_the_midpoint():
-    """Any two points within the width share a pattern, and few of those farther apart do."""
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    x = rng.normal(scale=0.125, size=(800, 12))
-    step = rng.normal(size=x.shape)
-    y = x + step / np.linalg.norm(step, axis=1, keepdims=True) * rng.uniform(0, 0.17, (800, 1))
-    of = lambda z: [set() for _ in z]
-    a, b = of(x), of(y)
-    for own, z in ((a, x), (b, y)):
-        for i, p in zip(*map(np.ndarray.tolist, similarity.patterns(z, 0.085))):
-            own[i].add(p)
-    assert all(p & q for p, q in zip(a, b))
-    assert np.mean([bool(a[i] & b[j]) for i in range(100) for j in range(200, 300)]) < 0.12
-
-
 def test_screen(spark):
     """Exact copies first, then runs; a candidate that is near to nothing is not suspicious."""
     unit = lambda k: [float(i == k) for i in range(6)]
