@@ -173,7 +173,17 @@ def split_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS} SELECT id, row_number() OVER (PARTITION BY duplicate_hash ORDER BY dataset, id) = 1 AS kept FROM corpus")
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.keep_first(corpus(spark, d), "duplicate_hash", ["dataset", "id"]).select("id", "kept")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"), F.sha2("text", 256).alias("duplicate_hash"))
+    return dedup.keep_first(rows, "duplicate_hash", ["dataset", "id"]).select("id", "kept")
+
+
+@query("""WITH h AS (SELECT source AS dataset, sha256(text) AS hash FROM documents), t AS (SELECT * FROM h UNION ALL SELECT * FROM h), n AS (SELECT dataset, hash, count(*) AS n_rows FROM t GROUP BY 1, 2)
+SELECT dataset, hash, n_rows, CASE WHEN hash IS NULL THEN n_rows WHEN dataset = min(dataset) OVER (PARTITION BY hash) THEN 1 ELSE 0 END AS n_kept FROM n""")
+def dedup_equal_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A table that holds every row twice, in an order that tells none of a dataset's copies apart: one of each hash stays."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("dataset"), F.sha2("text", 256).alias("hash"))
+    found = dedup.keep_first(rows.union(rows), "hash", ["dataset"])
+    return found.groupBy("dataset", "hash").agg(F.count("*").alias("n_rows"), F.count_if("kept").alias("n_kept"))
 
 
 def _spanning(group: str) -> str:
