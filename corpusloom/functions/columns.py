@@ -77,7 +77,8 @@ def energy_band(rms: Column) -> Column:
 
 
 def catalogue_path(track_id: Column, suffix: str = "mp3") -> Column:
-    return F.concat(F.lpad(F.floor(track_id / 1000).cast("string"), 3, "0"), F.lit("/"), F.lpad(track_id.cast("string"), 6, "0"), F.lit(f".{suffix}"))
+    """The folder of each thousand, and at least six digits of the id."""
+    return F.when(track_id.isNotNull(), F.format_string("%03d/%06d.%s", F.floor(track_id / 1000), track_id.cast("long"), F.lit(suffix)))
 
 
 def fingerprint(row: Column) -> Column:

@@ -144,6 +144,12 @@ def split_tail(spark: SparkSession, d: str) -> DataFrame:
     return splits.tail(table(spark, d, "documents").select(path.alias("path")), "path")
 
 
+@query("""SELECT source AS path, CASE WHEN row_number() OVER (ORDER BY source DESC) <= least(greatest(1, round_even(count(*) OVER () * 0.1, 0)), count(*) OVER () - 1) THEN 'val' ELSE 'train' END AS split FROM documents""")
+def split_tail_ties(spark: SparkSession, d: str) -> DataFrame:
+    """By source alone, so that the cut runs through equal rows."""
+    return splits.tail(table(spark, d, "documents").select(F.col("source").alias("path")), "path")
+
+
 @query(f"""WITH {CORPUS} SELECT duplicate_hash AS key, count(DISTINCT split)::BIGINT AS n_splits, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM corpus GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def group_leakage(spark: SparkSession, d: str) -> DataFrame:
     return validate.leaking(corpus(spark, d), F.col("duplicate_hash")).withColumn("splits", F.array_join("splits", ","))
@@ -366,17 +372,17 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH p AS (SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN '/data/Track' || lpad(doc_id::VARCHAR, 5, '0') || '/stems/S01.wav' WHEN 1 THEN '/data/' || source || '/' || ['mix', 'Audio', 'song'][doc_id % 3 + 1] || '.wav' WHEN 2 THEN '/data/' || lang || '/' || source || '/take ' || doc_id || '.v2.wav' WHEN 3 THEN '/data/Track1/Track' || doc_id || '/x/mix.wav' ELSE '/data/Track' || doc_id || '.wav' END AS path,
  CASE WHEN n_chars % 3 = 0 THEN source ELSE lang || '/' || source || '/song/vocal.wav' END AS voice FROM documents), x AS (SELECT *, string_split(path, '/') AS parts, list_filter(string_split(path, '/')[:-2], lambda d: regexp_matches(d, '^Track\d+$'))[-1] AS numbered FROM p)
-SELECT doc_id, CASE WHEN doc_id < 1000 THEN lpad((doc_id // 1000)::VARCHAR, 3, '0') ELSE lpad((doc_id // 1000)::VARCHAR, 3, '0') END || '/' || lpad(doc_id::VARCHAR, 6, '0') || '.mp3' AS path,
+SELECT doc_id, printf('%03d/%06d.mp3', (doc_id % 3 * 1234567 + doc_id) // 1000, doc_id % 3 * 1234567 + doc_id) AS path,
  CASE WHEN numbered IS NOT NULL THEN numbered WHEN lower(regexp_replace(parts[-1], '\.[^.]*$', '')) IN ('mix', 'audio', 'song') THEN parts[-2] ELSE replace(regexp_replace(substr(path, 7), '\.[^./]*$', ''), '/', '__') END AS track,
  CASE WHEN len(string_split(voice, '/')) >= 4 THEN string_split(voice, '/')[-4] || '__' || string_split(voice, '/')[-3] END AS singer FROM x""")
 def path_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of five shapes, of documents' names and numbers."""
+    """Paths of five shapes, of documents' names and numbers, some of seven digits."""
     i, n = F.col("doc_id"), F.col("n_chars") % 5
     name, path = i.cast("string"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     stem = F.element_at(F.array(F.lit("mix"), F.lit("Audio"), F.lit("song")), (i % 3).cast("int") + 1)
     shapes = F.when(n == 0, path("/data/Track", F.lpad(name, 5, "0"), "/stems/S01.wav")).when(n == 1, path("/data/", F.col("source"), "/", stem, ".wav")).when(n == 2, path("/data/", F.col("lang"), "/", F.col("source"), "/take ", name, ".v2.wav")).when(n == 3, path("/data/Track1/Track", name, "/x/mix.wav")).otherwise(path("/data/Track", name, ".wav"))
     voice = F.when(F.col("n_chars") % 3 == 0, F.col("source")).otherwise(F.concat_ws("/", "lang", "source", F.lit("song"), F.lit("vocal.wav")))
-    return table(spark, d, "documents").select("doc_id", columns.catalogue_path(i).alias("path"), columns.track_from_path(shapes, "/data").alias("track"), columns.singer_from_path(voice).alias("singer"))
+    return table(spark, d, "documents").select("doc_id", columns.catalogue_path(i % 3 * 1_234_567 + i).alias("path"), columns.track_from_path(shapes, "/data").alias("track"), columns.singer_from_path(voice).alias("singer"))
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'medium' WHEN r < 0.08 THEN 'low' WHEN r > 0.22 THEN 'high' ELSE 'medium' END AS band FROM (SELECT doc_id, n_chars, (n_chars % 100) / 300.0 AS r FROM documents)""")
