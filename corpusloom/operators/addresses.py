@@ -1,6 +1,6 @@
 """Addresses of rows: the file that a row lies in and its place there, by which equal rows differ.
 
-A choice among wide rows is made on narrow ones (keys, orders, addresses); what it rejects becomes a bitmap for each file, and a second
+A choice among wide rows is made on narrow ones (keys, orders, addresses); what it keeps or rejects becomes a bitmap for each file, and a second
 scan of the same files applies the bitmaps where the rows are read. So no wide row is shuffled. Bitmaps are
 broadcast while they are small (BOUND words of 64 rows). Beyond that the files are dealt into groups whose bitmaps are;
 each group's result is written before the next one's bitmaps are sent.
@@ -35,26 +35,26 @@ def addressed(df: DataFrame) -> DataFrame:
         return addressed(settled(df, "addressed"))
 
 
-def flagged(rows: DataFrame, rejected: DataFrame, bound: int = BOUND) -> DataFrame:
-    """The rows of `addressed` with `kept`: false for the addresses (file, place) in `rejected`."""
+def flagged(rows: DataFrame, named_rows: DataFrame, bound: int = BOUND, keeps: bool = False) -> DataFrame:
+    """The rows of `addressed` with `kept`: false for the named addresses (file, place), or true for them alone."""
     bit = F.expr(f"shiftleft(1L, cast(place % {WORD} AS int))")
-    words = rejected.groupBy("file", F.floor(F.col("place") / BUCKET).alias("bucket"), (F.floor(F.col("place") / WORD) % (BUCKET // WORD)).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    words = settled(words, "rejected-rows")
+    words = named_rows.groupBy("file", F.floor(F.col("place") / BUCKET).alias("bucket"), (F.floor(F.col("place") / WORD) % (BUCKET // WORD)).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = settled(words, "named-rows")
     n = words.count()
     if n <= bound:
-        return _applied(rows, words)
+        return _applied(rows, words, keeps)
     groups = -(-n // bound) * 2
     group = lambda column: F.pmod(F.xxhash64(F.lit("group"), column), F.lit(groups))
-    parts = [settled(_applied(rows.filter(group(F.col("file")) == g), words.filter(group(F.col("file")) == g)), "flagged-rows") for g in range(groups)]
+    parts = [settled(_applied(rows.filter(group(F.col("file")) == g), words.filter(group(F.col("file")) == g), keeps), "flagged-rows") for g in range(groups)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _applied(rows: DataFrame, words: DataFrame) -> DataFrame:
+def _applied(rows: DataFrame, words: DataFrame, keeps: bool) -> DataFrame:
     maps = words.groupBy("file", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
     placed = rows.withColumn("bucket", F.floor(F.col("place") / BUCKET)).join(F.broadcast(maps), ["file", "bucket"], "left")
     word = (F.floor(F.col("place") / WORD) % (BUCKET // WORD)).cast("int")
     bits = F.coalesce(F.try_element_at("words", word), F.lit(0).cast("long"))
-    return placed.withColumn("kept", F.getbit(bits, (F.col("place") % WORD).cast("int")) == 0).drop("bucket", "words")
+    return placed.withColumn("kept", F.getbit(bits, (F.col("place") % WORD).cast("int")) == int(keeps)).drop("bucket", "words")
 
 
 def others(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import numbered, range_cell
+from .settled import settled
+
+#: Requests of a client in one block of the replay.
+BLOCK = 65_536
 
 
 def codebook_usage(codes: DataFrame, codebook: str, code: str, size: int) -> DataFrame:
@@ -129,10 +133,17 @@ def bootstrap(deltas: DataFrame, column: str = "delta", iterations: int = 10_000
     return spark.createDataFrame([(n, mean, low, high, wins, n - wins, verdict)], "n long, mean double, low double, high double, wins long, losses long, verdict string")
 
 
-def running(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """rows with the highest value so far and the last that isn't null."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"peak": F.max(value).over(w), "latest": F.last(value, ignorenulls=True).over(w)})
+def running(rows: DataFrame, key: str, order: list[str], value: str, cells: int = 256) -> DataFrame:
+    """rows with the highest value so far and the last that isn't null. A segmented scan: within range cells of (key, order), and
+    from the maxima and last values of a key's earlier cells, of which it has `cells` at most. So a key may have any number of rows."""
+    placed = rows.withColumn("__cell", range_cell(rows, [key, *order], cells))
+    found = placed.groupBy(key, "__cell").agg(F.max(value).alias("__max"), F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
+    earlier = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = found.select(F.col(key).alias("__key"), F.col("__cell").alias("__at"), F.max("__max").over(earlier).alias("__max"), F.last("__last", ignorenulls=True).over(earlier).alias("__last"))
+    w = Window.partitionBy(key, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({"peak": F.max(value).over(w), "latest": F.last(value, ignorenulls=True).over(w)})
+    joined = own.join(before, own[key].eqNullSafe(F.col("__key")) & (F.col("__cell") == F.col("__at")))
+    return joined.withColumns({"peak": F.greatest("peak", "__max"), "latest": F.coalesce("latest", "__last")}).drop("__key", "__cell", "__at", "__max", "__last")
 
 
 def health(scalars: DataFrame, series: str, value: str) -> DataFrame:
@@ -178,28 +189,53 @@ def breadth(prompts: DataFrame, per_category: int = 3, held_out: int = 10, held_
     return whole.withColumn("ok", F.col("ids_unique") & (F.col("smallest_category") >= per_category) & (F.col("held_out") >= held_out) & (F.col("held_categories") >= held_categories) & (F.col("other_languages") >= languages))
 
 
-def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, daily: int) -> DataFrame:
+def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, daily: int, block: int = BLOCK) -> DataFrame:
     """log with `accepted`: at most per_minute accepted in any 60 s, and a daily quota that runs from a client's first
-    accepted request. Only accepted requests count, so the rule is sequential: one pass over each client's requests, in
-    order, whose state is per_minute times at most: a client's requests stream through one task, a batch at a time. A
-    request without a time is not accepted. log: client, ts, event_id."""
+    accepted request. Only accepted requests count, so the rule goes from one accepted request to its successor: the first
+    that neither the per_minute accepted last nor the quota bars. Requests are sorted by ranges and cut into blocks, so a client of any
+    size lies in many tasks; one task then leaps through the client's blocks in order, from successor to successor. It sees a
+    time (8 bytes) a request, a block at a time, and takes a step for each accepted one. A request without a time
+    is not accepted. log: client, ts, event_id."""
+    order = [client, ts, "event_id", "__salt"]
+    dealt = log.withColumn("__salt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("__salt")
+
+    def cut(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    def replay(batches):
+        part, number, last, n = TaskContext.get().partitionId(), -1, None, block
+        for b in batches:
+            blocks, places = [], []
+            for who in b.column(b.schema.get_field_index(client)).to_pylist():
+                if n >= block or who != last:
+                    number, last, n = number + 1, who, 0
+                blocks.append(number)
+                places.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()), pa.array(places, pa.int32())], names=[*b.schema.names, "__part", "__block", "__place"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    rows = settled(dealt.mapInArrow(cut, f"{fields}, __part int, __block int, __place int"), "requests")
+    timed = rows.filter(F.col(ts).isNotNull()).groupBy(F.col(client).alias("client"), "__part", "__block")
+    times = timed.agg(F.array_sort(F.collect_list(F.struct("__place", F.unix_micros(ts).alias("us")))).alias("each"))
+    blocks = times.select("client", "__part", "__block", F.transform("each", lambda x: x["__place"]).alias("places"), F.transform("each", lambda x: x["us"]).alias("times"))
+
+    def leap(batches):
         import pyarrow as pa
 
-        from .ratelimit import Admitted, admit
+        from .ratelimit import Admitted, leaps
 
-        last, state = None, Admitted()
+        last, state = None, None
         for b in batches:
-            accepted = []
-            for who, us in zip(b.column(client).to_pylist(), b.column(ts).cast(pa.int64()).to_pylist()):
-                if who != last:
+            hits: list[tuple[int, int, int]] = []
+            for k, (who, part, number) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                if state is None or who != last:
                     last, state = who, Admitted()
-                ok = False
-                if us is not None:
-                    state, ok = admit(state, us, per_minute, daily)
-                accepted.append(ok)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], names=[*b.schema.names, "accepted"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields) + ", accepted boolean"
-    return log.repartition(client).sortWithinPartitions(client, ts, "event_id").mapInArrow(replay, schema)
+                places, us = (b.column(c)[k].values.to_numpy() for c in (3, 4))
+                state, found = leaps(state, us, per_minute, daily)
+                hits += [(part, number, int(places[x])) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int32()) for k in range(3)], names=["__part", "__block", "__place"])
+
+    accepted = blocks.repartition("client").sortWithinPartitions("client", "__part", "__block").mapInArrow(leap, "__part int, __block int, __place int")
+    at = ["__part", "__block", "__place"]
+    return rows.join(accepted.withColumn("accepted", F.lit(True)), at, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop(*at)

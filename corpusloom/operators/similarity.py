@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine
 from .partition_tree import cells, plan
+from .select import range_cell
 from .settled import settled
 
 LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS = 0.985, 3, 20_000, 8_192, 8, 512
@@ -231,10 +232,26 @@ def screen(candidates: DataFrame, found: DataFrame, copies: DataFrame, closest:
     return joined.select("candidate", "exact_duplicate_of", F.when(copy, F.col("exact_duplicate_of")).otherwise(F.col("closest_item")).alias("closest_item"), F.coalesce("matched_windows", F.lit(0)).alias("matched_windows"), F.when(copy, 1.0).otherwise(F.col("max_cosine")).alias("max_cosine"), (copy | F.coalesce("suspicious", F.lit(False))).alias("suspicious"))
 
 
-def longest_run(rows: DataFrame, keys: list[str], order: str, condition: Column) -> DataFrame:
-    """keys with the longest and the leading run of rows where the condition holds."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = rows.withColumns({"__hit": F.coalesce(condition, F.lit(False)), "__n": F.row_number().over(w)})
-    islands = marked.withColumn("__island", F.col("__n") - F.sum(F.col("__hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    each = islands.groupBy(*keys, "__island").agg(F.sum(F.col("__hit").cast("long")).alias("run"))
-    return each.groupBy(*keys).agg(F.max("run").alias("longest"), F.max(F.when(F.col("__island") == 0, F.col("run")).otherwise(0)).alias("leading"))
+def longest_run(rows: DataFrame, keys: list[str], order: str, condition: Column, cells: int = 256) -> DataFrame:
+    """keys with the longest and the leading run of rows where the condition holds. A segmented scan: range cells of (keys, order)
+    give their length and their leading, trailing and longest run, and a key's cells (`cells` at most) are merged in order."""
+    marked = rows.select(*keys, F.col(order).alias("__o"), F.coalesce(condition, F.lit(False)).alias("__hit"))
+    placed = marked.withColumn("__cell", range_cell(marked, [*keys, "__o"], cells))
+    own = [*keys, "__cell"]
+    w = Window.partitionBy(*own).orderBy("__o")
+    islands = placed.withColumn("__n", F.row_number().over(w)).withColumn("__island", F.col("__n") - F.sum(F.col("__hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = islands.groupBy(*own, "__island").agg(F.sum(F.col("__hit").cast("long")).alias("run"), F.count("*").alias("m"))
+    last = F.max_by("run", "__island")
+    blocks = each.groupBy(*own).agg(F.sum("m").alias("n"), F.max("run").alias("longest"), F.max(F.when(F.col("__island") == 0, F.col("run")).otherwise(0)).alias("leading"), last.alias("trailing"))
+    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("n", "longest", "leading", "trailing")))
+
+    def merged(a: Column, b: Column) -> Column:
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"), F.greatest(a["longest"], b["longest"], a["trailing"] + b["leading"]).alias("longest"),
+            F.when(a["leading"] == a["n"], a["n"] + b["leading"]).otherwise(a["leading"]).alias("leading"),
+            F.when(b["trailing"] == b["n"], b["n"] + a["trailing"]).otherwise(b["trailing"]).alias("trailing"),
+        )
+
+    of_key = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__cell", "n", "longest", "leading", "trailing"))).alias("cells"))
+    whole = of_key.withColumn("all", F.aggregate("cells", start, merged))
+    return whole.select(*keys, F.col("all.longest").alias("longest"), F.col("all.leading").alias("leading"))
