@@ -217,7 +217,7 @@ def admitted_requests(log: DataFrame, client: str, ts: str, per_minute: int, dai
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
     rows = settled(dealt.mapInArrow(cut, f"{fields}, __part int, __block int, __place int"), "requests")
     timed = rows.filter(F.col(ts).isNotNull()).groupBy(F.col(client).alias("client"), "__part", "__block")
-    times = timed.agg(F.array_sort(F.collect_list(F.struct("__place", F.unix_micros(ts).alias("us")))).alias("each"))
+    times = timed.agg(F.array_sort(F.collect_list(F.struct("__place", F.unix_micros(F.col(ts).cast("timestamp")).alias("us")))).alias("each"))
     blocks = times.select("client", "__part", "__block", F.transform("each", lambda x: x["__place"]).alias("places"), F.transform("each", lambda x: x["us"]).alias("times"))
 
     def leap(batches):

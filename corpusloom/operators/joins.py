@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 
 def available(catalogue: DataFrame, listing: DataFrame, key: str = "track_id") -> DataFrame:
     """Catalogue rows whose file exists (existence only, so a listing that repeats a file changes nothing)."""
@@ -56,13 +60,12 @@ def resolved_controls(requests: DataFrame, capabilities: DataFrame, limits: Data
     return joined.select(key, "model", F.transform("applied", lambda a: F.concat_ws("=", a["control"], a["support"])).alias("applied"), F.concat(dropped, more).alias("warnings"))
 
 
-def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4, few: int = 500, held: int = 32 << 20) -> DataFrame:
+def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int = 4, few: int = 100_000, held: int = 32 << 20) -> DataFrame:
     """Pairs (key, needle_key) where the text contains the needle. Any text that contains a needle holds the needle's
     words that are whole within it, so a needle is looked for only where the one of its grams (of `gram` consecutive words)
     stands that is rarest among the needles' grams. Needles of `held` bytes or fewer are broadcast, and every text is
     scanned once where it lies: only grams that begin with the first word of a needle's gram are looked up. More needles
-    are joined with the texts on their grams, and then verified. Needles with too few whole words are looked for by shorter
-    grams, those without a whole word (a lookup by word can't find them) in every text."""
+    are joined with the texts on their grams, and then verified. Needles with too few whole words are spotted by an automaton."""
     words = F.split(F.col(needle), " ")
     inner = needles.select(needle_key, needle).withColumn("__w", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))  # the first and last word may be cut
     long, short = inner.filter(F.size("__w") >= gram), inner.filter(F.size("__w") < gram)
@@ -78,15 +81,58 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, text: str, needle
         found = split.select(key, F.explode(F.array_distinct(grams(F.col("__w")))).alias("__g")).join(rare.select("__g", needle_key), "__g").select(key, needle_key).distinct()
         checked = found.join(texts.select(key, text), key).join(needles.select(needle_key, needle), needle_key).filter(F.col(text).contains(F.col(needle)))
         out = checked.select(key, needle_key)
-    short = short.select(needle_key, needle)
-    n_short = short.count()
-    if n_short > few and gram > 1:
-        return out.union(containing(texts, short, key, text, needle_key, needle, gram // 2, few, held))
-    blocks = -(-n_short // few)
-    for k in range(blocks):
-        block = F.broadcast(short.filter(F.pmod(F.xxhash64(needle_key, needle), F.lit(blocks)) == k))
-        out = out.union(texts.join(block, F.col(text).contains(F.col(needle))).select(key, needle_key))
-    return out
+    return out.union(spotted(texts, short, key, text, needle_key, needle, few))
+
+
+def spotted(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str, few: int = 100_000, shard: int = 8 << 20) -> DataFrame:
+    """Pairs (key, needle_key) where the text contains the needle, whatever the needle: an Aho-Corasick automaton finds all needles in
+    one pass over each text, where it lies. Needles are dealt into shards of about `few` needles and `shard` bytes, each broadcast by itself;
+    with several, a shard's pairs are written before the next one is sent."""
+    some = needles.select(needle_key, needle).filter(F.col(needle).isNotNull())
+    n, size = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(needle)), F.lit(0))).first()
+    shards = max(1, -(-n // few), -(-size // shard))
+    found = []
+    for k in range(shards):
+        part = some.filter(F.pmod(F.xxhash64(F.lit("shard"), needle_key, needle), F.lit(shards)) == k)
+        pairs, held = _spotted(texts, part, key, text, needle_key, needle)
+        if shards > 1:
+            pairs = settled(pairs, "spotted")
+            held.unpersist()
+        found.append(pairs)
+    return reduce(DataFrame.union, found)
+
+
+def _spotted(texts: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str):
+    by_needle: dict[str, list] = {}
+    for r in needles.collect():  # a shard
+        by_needle.setdefault(r[needle], []).append(r[needle_key])
+    shared = texts.sparkSession.sparkContext.broadcast(by_needle)
+    kinds = [(c, d.schema[c].dataType) for c, d in ((key, texts), (needle_key, needles))]
+
+    def scan(batches):
+        import ahocorasick
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        lists = list(shared.value.items())
+        automaton = ahocorasick.Automaton()
+        for k, (word, _) in enumerate(lists):
+            if word:
+                automaton.add_word(word, k)
+        automaton.make_automaton()
+        everywhere = [k for k, (word, _) in enumerate(lists) if not word]
+        for b in batches:
+            at, hits = [], []
+            for row, x in enumerate(b.column(1).to_pylist()):
+                if x is None:
+                    continue
+                mine = {k for _, k in automaton.iter(x)} if len(automaton) else set()
+                keys = [i for k in sorted(mine.union(everywhere)) for i in lists[k][1]]
+                at += [row] * len(keys)
+                hits += keys
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, to_arrow_type(kinds[1][1]))], names=[key, needle_key])
+
+    return texts.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(scan, ", ".join(f"`{c}` {k.simpleString()}" for c, k in kinds)), shared
 
 
 def _held_containing(texts: DataFrame, rare: DataFrame, key: str, text: str, needle_key: str, needle: str, gram: int) -> DataFrame:

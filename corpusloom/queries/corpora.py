@@ -346,6 +346,17 @@ def leak_guard(spark: SparkSession, d: str) -> DataFrame:
     return joins.containing(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")), "doc_id", "text", "item_id", "needle")
 
 
+@query("""WITH n AS (SELECT DISTINCT split_part(split_part(c_name, '#', 2), ' ', 1)[-4:] AS needle FROM customer UNION SELECT substr(n_name, 1, 3) FROM nation UNION SELECT DISTINCT list_extract(string_split(text, ' '), 3) FROM benchmark WHERE len(string_split(text, ' ')) >= 3)
+SELECT needle, count(*) AS n_documents FROM n JOIN documents ON contains(text, needle) GROUP BY 1""")
+def spotted_words(spark: SparkSession, d: str) -> DataFrame:
+    """Thousands of needles of a word or less: ends of customers' numbers, beginnings of nations, third words of benchmark items."""
+    words = F.split("text", " ")
+    needles = table(spark, d, "customer").select(F.substring(F.substring_index("c_name", "#", -1), -4, 4).alias("needle"))
+    needles = needles.union(table(spark, d, "nation").select(F.substring("n_name", 1, 3))).union(table(spark, d, "benchmark").filter(F.size(words) >= 3).select(F.element_at(words, 3))).distinct()
+    pairs = joins.spotted(table(spark, d, "documents"), needles.withColumn("n", F.col("needle")), "doc_id", "text", "n", "needle")
+    return pairs.groupBy(F.col("n").alias("needle")).agg(F.count("*").alias("n_documents"))
+
+
 @query(f"""WITH {CORPUS}, e AS (SELECT lang, split, min(licence) AS a, max(licence) AS b FROM corpus GROUP BY ALL), f AS (SELECT lang, count(*) AS have, min(a) AS source, max(b) AS other FROM e GROUP BY 1), n AS (SELECT count(DISTINCT split) AS n FROM corpus)
 SELECT lang, CASE WHEN have >= n AND source = other THEN source END AS source, CASE WHEN have < n THEN 'candidate missing' WHEN source <> other THEN 'sources differ' END AS reason FROM f, n""")
 def same_source_matrix(spark: SparkSession, d: str) -> DataFrame:

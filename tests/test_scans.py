@@ -83,3 +83,26 @@ def test_one_hot_client_in_a_hundred_blocks(spark):
         own = sorted((us, n) for c, us, n in rows if c == who and us is not None)
         assert [found[n] for _, n in own] == plain([us for us, _ in own], 2, 60)[1]
     assert experiments.admitted_requests(log.filter("false"), "client", "ts", 2, 60).count() == 0
+
+
+def test_many_short_needles(spark):
+    """100,000 needles of one word, in shards, against brute force; no nested-loop join."""
+    from corpusloom.operators import joins
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(200_000)}" for _ in range(30))) for i in range(40)] + [(98, None), (99, "")]
+    needles = [(n, f"w{n}") for n in range(100_000)] + [(200_000, ""), (200_001, None), (200_002, "w17"), (200_003, " w5")]
+    t, n = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(needles, "n int, needle string")
+    known = {x: [] for _, x in needles}
+    for k, x in needles:
+        known[x].append(k)
+    want = set()
+    for i, text in docs:
+        if text is not None:
+            cuts = {text[a:b] for a in range(len(text) + 1) for b in range(a, min(len(text), a + 8) + 1)}
+            want |= {(i, k) for c in cuts if c in known for k in known[c]}
+    for few in (1_000_000, 40_000):
+        found = joins.containing(t, n, "id", "text", "n", "needle", few=few)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
