@@ -51,7 +51,7 @@ class ToxicityModel:
 
     def sentence_scores(self, text: str) -> np.ndarray:
         cache, out = self.cache, []
-        if len(cache) > 500_000:
+        if len(cache) > 150_000:
             cache.clear()
         for s in SENTENCE.split(text.lower()):
             words = TOKEN.findall(s)
