@@ -14,7 +14,6 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Words are runs of anything but ASCII white space.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -74,19 +73,6 @@ def of_row(name: str) -> Column:
     return F.col("row").getField(name)
 
 
-def _hashable(column: Column, kind) -> Column:
-    def has_map(t) -> bool:
-        return isinstance(t, MapType) or isinstance(t, ArrayType) and has_map(t.elementType) or isinstance(t, StructType) and any(has_map(f.dataType) for f in t)
-
-    return F.to_json(F.struct(column)) if has_map(kind) else column
-
-
-def row_hashes(df: DataFrame) -> tuple[Column, Column]:
-    """Two 64-bit hashes over all columns of df, by which unequal rows differ."""
-    columns = [_hashable(named(f.name), f.dataType) for f in df.schema]
-    return F.xxhash64(*columns), F.xxhash64(F.lit("again"), *columns)
-
-
 def smallest(df: DataFrame, order: Column, n: int) -> DataFrame:
     """The n rows that come first by `order`, a hash (long). Rows above a cut are left out before the sort, so that about
     2 n rows meet in one place, however many partitions hold them."""

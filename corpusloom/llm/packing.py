@@ -6,7 +6,7 @@ column generation: a knapsack by dynamic programming prices new patterns. The so
 is left over is packed by first fit, and the patterns' places are given to the rests by their rank within a class.
 
 What reaches the driver is counts of (cell, class), at most `MAX_CELLS` * 2048 / unit of them. Ranks are row
-numbers within cells (hash of the id) plus the counts of earlier cells, so no class or key lands in one task.
+numbers within cells (dealt by address) plus the counts of earlier cells, so no class, key or repeated row lands in one task.
 Ids are never shuffled: a piece is (document, start, length), and `sequences` joins ids to places if wanted.
 
 Defined cases: a null or empty text is a document of the end id alone; an empty table gives an empty plan;
@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell, texts
+from ..operators.addresses import addressed
+from .common import cell, named, of_row, texts
 from .wordbpe import word_ids
 
 LENGTH, UNIT, END_ID, MAX_CELLS = 2048, 16, 1, 4096
@@ -137,16 +138,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: s
                     out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    named = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(run, f"`{key}` {key_type}, doc_tokens long, crcs array<long>" + ", ids array<int>" * with_ids)
+    own = docs.select(named(key).alias("__key"), named(text).cast("string").alias("text"))
+    return own.mapInArrow(run, f"`{key}` {key_type}, doc_tokens long, crcs array<long>" + ", ids array<int>" * with_ids)
 
 
 def packed(tokens: DataFrame, key: str = "doc_id", unit: int = UNIT, cells: int | None = None) -> DataFrame:
-    """tokens: a written table of key, doc_tokens and crcs. One row for each piece."""
+    """tokens: a written table of key, doc_tokens and crcs. One row for each piece. Cells go by the rows' addresses, so equal
+    rows are spread over them."""
     n = tokens.count() if cells is None else 0
     cells = cells or min(MAX_CELLS, max(32, n // 100_000))
     rest = F.col("doc_tokens") % LENGTH
-    rows = tokens.select(key, "doc_tokens", "crcs", cell(cells, key, "doc_tokens", "crcs").alias("cell"), F.ceil(rest / unit).cast("int").alias("class"), F.floor(F.col("doc_tokens") / LENGTH).cast("long").alias("whole"))
+    own = addressed(tokens).select(of_row(key).alias("key"), of_row("doc_tokens").alias("doc_tokens"), of_row("crcs").alias("crcs"), "file", "place")
+    rows = own.select("key", "doc_tokens", "crcs", "file", "place", cell(cells, "file", "place").alias("cell"), F.ceil(rest / unit).cast("int").alias("class"), F.floor(F.col("doc_tokens") / LENGTH).cast("long").alias("whole"))
     counts = rows.groupBy("cell", "class").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).toPandas().sort_values(["class", "cell"])
     demand = {int(c): int(x) for c, x in counts[counts["class"] > 0].groupby("class")["n"].sum().items()}
     places = Places.of(cutting_stock(demand, LENGTH // unit))
@@ -154,7 +157,7 @@ def packed(tokens: DataFrame, key: str = "doc_id", unit: int = UNIT, cells: int
     before = {(int(a), int(b)): int(x) for a, b, x in zip(counts["cell"], counts["class"], counts["before"])}
     by_cell = counts.groupby("cell")["whole"].sum().sort_index()
     whole_before = {int(c): int(x) for c, x in (by_cell.cumsum() - by_cell).items()}
-    order = [key, "doc_tokens", F.xxhash64("crcs")]
+    order = ["file", "place"]
     within = Window.partitionBy("cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy("cell", "class").orderBy(*order)).cast("long") - 1, "wholes": F.coalesce(F.sum("whole").over(within), F.lit(0))})
     schema = tokens.schema[key].dataType.simpleString()
@@ -185,15 +188,15 @@ def packed(tokens: DataFrame, key: str = "doc_id", unit: int = UNIT, cells: int
                 "place": np.where(is_whole, 0, (classes.astype(np.int64) << 44)[doc] + ranks[doc]),
             }
             ids = b.column(0).take(pa.array(doc, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out.values())], names=[key, *out])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out.values())], names=["key", *out])
 
-    pieces = ranked.select(key, *ranked.drop(key).columns).mapInArrow(place, f"`{key}` {schema}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
+    pieces = ranked.drop("file", "place").mapInArrow(place, f"key {schema}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("place")
+    return pieces.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("place").withColumnRenamed("key", key)
 
 
 def sequences(plan: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """sequence_id and its ids: tokens (with ids, one row for each key) joined to a plan. A sequence has at most LENGTH ids."""
-    cut = plan.join(tokens.select(key, "ids"), key).select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("part"))
+    cut = plan.select(named(key).alias("key"), "sequence_id", "offset", "start", "length").join(tokens.select(named(key).alias("key"), "ids"), "key").select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("part"))
     parts = cut.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids"))

@@ -23,7 +23,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell, nested, of_row, scratch
+from .common import nested, of_row, scratch, written
 
 BLOCKS, BUCKETS = 16_384, 16
 
@@ -151,11 +151,14 @@ def resharded(old: DataFrame, shards: int, folder: str | None = None) -> DataFra
     return spark.read.schema(affected.schema).parquet(new).unionByName(stay)
 
 
-def slotted(rows: DataFrame, key: Column, cells: int = 256) -> DataFrame:
-    """rows with `slot`, gapless from 0 in each shard, in order of (cell, key)."""
+def slotted(rows: DataFrame, key: Column, cells: int | None = None) -> DataFrame:
+    """rows with `slot`, gapless from 0 in each shard. rows are written once (leave out what isn't needed) with a cell, dealt by
+    their order and by the place they come from, so that equal rows get many cells; slots are numbered within cells."""
     order = [key.alias("k"), F.col("text_crc32"), F.col("size")]
-    spread = rows.withColumn("cell", cell(cells, *order))
+    dealt = written(rows.withColumns({"mixed": F.xxhash64(*order, F.monotonically_increasing_id())}), "slots")
+    cells = cells or max(256, dealt.count() // 100_000)
+    spread = dealt.withColumn("cell", F.pmod(F.col("mixed"), F.lit(cells)).cast("int"))
     counts = spread.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n")
-    numbered = spread.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*order)))
-    return numbered.join(F.broadcast(before), ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("nth") - 1).drop("cell", "before", "nth")
+    numbered = spread.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*order, "mixed")))
+    return numbered.join(F.broadcast(before), ["shard", "cell"]).withColumn("slot", F.col("before") + F.col("nth") - 1).drop("cell", "before", "nth", "mixed")

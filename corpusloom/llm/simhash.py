@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, ascii_words, joined, named, nested, of_row, row_hashes, written
+from ..operators.addresses import addressed, flagged
+from .common import LOWER_AZ, ascii_words, joined, named, nested, of_row, written
 
 RADIUS, BLOCKS, HOT, SHINGLE, SEED = 2, 5, 48, 3, 42
 
@@ -138,14 +139,13 @@ def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all columns of docs: that with the smallest key, of several rows with that key the
-    one with the least hash of its text, then of all its columns. Rows with a null key stay only where their component has
-    no key, one for each."""
-    h1, h2 = row_hashes(docs)
-    order = F.struct(named(key).isNull().alias("absent"), named(key).alias("key"), F.xxhash64(named(text)).alias("text_hash"), h1.alias("h1"), h2.alias("h2"))
-    some = fingerprints(docs.select(named(text).alias("text"), order.alias("order")))
-    rows = written(some.select("fp", of_row("order").alias("order")), "simhash-rows")
+    """One row of each component, with all columns of docs: that with the smallest key, of several rows with that key the one
+    with the least hash of its text, then that with the least address. Rows with a null key stay only where their component
+    has no key, one for each. Only fingerprints, keys and addresses are shuffled; the rows that stay are read again where they lie."""
+    at = addressed(docs)
+    key_, text_ = of_row(key), of_row(text).cast("string")
+    order = F.struct(key_.isNull().alias("absent"), key_.alias("key"), F.xxhash64(text_).alias("text_hash"), "file", "place")
+    rows = written(fingerprints(at.select(text_.alias("text"), order.alias("order"))).select("fp", of_row("order").alias("order")), "simhash-rows")
     best = written(rows.groupBy("fp").agg(F.min("order").alias("best")), "simhash-fps")
-    wanted = best.join(roots(best), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.h1", "best.h2")
-    mine = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"))
-    return mine.dropDuplicates(["h1", "h2"]).join(wanted, ["h1", "h2"], "left_semi").select("row.*")  # equal rows meet before the shuffle
+    wanted = best.join(roots(best), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.file", "best.place")
+    return flagged(at, wanted, keeps=True).filter("kept").select("row.*")

@@ -276,8 +276,9 @@ CHECKED = "n_ids long, ids array<int>, round_trip boolean"
 
 def checked(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_ids, ids and round_trip (whether they decode to the text again) of each whole text: encoding and decoding
-    in one pass over parts of PART rows, so that a worker holds few texts and ids at a time."""
-    kind = docs.select(named(key)).schema[0].dataType.simpleString()
+    in one pass over parts of PART rows, so that a worker holds few texts and ids at a time. A key named like one of these
+    comes back as `key`."""
+    kind, name = docs.schema[key].dataType.simpleString(), key if key not in ("n_ids", "ids", "round_trip") else "key"
 
     def run(batches):
         import pyarrow as pa
@@ -295,6 +296,7 @@ def checked(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 same = pa.array([back.decode(x) == t for x, t in zip(ids, some)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, same], names=[key, "n_ids", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, same], names=[name, "n_ids", "ids", "round_trip"])
 
-    return docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {CHECKED}")
+    own = docs.select(named(key).alias("__key"), named(text).cast("string").alias("text"))
+    return own.mapInArrow(run, f"`{name}` {kind}, {CHECKED}")

@@ -152,7 +152,7 @@ def build(universe: DataFrame, max_bytes: int = 64 << 20) -> Cascade | None:
             for f in frames:
                 yield f[has(level.value, number, f["h1"].to_numpy(), f["h2"].to_numpy())]
 
-        passed = outs.mapInPandas(through, outs.schema)
+        passed = written(outs.mapInPandas(through, outs.schema), "url-survivors")  # else each level would run all before it
         ins, outs, n_out = passed, ins, n_in
         n_in = ins.count()
     if n_in:

@@ -13,7 +13,7 @@ The index is written by Spark, so it lists the files of successful attempts only
 
 Defined cases: a null payload is empty; a null url leaves out the target; equal rows that are the smallest of
 their payload are all responses; records with a null id are responses unless a set id has the same payload; an
-empty table has no bundles; other columns of any name are ignored.
+empty table has no bundles; equal rows have records with ids of their own; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[str, bytes]:
-    """(record id, bytes) of a response, or of a revisit if refers_to is set."""
+def record(page_id, url: str | None, payload: bytes, refers_to, nth: int = 0) -> tuple[str, bytes]:
+    """(record id, bytes) of a response, or of a revisit if refers_to is set. nth tells equal rows apart."""
     digest = base32_sha1(payload)
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest} {nth}')}>"
     body = payload if refers_to is None else b""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = {
@@ -149,7 +149,7 @@ def bundled(records: DataFrame, folder: str | None = None) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                name, data = record(row["page_id"], row["url"], row["payload"].encode(), row["refers_to"])
+                name, data = record(row["page_id"], row["url"], row["payload"].encode(), row["refers_to"], row["nth"])
                 rows.append((name, row["page_id"], size, len(data)))
                 parts.append(data)
                 size += len(data)
@@ -159,7 +159,7 @@ def bundled(records: DataFrame, folder: str | None = None) -> DataFrame:
             yield last
         finish()
 
-    return written(records.mapInArrow(write, INDEX), "warc-index")
+    return written(records.withColumn("nth", F.monotonically_increasing_id()).mapInArrow(write, INDEX), "warc-index")
 
 
 READ = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"

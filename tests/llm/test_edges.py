@@ -207,3 +207,63 @@ def test_warc_columns_equal_sql(spark, sf):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     got = queries.op9_warc(spark, sf).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.WARC_SQL).fetchall()))
+
+
+def test_keys_named_like_results(spark):
+    frame = spark.createDataFrame([(1, "one text", 5)], "ids long, text string, `a.b` long")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert spencode.checked(frame, path, key="ids").columns == ["key", "n_ids", "ids", "round_trip"]
+    tokens = written(packing.tokenized(frame, public_tokenizers.path("word_bpe_49k.json"), key="a.b"), "tokens")
+    assert [r["a.b"] for r in packing.packed(tokens, key="a.b").collect()] == [5]
+
+
+def test_near_duplicates_of_rows_that_differ_by_a_null(spark):
+    """A null that stands in another column makes another row."""
+    text, other = "some words that make a text of their own here", "quite another text with other words in it altogether"
+    frame = spark.createDataFrame([(1, text, None), (1, None, text), (2, other, None), (2, None, other)], "doc_id long, text string, lang string")
+    got = sorted((r["doc_id"], r["text"] or "", r["lang"] or "") for r in simhash.deduplicated(frame).collect())
+    assert len(got) == 3 and (1, text, "") in got and (2, other, "") in got
+    ids = spark.createDataFrame([(1, None, text), (None, 1, text)], "a long, doc_id long, text string")
+    assert [(r["a"], r["doc_id"]) for r in simhash.deduplicated(ids).collect()] == [(None, 1)]
+
+
+def test_near_duplicates_shuffle_no_rows(spark):
+    import io
+    import re
+    from contextlib import redirect_stdout
+
+    frame = written(spark.createDataFrame([(k, f"text {k} of some words", "x" * 50) for k in range(20)], "doc_id long, text string, lang string"), "docs")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        simhash.deduplicated(frame).explain("formatted")
+    assert "Exchange" in out.getvalue() and not re.search(r"Exchange\nInput \[\d+\]: \[[^\]]*(text|row|lang)#", out.getvalue())
+
+
+def test_many_equal_rows(spark):
+    """One row 20,000 times: no cell has a hundredth of it, and slots, sequences and record ids are whole."""
+    frame = written(spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("a text").alias("text"), F.lit("u").alias("url"), F.lit("<p>").alias("html")).repartition(3), "equal")
+    slots = resharding.slotted(resharding.laid_out(resharding.sized(frame), 2).withColumn("shard", F.lit(0)).drop("row"), F.lit(7))
+    assert [r[0] for r in slots.select("slot").orderBy("slot").collect()] == list(range(20_000))
+    assert slots.count() == 20_000
+    tokens = written(packing.tokenized(frame, public_tokenizers.path("word_bpe_49k.json")), "tokens")
+    plan = packing.packed(tokens).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("at"))
+    rows = plan.collect()
+    assert sum(r["n"] for r in rows) == tokens.agg(F.sum("doc_tokens")).first()[0] and all(r["n"] <= packing.LENGTH for r in rows)
+    assert all(a["offset"] + a["length"] == b["offset"] for r in rows for a, b in zip(r["at"], r["at"][1:]))
+    cells = written(frame.withColumn("mixed", F.xxhash64(F.lit(7), F.monotonically_increasing_id())), "cells").groupBy(F.pmod("mixed", F.lit(256))).count()
+    assert cells.agg(F.max("count")).first()[0] < 200
+    index = warc.bundled(warc.decided(frame.withColumn("page_id", F.lit(1))))
+    assert index.select("record_id").distinct().count() == 20_000
+
+
+def test_url_list_table(spark, sf):
+    """The list is a table of thousands of hosts, most of which no page has; verdicts equal a plain look-up."""
+    listed = queries.listed_hosts(spark, sf)
+    names = {r["key"] for r in listed.collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    found = urlfilter.judged(pages, listed).collect()
+    assert len(names) > 500 and {r["verdict"] for r in found} == {"allow", "block"}
+    for r in found:
+        if r["rule"] is None:
+            labels = r["host"].split(".")
+            assert (r["verdict"] == "block") == any(".".join(labels[k:]) in names for k in range(len(labels)) if r["host"])
