@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ..operators import review, validate
 from ..operators.reports import manifest_summary
 from ..schemas import CORPUS
+from . import readers
 
 JUNK = r"(^|/)(\._[^/]*|__MACOSX(/.*)?)$|(^|/)__MACOSX/"
 
@@ -79,31 +80,28 @@ def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFra
 
 
 def read_catalogue(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """A CSV with two header rows (group, field) and a row of index labels, as `group.field` string columns. The third row
-    is data if any cell behind the first is filled; strict keeps rows with a numeric id only."""
-    import csv
-
-    head = [r["value"] for r in spark.read.text(path).limit(3).collect()]
-    groups, names, third = (next(csv.reader([line])) for line in head)
-    columns = ["track_id", *(f"{g}.{n}" if n else g for g, n in zip(groups[1:], names[1:]))]
-    raw = spark.read.csv(path, header=False, multiLine=True, escape='"', schema=", ".join(f"c{i} string" for i in range(len(columns))))
-    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
-    same = lambda row: filled("c0").eqNullSafe(F.lit(row[0])) & (filled("c1") == F.lit(row[1] if len(row) > 1 else ""))
-    drop = same(groups) | same(names)
-    if not any(c.strip() for c in third[1:]):
-        drop = drop | same(third)
-    out = raw.filter(~drop).toDF(*columns)
-    return out.filter(F.trim("track_id").rlike(r"^\d+$")) if strict else out
+    """CSV files with two header rows (group, field) and a row of index labels, as `group.field` string columns. Headers are told
+    by place: a data row may equal one. The third row is data if any cell behind the first is filled; strict keeps rows
+    with a numeric id only."""
+    readers.register(spark)
+    return spark.read.format("catalogue").option("strict", strict).load(path)
 
 
 def find_audio(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """path, length, modificationTime, content of the audio files below a root, without what archives leave behind.
-    Spark's source doesn't list empty files; compare with a listing (`joins.absent`) to find them."""
+    Spark's source doesn't list empty files; `audio_tree` does."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ending = F.lower(F.regexp_extract("path", r"\.[^./]*$", 0))
     return files.filter(ending.isin(suffixes) & ~F.col("path").rlike(JUNK))
 
 
+def audio_tree(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
+    """path, length, modificationTime, place, content of the audio files below a root in order of their paths (`place`, from 0), empty
+    ones too. Needs a root that Arrow's file systems open."""
+    readers.register(spark)
+    return spark.read.format("audio_tree").option("suffixes", ",".join(suffixes)).load(root)
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A review sheet as strings; `review.long_sheet` reads its cells."""
     sheet = spark.read.csv(path, header=True, inferSchema=False)
@@ -126,6 +124,13 @@ def read_curve(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), *(F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in raw.columns))
 
 
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """The prompt file itself: JSON with `defaults` and `prompts`, or a list of entries. The driver reads it: a file that people write."""
+    content = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    entries, defaults = (content.get("prompts", []), content.get("defaults", {})) if isinstance(content, dict) else (content, {})
+    return load_prompts(spark, entries, defaults)
+
+
 def load_prompts(spark: SparkSession, entries: list[dict], defaults: dict) -> DataFrame:
     """Prompt entries with defaults applied and white space collapsed. Repeated ids are an error."""
     ids = [e["id"] for e in entries]
