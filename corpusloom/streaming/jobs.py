@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parsed_log
 from ..operators.ratelimit import Admitted, admit
 from ..operators.select import top_per_group
+from . import tables
 
 
 def monitor(lines: DataFrame, alive: str | None = None) -> DataFrame:
@@ -32,18 +33,12 @@ def last_errors(lines: DataFrame, n: int = 3, chars: int = 300) -> DataFrame:
 
 
 def incremental(spark: SparkSession, source: str, schema, key: str, target: str, work: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Processes files as they come; keys that the target already has are left out, so a rerun repeats nothing. The query,
+    """Processes files as they come; keys that the target already has are left out, so a rerun repeats nothing, and a crash at any
+    point neither (`tables.increment`). Rows without a key, and those whose work has a problem, are kept apart. The query,
     which stops once all files present are done."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(target).select(key)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        work(fresh.join(done, key, "left_anti") if done is not None else fresh).write.mode("append").parquet(target)
+    def step(batch: DataFrame, number: int) -> None:
+        tables.increment(batch, number, target, key, work)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -56,8 +51,9 @@ def deduplicated(stream: DataFrame, key: str, ts: str | None = None, delay: str
 
 
 def admission(stream: DataFrame, client: str, ts: str, per_minute: int, daily: int) -> DataFrame:
-    """client, event_id, ts, accepted: the same rule as `experiments.admitted_requests`, with each client's few times as
-    state, dropped after a day without requests."""
+    """client, event_id, ts, accepted: the same rule as `experiments.admitted_requests`, in order of arrival (of times within a
+    batch), with each client's few times as state, dropped after a day without requests. A request without a time is
+    not accepted. `admission.ordered_admission` waits for the order of times."""
     import pandas as pd
 
     kind = stream.schema[client].dataType.simpleString()
@@ -69,8 +65,10 @@ def admission(stream: DataFrame, client: str, ts: str, per_minute: int, daily: i
         past = Admitted(*state.get) if state.exists else Admitted()
         past = past._replace(recent=tuple(past.recent))
         rows, accepted = pd.concat(list(frames)).sort_values([ts, "event_id"]), []
-        for at in rows[ts].astype("datetime64[us]").astype("int64").tolist():
-            past, ok = admit(past, at, per_minute, daily)
+        for at, absent in zip(rows[ts].astype("datetime64[us]").astype("int64").tolist(), rows[ts].isna()):
+            ok = False
+            if not absent:
+                past, ok = admit(past, at, per_minute, daily)
             accepted.append(ok)
         rows["accepted"] = accepted
         state.update((list(past.recent), past.opened, past.used))
@@ -86,7 +84,7 @@ def queue_depth(events: DataFrame, ts: str = "ts", window: str = "5 minutes", de
 
 
 def expired(files: DataFrame, hours: float, now) -> DataFrame:
-    """Files older than the retention."""
+    """Files older than the retention. `tables.marked` and `tables.removed` remove them in two phases."""
     return files.filter(F.col("modificationTime") < F.lit(now) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {hours * 3600})"))
 
 
