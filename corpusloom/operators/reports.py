@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import licences
+from .distincts import bitmaps, counted
+from .settled import settled
 
 
 def licence_census(tracks: DataFrame) -> DataFrame:
@@ -29,14 +31,19 @@ def rollup_top(rows: DataFrame, group: str, item: str, n: int) -> DataFrame:
 
 def manifest_summary(rows: DataFrame) -> DataFrame:
     """Segments, tracks, singers, seconds and silent segments, overall (split null) and by split; sources and licences
-    overall only."""
-    small = rows.groupBy("split", "track_id", "singer_id", "source", "license").agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("s"), F.sum(F.col("silent").cast("int")).alias("q"))
-    out = small.groupingSets([["split"], []], "split").agg(
-        F.sum("n").alias("segments"), F.count_distinct("track_id").alias("tracks"), F.count_distinct("singer_id").alias("singers"), F.round(F.sum("s"), 3).alias("seconds"), F.sum("q").alias("silent"),
-        F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licences"), F.grouping("split").alias("overall"),
-    )
-    whole = F.col("overall") == 1
-    return out.withColumns({c: F.when(whole, F.col(c)) for c in ("silent", "sources", "licences")}).drop("overall")
+    overall only. Distincts are bits of each split's sets, and of their union."""
+    sums = rows.groupBy("split").agg(F.count("*").alias("segments"), F.sum("duration_seconds").alias("s"), F.sum(F.col("silent").cast("int")).alias("q"), F.collect_set("source").alias("sources"), F.collect_set("license").alias("licences"))
+    sets = {"tracks": settled(bitmaps(rows, ["split"], "track_id"), "tracks"), "singers": settled(bitmaps(rows, ["split"], "singer_id"), "singers")}
+    by_split, all_ = sums, sums.agg(F.sum("segments").alias("segments"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.array_distinct(F.flatten(F.collect_list("licences"))).alias("licences"))
+    for name, bits in sets.items():
+        mine = counted(bits, ["split"], name).withColumnRenamed("split", "of")
+        by_split = by_split.join(mine, F.col("split").eqNullSafe(F.col("of")), "left").drop("of").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+        all_ = all_.crossJoin(counted(bits, [], name))  # one row each
+    text = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
+    shown = [F.col("segments"), F.col("tracks"), F.col("singers"), F.round("s", 3).alias("seconds")]
+    overall = all_.filter("segments > 0").select(F.lit(None).cast(rows.schema["split"].dataType).alias("split"), *shown, F.col("q").alias("silent"), text("sources"), text("licences"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return by_split.select("split", *shown, none("silent", "long"), none("sources", "string"), none("licences", "string")).unionByName(overall)
 
 
 def describe(rows: DataFrame, family: str, group: str) -> DataFrame:
