@@ -71,6 +71,34 @@ def agreement(settings: DataFrame, run: str, names: list[str], varies: str) -> D
     return counted.select("setting", "n_values", F.when(F.col("setting") == varies, F.col("n_values") == F.col("n_runs")).otherwise(F.col("n_values") == 1).alias("ok"))
 
 
+def probe_means(rows: DataFrame, run: str, phase: str, item: str, metrics: list[str], loss: list[str] = ()) -> DataFrame:
+    """run, metric, before, after, delta, n_items and same_items of a probe measured before and after training (phase: before, after);
+    recon_loss is the sum of the metrics in `loss`. Both phases are alike only if they cover the same items: each has a hash of its
+    items' set, a sum of hashes, so neither order nor partitioning matters."""
+    total = lambda *salt: F.sum(F.xxhash64(*salt, F.col(item)).cast("decimal(20,0)"))
+    sums = rows.groupBy(run, phase).agg(F.count("*").alias("n"), total().alias("h1"), total(F.lit("again")).alias("h2"), *(F.avg(m).alias(m) for m in metrics))
+    if loss:
+        sums = sums.withColumn("recon_loss", sum((F.col(m) for m in loss), F.lit(0.0)))
+    long = sums.unpivot([run, phase, "n", "h1", "h2"], [*metrics, *(["recon_loss"] if loss else [])], "metric", "value")
+    of = lambda name, c: F.max(F.when(F.col(phase) == name, F.col(c)))
+    out = long.groupBy(run, "metric").agg(of("before", "value").alias("before"), of("after", "value").alias("after"), of("after", "n").alias("n_items"), *((of("before", c) == of("after", c)).alias(f"same_{c}") for c in ("n", "h1", "h2")))
+    return out.select(run, "metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"), "n_items", F.coalesce(F.col("same_n") & F.col("same_h1") & F.col("same_h2"), F.lit(False)).alias("same_items"))
+
+
+def comparison(candidates: DataFrame, curves: DataFrame, probes: DataFrame, history: DataFrame, key: str = "candidate", step: str = "step", metric: str = "loss", headline: str = "recon_loss") -> DataFrame:
+    """A row for each candidate of a sweep, ranked by what its probe says after training: steps, the curve's first and last tenth, the headline before and after,
+    and what its codebooks did. A candidate lacks what its run never wrote, and is complete if it has a curve and
+    both measurements over the same items. curves: key, step, metric; probes: from `probe_means`; history: from
+    `collapse_history`."""
+    steps = curves.groupBy(key).agg(F.count_distinct(step).alias("n_steps"), F.max(step).alias("last_step"))
+    probe = probes.filter(F.col("metric") == headline).select(key, "before", "after", "delta", "same_items")
+    whole = candidates.select(key).distinct()
+    for part in (steps, curve_windows(curves, key, step, metric), probe, history.select(key, F.col("verdict").alias("codebooks"), "n_collapsed", "final_utilization")):
+        whole = whole.join(part, key, "left")
+    out = whole.withColumn("complete", F.col("n_steps").isNotNull() & F.coalesce("same_items", F.lit(False)))
+    return out.withColumn("place", F.when(F.col("complete"), F.row_number().over(Window.orderBy(F.desc("complete"), F.col("after").asc_nulls_last(), key))))  # a row for each candidate
+
+
 def _draws(sizes: np.ndarray, at: int, iterations: int, seed: int) -> np.ndarray:
     """How many of each iteration's sum(sizes) draws fall into cell `at`. The cells are halved down to it, and each halving
     has its own seed, so the counts of all cells together are one multinomial draw."""

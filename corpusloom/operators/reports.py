@@ -29,6 +29,35 @@ def rollup_top(rows: DataFrame, group: str, item: str, n: int) -> DataFrame:
     return ranked.unionByName(total)
 
 
+def rollup_set(rows: DataFrame, group: str, chosen: list[str], tops: dict[str, int], seconds: str = "duration", size: Column | None = None) -> DataFrame:
+    """dimension, item, n, rank, hours and gigabytes of several groups taken together: for each dimension of `tops` its most frequent
+    items (by name if equal; blank ones as `(none)`), and a row with rank 0 and no dimension for the whole. One pass: rows are counted by
+    all dimensions first."""
+    names = list(tops)
+    label = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("(none)")).alias(c)
+    some = rows.filter(F.col(group).isin(chosen)).select(*map(label, names), F.col(seconds).alias("s"), (F.lit(0.0) if size is None else size).alias("b"))
+    counts = some.groupBy(*names).agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("b").alias("b"))
+    items = counts.unpivot(["n"], names, "dimension", "item").groupBy("dimension", "item").agg(F.sum("n").alias("n"))
+    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "item")))
+    most = F.coalesce(*(F.when(F.col("dimension") == c, F.lit(k)) for c, k in tops.items()))
+    best = ranked.filter(F.col("rank") <= most).select("dimension", "item", "n", "rank", F.lit(None).cast("double").alias("hours"), F.lit(None).cast("double").alias("gigabytes"))
+    none = F.lit(None).cast("string")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return best.unionByName(counts.agg(none.alias("dimension"), none.alias("item"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(0).alias("rank"), F.round(zero("s") / 3600, 1).alias("hours"), F.round(zero("b") / 1e9, 3).alias("gigabytes")))
+
+
+def selection_report(selection: DataFrame, rejected: dict[str, int], criteria: dict[str, str], genre: str = "genre_top") -> DataFrame:
+    """One nested row on a selection: counts, hours, gigabytes, genres by frequency, rejects and criteria. `write_report` stores it."""
+    named = F.coalesce(F.nullif(F.trim(F.col(genre)), F.lit("")), F.lit("(untagged)"))
+    rate = F.coalesce(F.nullif(F.col("bit_rate").cast("double"), F.lit(0.0)), F.lit(320_000.0))
+    sums = selection.groupBy(named.alias("genre")).agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("s"), F.sum(F.col("duration_seconds") * rate / 8).alias("b"), F.count_if("needs_license_reverify").alias("r"))
+    by = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "genre", "n")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    pairs = lambda d, kind: F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(v)) for k, v in d.items()))) if d else F.lit(None).cast(f"map<string,{kind}>")
+    out = sums.agg(total("n").alias("selected"), F.round(total("s") / 3600, 1).alias("hours"), F.round(total("b") / 1e9, 1).alias("estimated_gb"), total("r").alias("needing_reverify"), F.transform(by, lambda x: F.struct(x["genre"].alias("genre"), x["n"].alias("n"))).alias("per_genre"))
+    return out.withColumns({"rejected": pairs(rejected, "int"), "criteria": pairs(criteria, "string")})
+
+
 def manifest_summary(rows: DataFrame) -> DataFrame:
     """Segments, tracks, singers, seconds and silent segments, overall (split null) and by split; sources and licences
     overall only. Distincts are bits of each split's sets, and of their union."""
@@ -93,7 +122,10 @@ def genre_coverage(tracks: DataFrame, genre_top: str, fine: str, names: DataFram
 
 
 def preprocess_stats(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row over both outputs of a preprocessing job; silence isn't a skipped file."""
-    a = accepted.agg(F.count("*").alias("segments"), F.count_distinct("source_path").alias("files_used"), F.count_distinct("track_id").alias("tracks"), F.round(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)), 3).alias("seconds"))
+    """One row over both outputs of a preprocessing job: files used and skipped (silence isn't a skipped file), segments, tracks,
+    singers, instrument families and seconds. Rows meet by combination first, so that each distinct is counted over few."""
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    small = accepted.groupBy("source_path", "track_id", text("singer_id").alias("singer_id"), text("instrument_family").alias("family")).agg(F.count("*").alias("n"), F.sum("duration_seconds").alias("s"))
+    a = small.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("segments"), F.count_distinct("source_path").alias("files_used"), F.count_distinct("track_id").alias("tracks"), F.count_distinct("singer_id").alias("singers"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("instrument_families"), F.round(F.coalesce(F.sum("s"), F.lit(0.0)), 3).alias("seconds"))
     r = rejected.agg(F.count_distinct(F.when(F.col("stage") != "silence", F.col("source_path"))).alias("skipped_files"), F.count("*").alias("skipped"))
     return a.crossJoin(r)  # one row each

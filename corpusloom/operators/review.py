@@ -18,6 +18,8 @@ AREAS = {
 TRACKS = {"B": ["vocal", "rich_mix"], "D": ["piano", "violin", "guitar"]}
 CASES = {"A": "instrument_case", "B": "vocal_case", "C": "control_experiments", "D": "sparse_acoustic_case", "E": "inference_settings_sweep"}
 WEAK, SEVERE, MIN_CELLS = 7.0, 4.0, 3
+#: How far presence lies below realism where instruments are missing, and the share of words that a transcript recovers: fixed values.
+PRESENCE_GAP, RECALLED = 1.5, 0.9
 
 
 def long_sheet(sheet: DataFrame, track: str = "track", dimensions: list[str] | None = None, keep_cell: bool = False) -> DataFrame:
@@ -68,13 +70,33 @@ def intervention(areas: DataFrame) -> DataFrame:
     return one.select(F.when(F.col("worst").isNull(), "none").when(F.col("control"), CASES["C"]).otherwise(case).alias("intervention"), F.col("worst.area").alias("worst_area"), F.col("worst.mean").alias("worst_mean"))
 
 
-def attributed(areas: DataFrame) -> DataFrame:
-    """area and bucket: the likely cause of each area's mean."""
+def attributed(areas: DataFrame, long: DataFrame | None = None, objective: DataFrame | None = None, track: str = "track", sparse: list[str] = TRACKS["D"]) -> DataFrame:
+    """area, bucket and, if cells are given, note: the likely cause of each area's mean. long: the sheet's cells, which tell missing
+    instruments from poor ones and muffled dense mixes from sparse ones; objective: track, lyric_recall and flags (array), which tell
+    words that are there but unclear, and corroborate a band limit."""
+    weak = F.col("sufficient") & (F.col("mean") < WEAK)
     bucket = (
         F.when(~F.col("sufficient"), "insufficient evidence")
         .when(F.col("mean") >= WEAK, "not a weakness")
         .when((F.col("area") == "B") & (F.col("mean") < SEVERE), "pretrained-model limitation (suspected)")
         .when(F.col("area").isin("C", "E"), "prompt/control-layer problem")
-        .otherwise("adapter-addressable")
     )
-    return areas.select("area", bucket.alias("bucket"))
+    if long is None:
+        return areas.select("area", bucket.otherwise("adapter-addressable").alias("bucket"))
+    scored = long.filter("state = 'scored'")
+    of = lambda d, *more: F.when(F.col("dimension").isin(d), F.col("score")) if not more else F.when(F.col("dimension").isin(d) & more[0], F.col("score"))
+    facts = scored.agg(
+        (F.avg(of("instrument_realism")) - F.avg(of("instrument_presence"))).alias("gap"), F.min(of("lyrics_intelligibility")).alias("unclear"),
+        F.avg(of("spectral_clarity", ~F.col(track).isin(sparse))).alias("dense"),
+    )
+    measured = objective if objective is not None else scored.sparkSession.createDataFrame([], "lyric_recall double, flags array<string>")
+    flag = F.exists(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.contains("rolloff") | f.contains("band"))
+    facts = facts.crossJoin(measured.agg(F.min("lyric_recall").alias("recall"), F.coalesce(F.bool_or(flag), F.lit(False)).alias("rolloff")))  # one row each
+    cause = bucket.when((F.col("area") == "A") & (F.col("gap") > PRESENCE_GAP), "prompt/control-layer problem").when((F.col("area") == "D") & (F.col("dense") < WEAK), "pretrained-model limitation (suspected)").otherwise("adapter-addressable")
+    note = (
+        F.when(weak & (F.col("area") == "A") & (F.col("gap") > PRESENCE_GAP), "requested instruments are missing")
+        .when(weak & (F.col("area") == "C") & (F.col("unclear") < WEAK) & (F.col("recall") >= RECALLED), "words are there, but unclear")
+        .when(weak & (F.col("area") == "D") & (F.col("dense") < WEAK), "dense mixes are muffled too")
+        .when(weak & (F.col("area") == "D") & F.col("rolloff"), "corroborated by measured rolloff")
+    )
+    return areas.crossJoin(facts).select("area", cause.alias("bucket"), note.alias("note"))  # a row for each area

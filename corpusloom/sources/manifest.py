@@ -56,6 +56,16 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's row as nested JSON, nulls and all."""
+    report.coalesce(1).write.option("ignoreNullFields", "false").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report's row again, structs and maps as they were."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
     """One folder for each split below `path`/manifests (readers of all splits read that), and the summary of all and of each
     beside them."""
