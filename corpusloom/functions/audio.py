@@ -84,15 +84,18 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     up, down = to // g, rate // g
     h = _kernel(up, down)
     half, n_out = len(h) // 2, -(-x.shape[1] * up // down)
-    at = np.arange(n_out) * down  # places on the finer grid
     reach = half // up + 1
-    padded = np.pad(x.astype(np.float64), ((0, 0), (reach, reach + 1)))
-    base = at // up
+    last = (n_out - 1) * down // up
+    padded = np.pad(x.astype(np.float64), ((0, 0), (reach, reach + 1 + max(0, last + 1 - x.shape[1]))))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=1)
+    taps = np.arange(-reach, reach + 1) * up
     out = np.zeros((len(x), n_out))
-    for k in range(-reach, reach + 1):
-        tap = at - (base + k) * up + half
-        ok = (tap >= 0) & (tap < len(h))
-        out += np.where(ok, h[np.clip(tap, 0, len(h) - 1)], 0.0) * padded[:, base + k + reach]
+    for phase in range(min(up, n_out)):  # outputs up apart see the input at the same fraction, down samples apart
+        base, rest = divmod(phase * down, up)
+        tap = rest - taps + half
+        weights = np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)
+        n = len(range(phase, n_out, up))
+        out[:, phase::up] = windows[:, base::down][:, :n] @ weights
     return out.astype(np.float32)
 
 

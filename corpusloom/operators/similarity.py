@@ -14,8 +14,8 @@ vectors. Equal vectors are one until the end, and vectors aren't shuffled with t
 `by_matrix` is for few candidates: their windows are sent to the table's partitions, which take matrix products of `ROWS`
 windows. The number of windows is checked; beyond the bound `by_blocks` takes over.
 
-Below the threshold neither knows the closest item: its columns are null there. `nearest` compares all windows of few
-candidates (many go in parts) and tells the closest item of each, however far it is.
+Below the threshold neither knows the closest item: its columns are null there. `nearest` compares all windows of the candidates with
+all of the table, by a grid of blocks and parts, and tells the closest item of each, however far it is.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .partition_tree import cells, plan
 from .select import range_cell
 from .settled import settled
 
-LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS = 0.985, 3, 20_000, 8_192, 8, 512
+LEAST, MIN_RUN, MAX_CANDIDATES, SAMPLE, HEAD, ROWS, PART = 0.985, 3, 20_000, 8_192, 8, 512, 131_072
 
 
 def exact(candidates: DataFrame, db: DataFrame, key: str = "item", digest: str = "pcm_sha256") -> DataFrame:
@@ -186,41 +186,66 @@ def by_matrix(a: DataFrame, b: DataFrame, least: float = LEAST, min_run: int = M
     return runs(pairs, sizes(a, "candidate", "n"), sizes(b, "item", "m"), min_run)
 
 
-def nearest(a: DataFrame, b: DataFrame, max_windows: int = MAX_CANDIDATES) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, max_windows: int = MAX_CANDIDATES, part: int = PART) -> DataFrame:
     """candidate, closest_item, max_cosine: the item with the greatest cosine of two windows that some alignment puts side by
-    side, if any is over 0; of several the least. Candidates of more than `max_windows` windows in all go in parts by their
-    hash, each of which reads the table once."""
-    spark, windows = a.sparkSession, b.join(sizes(b, "item", "m"), "item").select("item", "j", "m", "vec")
-    parts = max(1, -(-a.count() // max_windows))
+    side, if any is over 0; of several the least. The table's windows are dealt into parts, the candidates' into blocks of about
+    max_windows; every block is sent to every part, and meets its windows in matrix products. A task holds a part and a
+    block; each pair of them leaves a row for each candidate, so nothing goes through the driver but two counts."""
+    spark = a.sparkSession
     kinds = {"candidate": a.schema["candidate"].dataType.simpleString(), "item": b.schema["item"].dataType.simpleString()}
+    mine = a.select("candidate", "i", F.transform("vec", lambda v: v.cast("double")).alias("vec")).join(sizes(a, "candidate", "n"), "candidate")
+    theirs = b.select("item", "j", F.transform("vec", lambda v: v.cast("double")).alias("vec")).join(sizes(b, "item", "m"), "item")
+    blocks, rows = max(1, -(-a.count() // max_windows)), b.count()
+    parts = max(1, -(-rows // part), min(-(-rows // ROWS), 2 * spark.sparkContext.defaultParallelism))
+    block = F.pmod(F.xxhash64("candidate", "i"), F.lit(blocks)).alias("block")
+    none = lambda c: F.lit(None).cast(f"array<{c}>")
+    packed = mine.groupBy(block).agg(F.collect_list("candidate").alias("names"), F.collect_list(F.col("i").cast("long")).alias("places"), F.collect_list("n").alias("sizes"), F.collect_list("vec").alias("vecs"))
+    packed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "names", none(kinds["item"]).alias("items"), "places", "sizes", "vecs")
+    dealt = theirs.select(F.pmod(F.xxhash64("item", "j"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), none(kinds["candidate"]).alias("names"), F.array("item").alias("items"), F.array(F.col("j").cast("long")).alias("places"), F.array("m").alias("sizes"), F.array("vec").alias("vecs"))
+    grid = dealt.unionByName(packed).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+
+    def best(batches):
+        import pandas as pd
 
-    def of_part(k: int) -> DataFrame:
-        got = a.filter(F.pmod(F.xxhash64("candidate"), F.lit(parts)) == k).select("candidate", "i", "vec").orderBy("candidate", "i").collect()
-        names = [r["candidate"] for r in got]
-        starts = [x for x, name in enumerate(names) if not x or name != names[x - 1]]
-        n = np.repeat(np.diff([*starts, len(names)]), np.diff([*starts, len(names)])) if names else np.zeros(0, int)
-        held = spark.sparkContext.broadcast((_matrix(got), names, starts, np.array([r["i"] for r in got], dtype=np.int64), n))
-
-        def best(frames):
-            import pandas as pd
-
-            u, names, starts, i, n = held.value
-            for v, items, j, m in _sliced(frames, "item", "j", "m") if len(u) else ():
-                j, m = np.array(j, dtype=np.int64), np.array(m, dtype=np.int64)
-                ahead = (j[None, :] - i[:, None]) * np.where(n[:, None] <= m[None, :], 1, -1)
-                sims = np.where((ahead >= 0) & (ahead <= np.abs(m[None, :] - n[:, None])), u @ v.T, -1.0)
-                each = np.maximum.reduceat(sims, starts, axis=0)  # of each candidate
-                top = each.max(axis=1)
-                rows = [(names[s], min(items[y] for y in np.flatnonzero(each[c] == top[c])), float(top[c])) for c, s in enumerate(starts) if top[c] > 0]
-                yield pd.DataFrame(rows, columns=["candidate", "item", "cos"])
-
-        return windows.mapInPandas(best, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cos double")
-
-    found = reduce(DataFrame.union, map(of_part, range(parts)))
+        at, held, whole = None, [], None
+        for batch in batches:
+            for number, kind, names, items, places, m, vecs in zip(*(batch[c] for c in batch.columns)):
+                if number != at:
+                    at, held, whole = number, [], None
+                if not kind:
+                    held.append((items[0], places[0], m[0], vecs[0]))
+                    continue
+                if not held:
+                    continue
+                if whole is None:
+                    whole = np.array([h[0] for h in held], dtype=object), *(np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2)), np.array([h[3] for h in held], dtype=np.float64)
+                yield _best(np.array(names, dtype=object), np.array(places, dtype=np.int64), np.array(m, dtype=np.int64), np.array([*vecs], dtype=np.float64).reshape(len(vecs), -1), *whole, pd)
+
+    found = grid.mapInPandas(best, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cos double")
     first = found.groupBy("candidate").agg(F.min(F.struct((-F.col("cos")).alias("below"), "item")).alias("first"))
     return first.select("candidate", F.col("first.item").alias("closest_item"), (-F.col("first.below")).alias("max_cosine"))
 
 
+def _best(names, i, n, u, items, j, m, v, pd):
+    """A row for each candidate of a block: the closest of a part's items, if any cosine of windows side by side is over 0."""
+    order = np.argsort(names, kind="stable")
+    names, i, n, u = names[order], i[order], n[order], u[order]
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    top: list = [(0.0, None)] * len(starts)
+    for at in range(0, len(items), ROWS):
+        cut = slice(at, at + ROWS)
+        ahead = (j[cut][None, :] - i[:, None]) * np.where(n[:, None] <= m[cut][None, :], 1, -1)
+        sims = np.where((ahead >= 0) & (ahead <= np.abs(m[cut][None, :] - n[:, None])), u @ v[cut].T, -1.0)
+        each = np.maximum.reduceat(sims, starts, axis=0)
+        most = each.max(axis=1)
+        for c in np.flatnonzero(most > 0):
+            if most[c] >= top[c][0]:
+                item = min(items[cut][y] for y in np.flatnonzero(each[c] == most[c]))
+                if most[c] > top[c][0] or item < top[c][1]:
+                    top[c] = (float(most[c]), item)
+    return pd.DataFrame([(names[s], item, cos) for s, (cos, item) in zip(starts, top) if item is not None], columns=["candidate", "item", "cos"])
+
+
 def screen(candidates: DataFrame, found: DataFrame, copies: DataFrame, closest: DataFrame | None = None) -> DataFrame:
     """The verdict for each candidate: exact copies first, then runs. found: from `by_blocks` or `by_matrix`. closest: from
     `nearest`, to name the closest items below the threshold too."""
