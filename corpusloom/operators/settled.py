@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 _OWN: set[str] = set()
 
@@ -37,5 +39,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed once and written: it cuts the lineage, survives lost executors, and its rows have addresses."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    nothing = [f.name for f in df.schema if isinstance(f.dataType, NullType)]  # columns of nulls alone, which Parquet has no type for
+    typed = df.withColumns({c: F.lit(None).cast("string") for c in nothing}) if nothing else df
+    typed.write.option("compression", "zstd").parquet(path)
+    found = df.sparkSession.read.schema(typed.schema).parquet(path)
+    return found.withColumns({c: F.lit(None) for c in nothing}) if nothing else found

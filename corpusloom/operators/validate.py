@@ -86,3 +86,9 @@ def single_run(curve: DataFrame, file: str = "file") -> DataFrame:
     """Files that mix runs or repeat steps."""
     found = curve.groupBy(file).agg(F.count_distinct("run_id").alias("n_runs"), (F.count("step") - F.count_distinct("step")).alias("n_repeated"))
     return found.filter("n_runs > 1 or n_repeated > 0")
+
+
+def not_deployable(rows: DataFrame, key: str, licence: str, n: int | None = None) -> DataFrame:
+    """key and licence of the rows that may not be deployed; with n, the first n by key, for a report."""
+    found = rows.filter(~licences.bucket(F.coalesce(F.col(licence), F.lit(""))).isin(licences.DEPLOYABLE_BUCKETS)).select(key, licence)
+    return found if n is None else found.orderBy(key).limit(n)

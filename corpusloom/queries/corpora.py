@@ -240,7 +240,12 @@ def provenance_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CORPUS} SELECT id, licence FROM corpus WHERE {B} NOT IN ('cc0_public_domain', 'cc_by') ORDER BY id LIMIT 10")
 def deployable_offenders(spark: SparkSession, d: str) -> DataFrame:
     """The first ten (a report's limit)."""
-    return corpus(spark, d).filter(~licences.bucket(F.col("licence")).isin(licences.DEPLOYABLE_BUCKETS)).select("id", "licence").orderBy("id").limit(10)
+    return validate.not_deployable(corpus(spark, d), "id", "licence", 10)
+
+
+@query(f"WITH {CORPUS} SELECT id, licence FROM corpus WHERE {B} NOT IN ('cc0_public_domain', 'cc_by')")
+def not_deployable(spark: SparkSession, d: str) -> DataFrame:
+    return validate.not_deployable(corpus(spark, d), "id", "licence")
 
 
 @query(f"""WITH {CORPUS}, r AS (SELECT CASE WHEN licence <> 'CC-BY-4.0' THEN 'licence' WHEN duration_seconds < 30 THEN 'short' WHEN l.doc_id IS NULL THEN 'missing_audio' END AS reject_reason FROM corpus c LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON c.id = l.doc_id)

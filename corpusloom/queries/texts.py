@@ -100,14 +100,13 @@ def control_resolution(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("request_id").alias("doc_id"), "model", F.size("applied").alias("n_applied"), F.array_join("warnings", ";").alias("warnings"))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(coalesce(regexp_replace(substr(text, n_chars % 7 * 300 + 1), '\\s+', '', 'g'), '')) = '' THEN 'prompt must not be empty' WHEN n_chars % 1000 = 0 THEN 'duration must be positive' WHEN n_chars % 331 < 20 OR n_chars % 331 > 300 THEN 'bpm outside 20-300'
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(regexp_replace(text, '\\s+', '', 'g'), '')) = '' THEN 'prompt must not be empty' WHEN n_chars % 1000 = 0 THEN 'duration must be positive' WHEN n_chars % 331 < 20 OR n_chars % 331 > 300 THEN 'bpm outside 20-300'
  WHEN lower(source) NOT IN ('intro', 'verse') AND n_chars % 3 = 0 THEN 'unknown section kind ' || source END AS problem FROM documents""")
 def request_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Requests whose prompt is what a text has behind a place, and whose sections are named by its source."""
+    """Requests whose prompt is a whole text, and whose sections are named by its source."""
     n = F.col("n_chars")
     sections = F.array(F.lit("intro"), F.when(n % 3 == 0, F.col("source")).otherwise("verse"))
-    prompt = F.substr("text", (n % 7 * 300 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", text.request_problem(prompt, (n % 1000).cast("double"), n % 331, sections).alias("problem"))
+    return table(spark, d, "documents").select("doc_id", text.request_problem(F.col("text"), (n % 1000).cast("double"), n % 331, sections).alias("problem"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, string_split('[Oddity]' || chr(10) || 'lost' || chr(10) || '[Verse]' || chr(10) || text || chr(10) || '[Chorus]' || chr(10) || 'la la', chr(10)) AS a FROM documents WHERE text IS NOT NULL),
@@ -177,12 +176,13 @@ def composed_prompts(spark: SparkSession, d: str) -> DataFrame:
 _SECTION_SQL = "[" + ", ".join(f"'{k}'" for k in ("intro", "pre_chorus", "verse", "outro")) + "]"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN n_chars % 2 = 0 AND coalesce(text, '') <> '' THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN n_chars % 5 = 0 THEN '' ELSE array_to_string(list_transform({_SECTION_SQL}[: n_chars % 4 + 1], lambda k: '[' || replace(k, '_', ' ') || ']'), chr(10)) END AS lyrics FROM documents""")
+@query(rf"""SELECT doc_id, sung, CASE WHEN sung AND coalesce(text, '') <> '' THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN n_chars % 5 = 0 THEN '' ELSE array_to_string(list_transform({_SECTION_SQL}[: n_chars % 4 + 1], lambda k: '[' || replace(k, '_', ' ') || ']'), chr(10)) END AS lyrics FROM documents, (VALUES (TRUE), (FALSE)) AS v(sung)""")
 def composed_lyrics(spark: SparkSession, d: str) -> DataFrame:
-    """Lyrics where a document is taken to have some, tags of a structure elsewhere."""
+    """Each document as a song with its whole text for lyrics, and as one without, which gets tags of a structure."""
     n = F.col("n_chars")
     kinds = F.when(n % 5 != 0, F.slice(F.array(*map(F.lit, ("intro", "pre_chorus", "verse", "outro"))), F.lit(1), (n % 4 + 1).cast("int")))
-    return table(spark, d, "documents").select("doc_id", text.composed_lyrics(F.when(n % 2 == 0, F.col("text")), kinds).alias("lyrics"))
+    songs = table(spark, d, "documents").withColumn("sung", F.explode(F.array(F.lit(True), F.lit(False))))
+    return songs.select("doc_id", "sung", text.composed_lyrics(F.when(F.col("sung"), F.col("text")), kinds).alias("lyrics"))
 
 
 _KIT_IDS = {part: [*bank, "unheard"] for part, bank in text.KIT.items()}
@@ -195,15 +195,15 @@ def _kit_sql(part: str) -> str:
     return f"{ids} AS {part}, {bank} AS {part}_bank"
 
 
-@query(rf"""WITH c AS (SELECT doc_id, CASE WHEN n_chars % 3 > 0 THEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') ELSE '' END AS free, {", ".join(map(_kit_sql, text.KIT))} FROM documents),
-s AS (SELECT doc_id, free, vocal, structure, len(genres) AS g, len(moods) AS m, len(instruments) AS i, {", ".join(f"list_filter(list_transform({p}, lambda x: {p}_bank[x]), lambda x: x IS NOT NULL) AS {p}" for p in _KIT_BY)}, nullif(vocal_bank[vocal], '') AS v, nullif(structure_bank[structure], '') AS t FROM c)
-SELECT doc_id, concat_ws(', ', nullif(free, ''), nullif(array_to_string(genres, ' and '), ''), nullif(array_to_string(moods, ', '), ''), nullif(array_to_string(instruments, ', '), ''), coalesce(v, CASE WHEN vocal = 'none' AND free = '' THEN 'instrumental' END), t) AS prompt,
+@query(rf"""WITH c AS (SELECT doc_id, written, CASE WHEN written THEN regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') ELSE '' END AS free, {", ".join(map(_kit_sql, text.KIT))} FROM documents, (VALUES (TRUE), (FALSE)) AS v(written)),
+s AS (SELECT doc_id, written, free, vocal, structure, len(genres) AS g, len(moods) AS m, len(instruments) AS i, {", ".join(f"list_filter(list_transform({p}, lambda x: {p}_bank[x]), lambda x: x IS NOT NULL) AS {p}" for p in _KIT_BY)}, nullif(vocal_bank[vocal], '') AS v, nullif(structure_bank[structure], '') AS t FROM c)
+SELECT doc_id, written, concat_ws(', ', nullif(free, ''), nullif(array_to_string(genres, ' and '), ''), nullif(array_to_string(moods, ', '), ''), nullif(array_to_string(instruments, ', '), ''), coalesce(v, CASE WHEN vocal = 'none' AND free = '' THEN 'instrumental' END), t) AS prompt,
  least(100, floor((CASE WHEN free <> '' THEN 2 ELSE 0 END + least(g, 2) + least(m, 2) + least(i, 3) + (vocal <> 'none')::INT + (structure <> 'none')::INT) / 9.0::DOUBLE * 100 + 0.5))::INT AS richness FROM s""")
 def kit_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Choices of the prompt kit by a document's numbers, behind its whole text or no text."""
+    """Choices of the prompt kit by a document's numbers, once behind its whole text and once alone."""
     n = F.col("n_chars")
     ids = lambda part: F.array(*map(F.lit, _KIT_IDS[part]))
     several = {part: F.concat(F.slice(ids(part), F.lit(1), (n % by).cast("int")), F.when(n % 7 == 0, F.array(F.lit("unheard"))).otherwise(F.array().cast("array<string>"))) for part, by in _KIT_BY.items()}
     one = {part: F.element_at(ids(part), (F.floor(n / 2) % len(_KIT_IDS[part])).cast("int") + 1) for part in ("vocal", "structure")}
-    chosen = [F.when(n % 3 > 0, F.coalesce("text", F.lit(""))).otherwise(""), *several.values(), *one.values()]
-    return table(spark, d, "documents").select("doc_id", text.kit_prompt(*chosen).alias("prompt"), text.richness(*chosen).alias("richness"))
+    chosen = [F.when(F.col("written"), F.coalesce("text", F.lit(""))).otherwise(""), *several.values(), *one.values()]
+    return table(spark, d, "documents").withColumn("written", F.explode(F.array(F.lit(True), F.lit(False)))).select("doc_id", "written", text.kit_prompt(*chosen).alias("prompt"), text.richness(*chosen).alias("richness"))
