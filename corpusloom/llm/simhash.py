@@ -144,7 +144,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     has no key, one for each. Only fingerprints, keys and addresses are shuffled; the rows that stay are read again where they lie."""
     at = addressed(docs)
     key_, text_ = of_row(key), of_row(text).cast("string")
-    order = F.struct(key_.isNull().alias("absent"), key_.alias("key"), F.xxhash64(text_).alias("text_hash"), "file", "place")
+    columns = [(of_row(f.name), "map<" in f.dataType.simpleString()) for f in docs.schema if f.name != text]
+    rest = F.xxhash64(*(x for c, has_map in columns for x in (c.isNull(), F.to_json(F.struct(c)) if has_map else c)))  # tells where nulls stand
+    order = F.struct(key_.isNull().alias("absent"), key_.alias("key"), F.xxhash64(text_).alias("text_hash"), rest.alias("rest_hash"), "file", "place")
     rows = written(fingerprints(at.select(text_.alias("text"), order.alias("order"))).select("fp", of_row("order").alias("order")), "simhash-rows")
     best = written(rows.groupBy("fp").agg(F.min("order").alias("best")), "simhash-fps")
     wanted = best.join(roots(best), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.file", "best.place")
