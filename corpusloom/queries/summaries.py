@@ -56,7 +56,7 @@ w AS (SELECT candidate, count(*) AS n_steps, max(event_id) AS last_step, avg(los
 h AS (SELECT event_type AS candidate, count(*) FILTER (flagged) AS n_collapsed, arg_max(flagged, event_id) AS final, arg_max(value, event_id) AS final_utilization FROM (SELECT *, value < 5 AS flagged FROM events) GROUP BY 1),
 j AS (SELECT c.candidate, n_steps, last_step, first_mean, last_mean, p.before, p.after, p.same_items, CASE WHEN n_collapsed = 0 THEN 'never' WHEN final THEN 'collapsed' ELSE 'recovered' END AS codebooks, n_collapsed, final_utilization, n_steps IS NOT NULL AND coalesce(same_items, FALSE) AS complete
  FROM (SELECT DISTINCT event_type AS candidate FROM events) c LEFT JOIN w USING (candidate) LEFT JOIN (SELECT * FROM pair WHERE metric = 'recon_loss') p USING (candidate) LEFT JOIN h USING (candidate))
-SELECT candidate, n_steps, last_step, round(first_mean, 6) AS first_mean, round(last_mean, 6) AS last_mean, last_mean < first_mean AS decreased, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta, same_items, codebooks, n_collapsed, round(final_utilization, 6) AS final_utilization, complete,
+SELECT candidate, n_steps, last_step, round(first_mean, 6) AS first_mean, round(last_mean, 6) AS last_mean, (last_mean < first_mean)::VARCHAR AS decreased, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta, same_items::VARCHAR AS same_items, codebooks, n_collapsed, round(final_utilization, 6) AS final_utilization, complete,
  CASE WHEN complete THEN row_number() OVER (ORDER BY complete DESC, after NULLS LAST, candidate) END::INT AS place FROM j""")
 def sweep_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of events as candidates; errors have no curve."""
@@ -64,6 +64,7 @@ def sweep_comparison(spark: SparkSession, d: str) -> DataFrame:
     curves = curve(spark, d).filter("event_type <> 'error'").select(F.col("event_type").alias("candidate"), F.col("event_id").alias("step"), "loss")
     history = experiments.collapse_history(e.withColumn("low", F.col("value") < 5).withColumnRenamed("event_type", "candidate"), "candidate", "event_id", "low", "value")
     out = experiments.comparison(e.select(F.col("event_type").alias("candidate")), curves, probed(spark, d), history)
+    out = out.withColumns({c: F.col(c).cast("string") for c in ("decreased", "same_items")})
     return out.withColumns({c: F.round(c, 6) for c in ("first_mean", "last_mean", "before", "after", "delta", "final_utilization")})
 
 

@@ -2,7 +2,8 @@
 
 Each batch of a stream writes folders named by its id, and then commits by an entry in a log beside them. A batch that is tried
 again after a failure, or replayed, finds its entry and does nothing, or finds none and writes its folders anew; readers
-take what is committed. So whatever is interrupted, a table holds every batch once.
+take what is committed. So whatever is interrupted, a table holds every batch once. The log has a small file for each batch, which
+each batch lists.
 """
 
 from __future__ import annotations
@@ -159,6 +160,12 @@ def increment(batch: DataFrame, number: int, table: str, key: str, work: Callabl
     return commits(spark, table)[number]
 
 
+def committed(spark: SparkSession, table: str) -> DataFrame | None:
+    """The rows of a table of increments, without those of a batch that stopped before its commit; None if there are none."""
+    paths = [f"{table}/batch={n}" for n, e in sorted(commits(spark, table).items()) if e["done"]]
+    return spark.read.parquet(*paths) if paths else None
+
+
 # Retention
 
 

@@ -117,12 +117,13 @@ def test_increments_once(spark, tmp_path, monkeypatch):
         m.setattr(tables, "commit", lambda *a, **b: (_ for _ in ()).throw(OSError("stopped")))
         with pytest.raises(OSError):
             tables.increment(first, 0, table, "id", work)
+    assert tables.committed(spark, table) is None
     for _ in range(2):
         assert {k: v for k, v in tables.increment(first, 0, table, "id", work).items() if k != "batch"} == {"done": 1, "failed": 1, "without_key": 2}
     assert sorted(done) == [1, 1, 2, 2]  # twice: of the batch that stopped, and of its repetition
     entry = tables.increment(frame((1, 9), (2, 2), (3, 3)), 1, table, "id", work)
     assert entry["done"] == 2 and entry["failed"] == 0
-    assert sorted((r["id"], r["x"]) for r in spark.read.parquet(table).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted((r["id"], r["x"]) for r in spark.read.parquet(table).collect()) == [(1, 1), (2, 2), (3, 3)] == sorted((r["id"], r["x"]) for r in tables.committed(spark, table).collect())
     assert spark.read.parquet(f"{table}/_quarantine").count() == 3
 
 
