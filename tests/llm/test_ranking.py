@@ -81,3 +81,63 @@ def test_equal_texts_get_equal_scores(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(0, 40)], "doc_id long, quality int")
     found = ranking.scored(rows, ranking.fit(rows, labels, fit_rows=9)).select("row.text", "quality.score").distinct().collect()
     assert len(found) == 2
+
+
+def documents(rows: int, seed: int) -> tuple[list, list]:
+    """Texts of which the good ones have more stops and fewer signs, but not always; and their labels."""
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for k in range(rows):
+        good = rng.random() < 0.7
+        words = [rng.choice(["word", "Other", "text", "a", "1,2", "x" * 20, "is?"]) + ("." if rng.random() < (0.3 if good else 0.15) else "") + ("#$" if rng.random() < (0.05 if good else 0.15) else "") for _ in range(rng.randint(0, 60))]
+        docs.append((k, "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))))
+        labels.append((k, int(good)))
+    return docs, labels
+
+
+def test_every_labelled_document_counts(spark):
+    """The only bad document is the last by the hash that once chose 8,000 of them."""
+    keys = spark.range(12_000).withColumnRenamed("id", "doc_id").withColumn("h", F.xxhash64(F.lit("ranking"), "doc_id"))
+    last = keys.filter(~ranking.held_out("doc_id", 4, 2)).orderBy(F.desc("h")).first()["doc_id"]
+    docs = keys.select("doc_id", F.when(F.col("doc_id") == last, "### | $$$").otherwise("a good text of words.").alias("text"))
+    labels = keys.select("doc_id", (F.col("doc_id") != last).cast("int").alias("quality"))
+    model = ranking.fit(docs, labels)
+    assert model.share is None
+    assert [r["doc_id"] for r in ranking.scored(docs, model).filter("quality.score < 0.7").select("row.doc_id").collect()] == [last]
+
+
+def test_sums_over_all_pairs(spark):
+    """Loss, gradient and second derivatives by strips, against all pairs listed."""
+    docs, labels = documents(300, 3)
+    x = np.array([ranking.statistics(t) for _, t in docs])
+    good = np.array([y for _, y in labels]) == 1
+    frame = spark.createDataFrame([(int(g), *map(float, row)) for g, row in zip(good, x)], "good int, " + ", ".join(f"{n} double" for n in ranking.NAMES)).repartition(3)
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), np.inf)
+    pairs = ranking.AllPairs(frame.select("good", F.struct(*ranking.NAMES).alias("stats")), ranking.NAMES, x.mean(axis=0), scale, float(good.sum() * (~good).sum()))
+    gaps = ((x[good][:, None] - x[~good][None]) / scale).reshape(-1, x.shape[1])
+    for w in (np.zeros(x.shape[1]), np.random.default_rng(1).normal(size=x.shape[1]), 9 * np.random.default_rng(2).normal(size=x.shape[1])):
+        value, curve = pairs.at(w)
+        slope, bend = curve()
+        p = 1 / (1 + np.exp(np.clip(gaps @ w, -500, 500)))
+        plain = (gaps * (p * (1 - p))[:, None]).T @ gaps / len(gaps) + 1e-3 * np.eye(len(w))
+        assert abs(value - ranking.loss(w, gaps, 1e-3)[0]) < 1e-9 and np.abs(slope - ranking.loss(w, gaps, 1e-3)[1]).max() < 1e-8
+        assert np.abs(bend - plain).max() < 1e-2 * np.abs(plain).max()
+
+
+def test_listed_and_summed_pairs_give_one_model(spark):
+    docs, labels = documents(500, 4)
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    listed, summed = ranking.fit(docs, labels), ranking.fit(docs, labels, few=0)
+    assert np.allclose(listed.weights, summed.weights, rtol=1e-4, atol=1e-5) and abs(listed.middle - summed.middle) < 1e-3 and abs(listed.width - summed.width) < 1e-4
+
+
+def test_quantile_cut_of_a_table(spark):
+    rng = np.random.default_rng(5)
+    for n, values in [(400, 400), (400, 30), (40, 3), (2, 1), (3, 9)]:
+        x, good = rng.integers(0, values, size=n) / 4 - 3, rng.random(n) < 0.6
+        good[:2] = [True, False]
+        table = spark.createDataFrame([(float(s), int(g)) for s, g in zip(x, good)], "strength double, good int")
+        assert ranking.quantile_cut_of(table, int(good.sum()), int((~good).sum())) == ranking.quantile_cut(x, good)
+    x = np.arange(40.0)  # the best places are many
+    table = spark.createDataFrame([(float(s), int(s) % 2) for s in x], "strength double, good int")
+    assert ranking.quantile_cut_of(table, 20, 20) == ranking.quantile_cut(x, x % 2 == 1)
