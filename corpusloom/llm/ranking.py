@@ -41,6 +41,8 @@ NAMES = ["size", "word_chars", "upper", *KINDS, "lines", "repeated_lines", "dist
 FEW = 1 << 17
 #: The width of a strip of strengths, and the terms of a Taylor series within it.
 STRIP, ORDERS = 1 / 16, 6
+#: Strips as far apart as this have straight losses: all other terms are below 1e-17.
+REACH = int(40 / STRIP)
 FACTORIALS = np.array([math.factorial(k) for k in range(ORDERS)], dtype=float)
 
 
@@ -164,13 +166,17 @@ def against(own: Strips, other: Strips, sign: int) -> tuple[np.ndarray, np.ndarr
     weighted = other.moments * (-1.0) ** np.arange(ORDERS) / FACTORIALS
     series, features = np.zeros((3, len(own.places), ORDERS)), np.zeros((len(own.places), other.vectors.shape[1]))
     for k in range(0, len(own.places), 256):
-        t = sign * STRIP * (own.places[k : k + 256, None] - other.places)
+        places = own.places[k : k + 256]
+        near = slice(*np.searchsorted(other.places, [places[0] - REACH, places[-1] + REACH + 1]))
+        beyond = slice(near.stop, None) if sign > 0 else slice(0, near.start)  # preferred beyond doubt, against the labels
+        straight = {1: -weighted[beyond].sum(axis=0), 0: sign * STRIP * (other.places[beyond] @ weighted[beyond] - places[:, None] * weighted[beyond].sum(axis=0))}
+        t = sign * STRIP * (places[:, None] - other.places[near])
         wrong = 1 / (1 + np.exp(np.clip(t, -500, 500)))
         for order, of in enumerate([None, *DERIVATIVES]):
             each = np.logaddexp(0, -t) if of is None else of(wrong)
             if order == 2:
-                features[k : k + 256] = each @ other.vectors
-            sums = each @ weighted * float(sign) ** order
+                features[k : k + 256] = each @ other.vectors[near]
+            sums = (each @ weighted[near] + straight.get(order, 0.0)) * float(sign) ** order
             for level, power in itertools.product(range(3), range(ORDERS)):
                 if 0 <= order - level - power < ORDERS - power:
                     series[level, k : k + 256, power] += sums[:, order - level - power] / FACTORIALS[power]

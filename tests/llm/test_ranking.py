@@ -124,6 +124,25 @@ def test_sums_over_all_pairs(spark):
         assert np.abs(bend - plain).max() < 1e-2 * np.abs(plain).max()
 
 
+@pytest.mark.parametrize("spread", [1, 30, 3000])
+def test_strips_near_and_far(spread):
+    """Losses, slopes and bends by series, of many strips, against plain sums."""
+    rng = np.random.default_rng(spread)
+    sides = [np.sort(rng.normal(0, spread, size=n)) for n in (700, 900)]
+    strips = []
+    for s in sides:
+        places, first = np.unique(np.rint(s / ranking.STRIP).astype(np.int64), return_index=True)
+        powers = (s - np.rint(s / ranking.STRIP) * ranking.STRIP)[:, None] ** np.arange(ranking.ORDERS)
+        strips.append(ranking.Strips(places, np.add.reduceat(powers, first), np.ones((len(places), 2))))
+    for sign, (own, other) in [(1, (0, 1)), (-1, (1, 0))]:
+        series, _ = ranking.against(strips[own], strips[other], sign)
+        t = sign * (sides[own][:, None] - sides[other])
+        p = 1 / (1 + np.exp(np.clip(t, -500, 500)))
+        assert math.isclose((series[0] * strips[own].moments).sum(), np.logaddexp(0, -t).sum(), rel_tol=1e-9)
+        assert math.isclose((series[1] * strips[own].moments).sum(), -sign * p.sum(), rel_tol=1e-9)
+        assert math.isclose((series[2] * strips[own].moments).sum(), (p * (1 - p)).sum(), rel_tol=1e-6)
+
+
 def test_listed_and_summed_pairs_give_one_model(spark):
     docs, labels = documents(500, 4)
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
