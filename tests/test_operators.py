@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,6 +286,40 @@ def test_prompts(spark):
     assert one(spark, text.label_caption(F.array().cast("array<string>"), F.array().cast("array<string>"))) == "instrumental recording"
 
 
+def test_prompts_are_read_once(spark):
+    p = spark.createDataFrame([(1, "Warm piano, hip hop")], "request_id int, prompt string")
+    a = text.annotated(p, with_instruments=False)
+    plan = a.select("genre", "mood", "bpm", "key", "structure", "vocal")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("split(") == 1
+    requests = a.select("request_id", F.array(F.lit("mood"), F.lit("bpm")).alias("controls"), F.lit(True).alias("wants_vocals"), "duration_seconds", "vocal.language")
+    can = spark.createDataFrame([("m", "mood", "ignored"), ("m", "bpm", "native"), ("m", "key", "native"), ("n", "key", "native")], "model string, control string, support string")
+    limits = spark.createDataFrame([("m", False, 30.0, []), ("n", True, 30.0, [])], "model string, sings boolean, max_seconds double, languages array<string>")
+    got = joins.resolved_controls(requests, can, limits)
+    assert [tuple(r) for r in got.collect()] == [(1, "m", ["bpm=native", "mood=ignored"], ["mood: not supported", "vocals: not supported", "duration: too long"])]
+    assert "Exchange hashpartitioning(request_id" not in got._jdf.queryExecution().executedPlan().toString()  # requests stay where they are
+
+
+def test_prompts_match_brute_force(spark):
+    rnd = random.Random(7)
+    pieces = [*text.GENRES, *text.MOODS, *text.LANGUAGES, *text.VOICES, *"pre-chorus prechorus pre chorus intro verse solo finals final finale outro drop voice invoice vocals choir choirs sung female man no instrumental build up to huge ending quiet loud fade out".split()]
+    said = ["".join(x for _ in range(rnd.randint(0, 12)) for x in (rnd.choice(pieces), rnd.choice([" ", " ", " ", " ", "-", ", ", "_", "é", "\n", "1", ""]))) for _ in range(1500)]
+    rows = text.annotated(spark.createDataFrame(list(enumerate(said)), "id int, prompt string"), with_instruments=False).collect()
+    assert len(rows) == len(said)
+    word = lambda w, t: re.search(rf"\b{re.escape(w)}\b", t)
+    for r in rows:
+        t = said[r["id"]]
+        found = [g for g in text.GENRES if word(g, t)]
+        assert r["genre"] == [g for g in found if not any(g != o and g in o for o in found)] and r["mood"] == [m for m in text.MOODS if word(m, t)]
+        places = [(m.start(), i, k) for i, (k, p) in enumerate(text.SECTIONS.items()) if (m := re.search(p, t))]
+        assert r["structure"] == [k for *_, k in sorted(places)] and r["energy"] == [e for e, p in text.ENERGY.items() if re.search(p, t)]
+        gender = next((g for g, ws in text.GENDERS.items() if any(word(w, t) for w in ws)), None)
+        language = next((c for n, c in text.LANGUAGES.items() if word(n, t)), None)
+        style = next((v for v in text.VOICES if re.search(rf"\b{v}\b(?:\s+\w+){{0,2}}\s+(voice|vocal|singing|singer)", t)), None)
+        wanted = gender or language or re.search(r"\bvocal|voice|singer|singing|sung|choir\b", t)
+        want = (False, None, None, None) if re.search(r"\binstrumental\b|\bno vocals?\b", t) else (True, gender, style, language) if wanted else None
+        assert (tuple(r["vocal"]) if r["vocal"] else None) == want
+
+
 def test_leak_guard_matches_brute_force(spark):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(12)]
